@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import langid, mixing, secrets, urls, warc
+from . import decontaminate, langid, mixing, secrets, urls, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -10,5 +10,6 @@ QUERIES = {
     "op6_language": langid.op6_language,
     "op7_mixing": mixing.op7_mixing,
     "op8_secrets": secrets.op8_secrets,
+    "op10_decontaminate": decontaminate.op10_decontaminate,
 }
 SQL = {"op7_mixing": mixing.SQL}
