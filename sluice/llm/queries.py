@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, langid, mixing, secrets, urls, warc
+from . import decontaminate, jaccard, langid, mixing, secrets, urls, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
+    "op3_jaccard": jaccard.op3_jaccard,
     "op4_urls": urls.op4_urls,
     "op6_language": langid.op6_language,
     "op7_mixing": mixing.op7_mixing,
