@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard, langid, mixing, secrets, urls, warc
+from . import decontaminate, jaccard, langid, mixing, secrets, urls, vectors, warc, wrappers
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
+    "op2_extract": wrappers.op2_extract,
     "op3_jaccard": jaccard.op3_jaccard,
     "op4_urls": urls.op4_urls,
+    "op5_vectors": vectors.op5_vectors,
     "op6_language": langid.op6_language,
     "op7_mixing": mixing.op7_mixing,
     "op8_secrets": secrets.op8_secrets,
