@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructType
 
 from .common import by_batch, table, tune
 
@@ -221,8 +222,16 @@ def identify(docs: DataFrame, model: Model | None, spans: bool = False) -> DataF
     return by_batch(docs.select(F.col("doc_id").cast("long"), *extra), label, schema)
 
 
+def accepted(docs: DataFrame, model: Model | None, least: float = 0.5) -> DataFrame:
+    """docs whose language is known and has at least the share `least` of their letters."""
+    lang, score = "lang_pred", "lang_score"
+    while {lang, score} & set(docs.columns):
+        lang, score = lang + "_", score + "_"
+    return with_language(docs, model, lang, score).where((F.col(lang) != UNKNOWN) & (F.col(score) >= least)).select(*docs.columns)
+
+
 def with_language(docs: DataFrame, model: Model | None, lang: str = "lang_pred", score: str = "lang_score") -> DataFrame:
-    """docs with two more columns; all their own columns and rows stay."""
+    """docs with two more columns, of names that docs doesn't have; its own columns and rows stay."""
     tune(docs.sparkSession, BATCH)
     held = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
@@ -232,8 +241,6 @@ def with_language(docs: DataFrame, model: Model | None, lang: str = "lang_pred",
         got = label_texts(texts, held.value) if held.value else [(UNKNOWN, 0.0, [])] * len(texts)
         return batch.append_column(lang, pa.array([g[0] for g in got], pa.string())).append_column(score, pa.array([g[1] for g in got], pa.float64()))
 
-    from pyspark.sql.types import DoubleType, StringType, StructType
-
     return by_batch(docs, add, StructType([*docs.schema.fields]).add(lang, StringType()).add(score, DoubleType()))
 
 

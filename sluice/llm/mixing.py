@@ -65,11 +65,12 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
 
     The rate depends on the source alone, so only the targets are joined, never the plan's rows.
     """
-    targets = saved(source_targets(docs.select("source", word_count(F.col("text")).alias("size")), **{k: v for k, v in how.items() if k != "seed"}), "mix-targets")
-    t = checked_broadcast(targets.select(F.col("source").alias("_of"), F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)).alias("_rate")))
-    copies = F.floor("_rate") + F.when(unit_hash(F.col("doc_id"), how.get("seed", "mix-1")) < F.col("_rate") - F.floor("_rate"), 1).otherwise(0)
-    d = docs.join(t, F.col("source").eqNullSafe(F.col("_of"))).withColumn("_copies", copies.cast("int"))
-    return d.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    seed = how.pop("seed", "mix-1")
+    targets = saved(source_targets(docs.select("source", word_count(F.col("text")).alias("size")), **how), "mix-targets")
+    t = checked_broadcast(targets.select(F.col("source").alias("of"), F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)).alias("rate")))
+    copies = F.floor("rate") + F.when(unit_hash(F.col("row.doc_id"), seed) < F.col("rate") - F.floor("rate"), 1).otherwise(0)
+    d = docs.select(F.struct(*docs.columns).alias("row")).join(t, F.col("row.source").eqNullSafe(F.col("of"))).withColumn("copies", copies.cast("int"))
+    return d.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

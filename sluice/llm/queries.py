@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard, langid, mixing, secrets, urls, vectors, warc, wrappers
+from . import decontaminate, jaccard, langid, mixing, secrets, substrings, urls, vectors, warc, wrappers
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_language": langid.op6_language,
     "op7_mixing": mixing.op7_mixing,
     "op8_secrets": secrets.op8_secrets,
+    "op9_substrings": substrings.op9_substrings,
     "op10_decontaminate": decontaminate.op10_decontaminate,
 }
 SQL = {"op7_mixing": mixing.SQL}

@@ -8,8 +8,9 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from .common import by_batch, saved, table, tune
+from .common import by_batch, checked_broadcast, saved, table, tune
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -107,25 +108,35 @@ def scan_secrets(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     return plain.unionByName(multi).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", _spans().alias("spans"))
 
 
-def _redact(batch: pa.RecordBatch) -> pa.RecordBatch:
-    def clean(text: str | None) -> str | None:
-        if not text:
-            return text
-        out, at = [], 0
-        for kind, a, b in base_spans(text):
-            if a >= at:
-                out += [text[at:a], f"[{kind.upper()}]"]
-            at = max(at, b)
-        return "".join([*out, text[at:]]) if out else text
+def _cleaned(text: str | None, links: list[dict] | None) -> str | None:
+    if not text:
+        return text
+    spans = base_spans(text) + [(x["kind"], x["start"], x["end"]) for x in links or ()]
+    out, at = [], 0
+    for kind, a, b in sorted(spans, key=lambda s: (s[1], KINDS.index(s[0]))):
+        if a >= at:
+            out += [text[at:a], f"[{kind.upper()}]"]
+        at = max(at, b)
+    return "".join([*out, text[at:]]) if out else text
 
-    i = batch.schema.get_field_index("text")
-    return batch.set_column(i, batch.schema.field(i), pa.array(map(clean, batch.column(i).to_pylist()), batch.schema.field(i).type))
 
+def redacted(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
+    """docs with every span that scan_secrets finds in text replaced by its kind in brackets.
 
-def redacted(docs: DataFrame) -> DataFrame:
-    """docs with every base secret in text replaced by its kind in brackets; all rows stay."""
+    All rows and columns stay; n_chars, if there is one, is counted anew. Null texts stay null.
+    """
     tune(docs.sparkSession)
-    return by_batch(docs, _redact, docs.schema)
+    scanned = by_batch(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), _scan, SCANNED).where(F.size("parts") > 1)
+    links = saved(linked_parts(saved(scanned.drop("base"), "secret-parts"), scope), "secret-links").select(F.col("doc_id").alias("of"), "text_key", "links")
+
+    def clean(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(_cleaned, batch.column(1).to_pylist(), batch.column(2).to_pylist()), pa.string())], ["row", "clean"])
+
+    d = docs.select(F.struct(*docs.columns).alias("row"))
+    d = d.join(checked_broadcast(links), F.col("row.doc_id").eqNullSafe(F.col("of")) & (F.md5("row.text") == F.col("text_key")), "left")
+    d = by_batch(d.select("row", F.col("row.text").alias("text"), "links"), clean, StructType([d.schema["row"], StructField("clean", StringType())]))
+    new = {"text": F.col("clean"), "n_chars": F.length("clean").cast("long")}
+    return d.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
