@@ -1,17 +1,53 @@
-"""A corpus pipeline: stages over `documents`, each written and read again."""
+"""A corpus pipeline over `documents`: five stages, each written as Parquet and read again.
+
+Language ID rejects documents without a known language, the n-gram Jaccard join keeps one document
+of each group of near copies, decontamination drops documents that hold a benchmark item, the secret
+scan replaces secrets by their kind, and mixing emits documents in the sources' target weights.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sluice.llm import decontaminate, jaccard, langid, mixing, secrets
 from sluice.llm.common import saved, table
 
-STAGES: list = []
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return langid.accepted(docs, langid.fit(docs))
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return jaccard.one_of_each(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.clean_documents(docs, table(spark, sf_dir, "benchmark"))
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return secrets.redacted(docs)
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mixed_documents(docs)
+
+
+STAGES = [
+    ("language ID", language),
+    ("n-gram Jaccard join", near_copies),
+    ("benchmark decontamination", decontamination),
+    ("secret scans", secret_scan),
+    ("mixing sources to target weights", source_mix),
+]
+
+#: Not in SQL: language ID is a fitted model. tests/llm holds the stages against plain Python.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of a mixed corpus: the stages applied in order to `documents`."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = saved(stage(spark, docs, sf_dir), name)
+        docs = saved(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
     return docs
