@@ -1,4 +1,4 @@
 """The registered queries of the engine's operators and their SQL, one pair per operator."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from .plans import scalars  # noqa: F401
+from .plans.registry import QUERIES, SQL  # noqa: F401
