@@ -281,11 +281,11 @@ def random_sample(spark, d):
     return table(spark, d, "orders").select("o_orderkey", c("o_custkey").isNull().alias("no_key"), F.md5(F.concat(F.lit("s1:"), "o_orderkey")).alias("h")).orderBy("h").limit(100).drop("h")
 
 
-@query("G4_columns_dropped", "SELECT p_type AS value, count(*) AS n FROM part WHERE p_type NOT IN (SELECT p_type FROM part WHERE p_partkey % 97 = 0) GROUP BY p_type")
+@query("G4_columns_dropped", "SELECT p_name AS value, count(*) AS n FROM part WHERE p_name NOT IN (SELECT p_name FROM part WHERE p_partkey % 97 = 0) GROUP BY p_name")
 def columns_dropped(spark, d):
     p = table(spark, d, "part")
-    gone = p.select(c("p_type").alias("value")).subtract(p.where("p_partkey % 97 = 0").select("p_type"))
-    return p.join(gone, c("p_type") == c("value"), "left_semi").groupBy(c("p_type").alias("value")).agg(F.count("*").alias("n"))
+    gone = p.select(c("p_name").alias("value")).subtract(p.where("p_partkey % 97 = 0").select("p_name"))
+    return p.join(gone, c("p_name") == c("value"), "left_semi").groupBy(c("p_name").alias("value")).agg(F.count("*").alias("n"))
 
 
 CHAIN = [("replace", {"find": "Brand", "replace": "b "}), "trim", "upper", ("add_prefix", {"prefix": "x-"})]
