@@ -22,7 +22,7 @@ BOOLS = (*numbers.TRUE, *numbers.FALSE)
 
 def ratio(condition: Column, of: Column) -> Column:
     """Share of the non-NULL values that meet a condition."""
-    return F.round(F.count_if(condition) / F.count(of), 6)
+    return F.round(F.try_divide(F.count_if(condition), F.count(of)), 6)
 
 
 def long_form(row: DataFrame, columns: list[str], stats: list[str]) -> DataFrame:
@@ -68,7 +68,7 @@ def profile(df: DataFrame, columns: list[str] | None = None, approximate: bool =
         **{f"p_{k}": (lambda c, p=p: ratio(F.rlike(c.cast("string"), F.lit(p)), c)) for k, p in PATTERNS.items()},
     }
     out = aggregate(df, columns, stats)
-    out = out.withColumn("uniqueness", F.round(F.col("n_distinct") / (F.col("n") - F.col("n_null")), 6))
+    out = out.withColumn("uniqueness", F.round(F.try_divide(F.col("n_distinct"), F.col("n") - F.col("n_null")), 6))
     day = F.greatest("p_date_iso", "p_date_us", "p_date_eu")
     keep = lambda c: F.when(c >= 0.2, c)
     return out.select("column", "n", "n_null", "n_distinct", "uniqueness", "type", "min_length", "max_length", *[keep(F.col(f"p_{k}")).alias(f"p_{k}") for k in ("email", "phone", "url", "currency")], keep(day).alias("p_date"))
@@ -77,14 +77,14 @@ def profile(df: DataFrame, columns: list[str] | None = None, approximate: bool =
 def suggest_field(profile: DataFrame) -> DataFrame:
     """column, field_type, size, required by a ladder of rules on a profile."""
     p = lambda k: F.coalesce(F.col(f"p_{k}"), F.lit(0.0))
-    share = F.col("n_distinct") / F.col("n")
+    share = F.try_divide(F.col("n_distinct"), F.col("n"))
     kind = (
         F.when(p("email") > 0.8, "Char").when(p("phone") > 0.8, "Char").when(p("currency") > 0.8, "Monetary")
         .when(F.col("type") == "boolean", "Boolean").when(F.col("type") == "date", "Date").when((share < 0.05) & (F.col("n_distinct") <= 10), "Selection")
         .when(F.col("type") == "integer", "Integer").when(F.col("type") == "float", "Float").when(F.col("max_length") > 255, "Text").otherwise("Char")
     )
     size = F.when(p("email") > 0.8, 255).when(p("phone") > 0.8, 32).otherwise(F.least(F.greatest(F.col("max_length") + 50, F.lit(64)), F.lit(255)))
-    return profile.select("column", kind.alias("field_type"), F.when(kind == "Char", size).cast("int").alias("size"), (F.col("n_null") / F.col("n") < 0.1).alias("required"))
+    return profile.select("column", kind.alias("field_type"), F.when(kind == "Char", size).cast("int").alias("size"), (F.try_divide(F.col("n_null"), F.col("n")) < 0.1).alias("required"))
 
 
 def top_values(df: DataFrame, column: str, k: int = 100) -> DataFrame:

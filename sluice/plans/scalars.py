@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -121,29 +123,29 @@ def here(x: str) -> str:
     return f"coalesce(CAST({x} AS VARCHAR), '') <> ''"
 
 
-def add(name: str, outputs: dict[str, tuple[Column, str]], base=partners, cte: str = PARTNERS, source: str = "partners", key: str = "id", key_sql: str | None = None) -> None:
-    """A query of a key and the outputs, with the SQL of both."""
+def add(name: str, outputs: dict[str, tuple[Callable[[], Column], str]], base=partners, cte: str = PARTNERS, source: str = "partners", key: str = "id", key_sql: str | None = None) -> None:
+    """A query of a key and the outputs, with the SQL of both; columns are made when it runs."""
     sql = f"{cte} SELECT {key_sql or key} AS {key}, " + ", ".join(f"{s} AS {o}" for o, (_, s) in outputs.items()) + f" FROM {source}"
-    query(name, sql)(lambda spark, d: base(spark, d).select(c(key), *[x.alias(o) for o, (x, _) in outputs.items()]))
+    query(name, sql)(lambda spark, d: base(spark, d).select(c(key), *[x().alias(o) for o, (x, _) in outputs.items()]))
 
 
 def over(name: str, key: str):
     return {"base": lambda spark, d: table(spark, d, name), "cte": "", "source": name, "key": key}
 
 
-add("S1_trim", {"out": (text.trim(c("name")), trim("name")), "out_empty": (text.blank(text.trim(c("name"))), text_or_empty(trim("name")))})
-add("S1_trim_documents", {"out": (F.md5(text.trim(c("text"))), f"md5({trim('text')})")}, **over("documents", "doc_id"))
-add("S2_lower", {"out": (F.lower(c("name")), "lower(name)")})
-add("S3_upper", {"out": (F.upper(c("name")), "upper(name)")})
-add("S4_titlecase", {"out": (text.title_case(c("name")), title("name"))})
-add("S5_strip_special", {"out": (text.strip_special(c("p_brand")), gsub("p_brand", r"[^a-zA-Z0-9\s]"))}, **over("part", "p_partkey"))
-add("S6_replace", {"out": (F.replace(c("p_brand"), F.lit("#"), F.lit("-no-")), "replace(p_brand, '#', '-no-')")}, **over("part", "p_partkey"))
-add("S7_prefix_suffix", {"out": (F.concat(F.lit("N_"), c("n_name"), F.lit("_x")), "'N_' || n_name || '_x'")}, **over("nation", "n_nationkey"))
-add("S8_concat", {"out": (text.concat_present(c("name"), c("city"), c("phone")), "concat_ws(' ', nullif(name,''), nullif(city,''), nullif(phone,''))"), "ids": (text.concat_present(c("city"), c("zip"), sep="_"), "concat_ws('_', nullif(city,''), nullif(zip,''))")})
-add("S9_regex_extract", {"out": (text.extract(c("url"), r"^https?://([^/?#]+)", 1), r"coalesce(regexp_extract(url, '^https?://([^/?#]+)', 1), '')")}, **over("pages", "page_id"))
-add("S10_default_if_empty", {"out": (text.default_if_empty(c("name"), "unknown"), f"CASE WHEN name IS NULL OR {trim('name')} = '' THEN 'unknown' ELSE name END")})
-add("S11_empty_to_null", {"out": (text.empty_to_null(c("name")), "nullif(name, '')")})
-add("S12_collapse_spaces", {"out": (F.md5(text.collapse_spaces(c("text"))), f"md5({trim(gsub('text', r'\s+', ' '))})")}, **over("documents", "doc_id"))
+add("S1_trim", {"out": (lambda: text.trim(c("name")), trim("name")), "out_empty": (lambda: text.blank(text.trim(c("name"))), text_or_empty(trim("name")))})
+add("S1_trim_documents", {"out": (lambda: F.md5(text.trim(c("text"))), f"md5({trim('text')})")}, **over("documents", "doc_id"))
+add("S2_lower", {"out": (lambda: F.lower(c("name")), "lower(name)")})
+add("S3_upper", {"out": (lambda: F.upper(c("name")), "upper(name)")})
+add("S4_titlecase", {"out": (lambda: text.title_case(c("name")), title("name"))})
+add("S5_strip_special", {"out": (lambda: text.strip_special(c("p_brand")), gsub("p_brand", r"[^a-zA-Z0-9\s]"))}, **over("part", "p_partkey"))
+add("S6_replace", {"out": (lambda: F.replace(c("p_brand"), F.lit("#"), F.lit("-no-")), "replace(p_brand, '#', '-no-')")}, **over("part", "p_partkey"))
+add("S7_prefix_suffix", {"out": (lambda: F.concat(F.lit("N_"), c("n_name"), F.lit("_x")), "'N_' || n_name || '_x'")}, **over("nation", "n_nationkey"))
+add("S8_concat", {"out": (lambda: text.concat_present(c("name"), c("city"), c("phone")), "concat_ws(' ', nullif(name,''), nullif(city,''), nullif(phone,''))"), "ids": (lambda: text.concat_present(c("city"), c("zip"), sep="_"), "concat_ws('_', nullif(city,''), nullif(zip,''))")})
+add("S9_regex_extract", {"out": (lambda: text.extract(c("url"), r"^https?://([^/?#]+)", 1), r"coalesce(regexp_extract(url, '^https?://([^/?#]+)', 1), '')")}, **over("pages", "page_id"))
+add("S10_default_if_empty", {"out": (lambda: text.default_if_empty(c("name"), "unknown"), f"CASE WHEN name IS NULL OR {trim('name')} = '' THEN 'unknown' ELSE name END")})
+add("S11_empty_to_null", {"out": (lambda: text.empty_to_null(c("name")), "nullif(name, '')")})
+add("S12_collapse_spaces", {"out": (lambda: F.md5(text.collapse_spaces(c("text"))), f"md5({trim(gsub('text', r'\s+', ' '))})")}, **over("documents", "doc_id"))
 
 
 def _unescape_sql(x: str) -> str:
@@ -153,17 +155,17 @@ def _unescape_sql(x: str) -> str:
     return out
 
 
-add("S13_html_unescape", {"out": (F.md5(text.html_unescape(c("html"))), f"md5({_unescape_sql('html')})")}, **over("pages", "page_id"))
-add("S14_normalize_string", {"out": (text.normalize_string(c("name")), normal("name"))})
-add("S15_normalize_company_name", {"out": (text.normalize_company(c("name")), company("name"))})
-add("S16_normalize_vat", {"out": (text.normalize_vat(c("vat")), vat("vat"))})
-add("S17_email_domain", {"out": (contact.email_domain(c("email")), domain("email"))})
-add("S18_normalize_address", {"out": (text.normalize_address(c("street"), F.lit(None).cast("string"), c("city"), c("segment"), c("nation").cast("string"), c("zip")), address("street", "CAST(NULL AS VARCHAR)", "city", "segment", "CAST(nation AS VARCHAR)", "zip"))})
-add("S19_slug", {"out": (text.slug(c("name")), slug("name")), "short": (text.slug(c("name"), 8), slug("name", 8))})
-add("S20_slug48", {"out": (text.slug48(c("p_name")), slug48("p_name"))}, **over("part", "p_partkey"))
-add("S21_short_hash", {"out": (keys.short_hash(c("name"), c("email")), short_hash("name", "email"))})
+add("S13_html_unescape", {"out": (lambda: F.md5(text.html_unescape(c("html"))), f"md5({_unescape_sql('html')})")}, **over("pages", "page_id"))
+add("S14_normalize_string", {"out": (lambda: text.normalize_string(c("name")), normal("name"))})
+add("S15_normalize_company_name", {"out": (lambda: text.normalize_company(c("name")), company("name"))})
+add("S16_normalize_vat", {"out": (lambda: text.normalize_vat(c("vat")), vat("vat"))})
+add("S17_email_domain", {"out": (lambda: contact.email_domain(c("email")), domain("email"))})
+add("S18_normalize_address", {"out": (lambda: text.normalize_address(c("street"), F.lit(None).cast("string"), c("city"), c("segment"), c("nation").cast("string"), c("zip")), address("street", "CAST(NULL AS VARCHAR)", "city", "segment", "CAST(nation AS VARCHAR)", "zip"))})
+add("S19_slug", {"out": (lambda: text.slug(c("name")), slug("name")), "short": (lambda: text.slug(c("name"), 8), slug("name", 8))})
+add("S20_slug48", {"out": (lambda: text.slug48(c("p_name")), slug48("p_name"))}, **over("part", "p_partkey"))
+add("S21_short_hash", {"out": (lambda: keys.short_hash(c("name"), c("email")), short_hash("name", "email"))})
 _T = trim(text_or_empty("name"))
-add("S22_split_name", {"first_name": (text.split_name(c("name"))[0], rf"regexp_extract({_T}, '^(\S*)', 1)"), "last_name": (text.split_name(c("name"))[1], rf"regexp_extract({_T}, '^\S+\s+([\s\S]*)$', 1)")})
+add("S22_split_name", {"first_name": (lambda: text.split_name(c("name"))[0], rf"regexp_extract({_T}, '^(\S*)', 1)"), "last_name": (lambda: text.split_name(c("name"))[1], rf"regexp_extract({_T}, '^\S+\s+([\s\S]*)$', 1)")})
 
 
 def _untitled(x: str) -> str:
@@ -174,24 +176,27 @@ _LAST = trim(f"split_part({_T}, ',', 1)")
 _FIRST = _untitled(rf"regexp_extract({_T}, '^[^,]*,([\s\S]*)$', 1)")
 _FIRST_SQL = title(f"CASE WHEN contains({_T}, ',') THEN {_FIRST} ELSE regexp_extract({trim(_untitled(_T))}, '^(\\S*)', 1) END")
 _LAST_SQL = title(f"CASE WHEN contains({_T}, ',') THEN {_LAST} ELSE regexp_extract({trim(_untitled(_T))}, '^\\S+\\s+([\\s\\S]*)$', 1) END")
-add("S23_split_person", {"first_name": (text.split_person(c("name"))[0], _FIRST_SQL), "last_name": (text.split_person(c("name"))[1], _LAST_SQL)})
-add("S24_name_normalize", {"out": (text.person_name(c("name")), f"concat_ws(' ', nullif({_FIRST_SQL}, ''), nullif({_LAST_SQL}, ''))")})
-add("S25_technical_name", {"technical": (text.technical_name(c("name")), f"'x_bt_' || {gsub(gsub(gsub('lower(name)', r'[^\p{L}\p{N}_]+', '_'), '^_+|_+$'), '_+', '_')}"), "label": (text.field_label(c("name")), title(trim("name")))})
-_PARTS = {k: c(k) for k in ("name", "email", "phone", "city")}
-add("S26_render_id", {"out": (keys.render_id("partner_{slug(email) or slug(name)}", _PARTS), f"substr('partner_' || coalesce(nullif({slug('email')}, ''), nullif({slug('name')}, ''), ''), 1, 60)"), "joined": (keys.render_id("{concat(city, phone)}-{slug(missing)}", _PARTS), "substr(concat_ws('_', nullif(city,''), nullif(phone,'')) || '-', 1, 60)")})
-add("S27_map_to_external_id", {"out": (text.external_id(c("p_name"), "part"), f"'migr.part.' || {gsub('p_name', '[^a-zA-Z0-9_.-]', '_')}"), "items": (F.array_join(F.transform(F.split("p_name", " "), lambda x: text.external_id(x, "word")), ","), f"array_to_string(['migr.word.' || {gsub('x', '[^a-zA-Z0-9_.-]', '_')} FOR x IN string_split(p_name, ' ')], ',')")}, **over("part", "p_partkey"))
+add("S23_split_person", {"first_name": (lambda: text.split_person(c("name"))[0], _FIRST_SQL), "last_name": (lambda: text.split_person(c("name"))[1], _LAST_SQL)})
+add("S24_name_normalize", {"out": (lambda: text.person_name(c("name")), f"concat_ws(' ', nullif({_FIRST_SQL}, ''), nullif({_LAST_SQL}, ''))")})
+add("S25_technical_name", {"technical": (lambda: text.technical_name(c("name")), f"'x_bt_' || {gsub(gsub(gsub('lower(name)', r'[^\p{L}\p{N}_]+', '_'), '^_+|_+$'), '_+', '_')}"), "label": (lambda: text.field_label(c("name")), title(trim("name")))})
+def _parts():
+    return {k: c(k) for k in ("name", "email", "phone", "city")}
+
+
+add("S26_render_id", {"out": (lambda: keys.render_id("partner_{slug(email) or slug(name)}", _parts()), f"substr('partner_' || coalesce(nullif({slug('email')}, ''), nullif({slug('name')}, ''), ''), 1, 60)"), "joined": (lambda: keys.render_id("{concat(city, phone)}-{slug(missing)}", _parts()), "substr(concat_ws('_', nullif(city,''), nullif(phone,'')) || '-', 1, 60)")})
+add("S27_map_to_external_id", {"out": (lambda: text.external_id(c("p_name"), "part"), f"'migr.part.' || {gsub('p_name', '[^a-zA-Z0-9_.-]', '_')}"), "items": (lambda: F.array_join(F.transform(F.split("p_name", " "), lambda x: text.external_id(x, "word")), ","), f"array_to_string(['migr.word.' || {gsub('x', '[^a-zA-Z0-9_.-]', '_')} FOR x IN string_split(p_name, ' ')], ',')")}, **over("part", "p_partkey"))
 add("S28_partner_ids", {
-    "partner": (keys.partner_id(c("name"), c("email"), c("phone"), c("street")), f"'partner_' || CASE WHEN {here('email')} THEN {slug48('email')} WHEN {here('phone')} THEN {slug48('phone')} WHEN {here('name')} AND {here('street')} THEN {slug48('name')} || '_' || {short_hash('street')} WHEN {here('name')} THEN {slug48('name')} ELSE {UNKNOWN3} END"),
-    "lead": (keys.lead_id(c("name"), c("email"), c("phone")), f"'lead_' || CASE WHEN {here('email')} THEN {slug48('email')} WHEN {here('phone')} THEN {slug48('phone')} WHEN {here('name')} THEN {slug48('name')} ELSE {UNKNOWN3} END"),
-    "product": (keys.product_id(c("name"), c("vat")), f"'product_' || CASE WHEN {here('vat')} THEN {slug48('vat')} WHEN {here('name')} THEN {slug48('name')} ELSE {UNKNOWN} END"),
-    "vehicle": (keys.vehicle_id(c("vat"), c("city")), f"'veh_' || CASE WHEN {here('vat')} THEN {slug48('vat')} WHEN {here('city')} THEN {slug48('city')} ELSE {UNKNOWN} END"),
-    "project": (keys.project_id(c("name"), c("city")), f"'project_' || CASE WHEN {here('city')} THEN {slug48('city')} WHEN {here('name')} THEN {slug48('name')} ELSE {UNKNOWN} END"),
-    "task": (keys.task_id(c("city"), c("name"), c("nation")), f"'task_' || CASE WHEN {here('city')} AND {here('name')} THEN {slug48('city')} || '_' || {slug48('name')} WHEN {here('city')} THEN {slug48('city')} || '_' || CAST(nation AS VARCHAR) WHEN {here('name')} THEN {slug48('name')} ELSE {UNKNOWN} END"),
-    "generic": (keys.generic_id("res.partner", c("name"), c("email")), f"CASE WHEN NOT ({here('name')} OR {here('email')}) THEN 'res_partner_' || {UNKNOWN} WHEN length(concat_ws('_', 'res_partner', CASE WHEN {here('name')} THEN {slug48('name')} END, CASE WHEN {here('email')} THEN {slug48('email')} END)) > 64 THEN concat_ws('_', 'res_partner', coalesce(CASE WHEN {here('name')} THEN {slug48('name')} END, CASE WHEN {here('email')} THEN {slug48('email')} END), {short_hash('name', 'email')}) ELSE concat_ws('_', 'res_partner', CASE WHEN {here('name')} THEN {slug48('name')} END, CASE WHEN {here('email')} THEN {slug48('email')} END) END"),
+    "partner": (lambda: keys.partner_id(c("name"), c("email"), c("phone"), c("street")), f"'partner_' || CASE WHEN {here('email')} THEN {slug48('email')} WHEN {here('phone')} THEN {slug48('phone')} WHEN {here('name')} AND {here('street')} THEN {slug48('name')} || '_' || {short_hash('street')} WHEN {here('name')} THEN {slug48('name')} ELSE {UNKNOWN3} END"),
+    "lead": (lambda: keys.lead_id(c("name"), c("email"), c("phone")), f"'lead_' || CASE WHEN {here('email')} THEN {slug48('email')} WHEN {here('phone')} THEN {slug48('phone')} WHEN {here('name')} THEN {slug48('name')} ELSE {UNKNOWN3} END"),
+    "product": (lambda: keys.product_id(c("name"), c("vat")), f"'product_' || CASE WHEN {here('vat')} THEN {slug48('vat')} WHEN {here('name')} THEN {slug48('name')} ELSE {UNKNOWN} END"),
+    "vehicle": (lambda: keys.vehicle_id(c("vat"), c("city")), f"'veh_' || CASE WHEN {here('vat')} THEN {slug48('vat')} WHEN {here('city')} THEN {slug48('city')} ELSE {UNKNOWN} END"),
+    "project": (lambda: keys.project_id(c("name"), c("city")), f"'project_' || CASE WHEN {here('city')} THEN {slug48('city')} WHEN {here('name')} THEN {slug48('name')} ELSE {UNKNOWN} END"),
+    "task": (lambda: keys.task_id(c("city"), c("name"), c("nation")), f"'task_' || CASE WHEN {here('city')} AND {here('name')} THEN {slug48('city')} || '_' || {slug48('name')} WHEN {here('city')} THEN {slug48('city')} || '_' || CAST(nation AS VARCHAR) WHEN {here('name')} THEN {slug48('name')} ELSE {UNKNOWN} END"),
+    "generic": (lambda: keys.generic_id("res.partner", c("name"), c("email")), f"CASE WHEN NOT ({here('name')} OR {here('email')}) THEN 'res_partner_' || {UNKNOWN} WHEN length(concat_ws('_', 'res_partner', CASE WHEN {here('name')} THEN {slug48('name')} END, CASE WHEN {here('email')} THEN {slug48('email')} END)) > 64 THEN concat_ws('_', 'res_partner', coalesce(CASE WHEN {here('name')} THEN {slug48('name')} END, CASE WHEN {here('email')} THEN {slug48('email')} END), {short_hash('name', 'email')}) ELSE concat_ws('_', 'res_partner', CASE WHEN {here('name')} THEN {slug48('name')} END, CASE WHEN {here('email')} THEN {slug48('email')} END) END"),
 })
 _ORDER = {"base": lambda s, d: table(s, d, "lineitem").select(F.concat(F.lit("SO-"), "l_orderkey").alias("number"), "l_orderkey", "l_linenumber"), "cte": "WITH o AS (SELECT concat('SO-', l_orderkey) AS number, l_orderkey, l_linenumber FROM lineitem)", "source": "o", "key": "l_orderkey"}
-add("S28_order_ids", {"so": (keys.order_id(c("number")), f"'so_' || {slug48('number')}"), "inv": (keys.order_id(c("number"), "inv_"), f"'inv_' || {slug48('number')}"), "sol": (keys.line_id(c("number"), c("l_linenumber")), f"'sol_' || {slug48('number')} || '_' || l_linenumber"), "invl": (keys.line_id(c("number"), c("l_linenumber"), "invl_"), f"'invl_' || {slug48('number')} || '_' || l_linenumber")}, **_ORDER)
-add("S29_string_clean", {"out": (text.string_clean(c("name"), upper=True), f"upper({trim('name')})"), "low": (text.string_clean(c("name"), strip=False, lower=True), "lower(name)")})
+add("S28_order_ids", {"so": (lambda: keys.order_id(c("number")), f"'so_' || {slug48('number')}"), "inv": (lambda: keys.order_id(c("number"), "inv_"), f"'inv_' || {slug48('number')}"), "sol": (lambda: keys.line_id(c("number"), c("l_linenumber")), f"'sol_' || {slug48('number')} || '_' || l_linenumber"), "invl": (lambda: keys.line_id(c("number"), c("l_linenumber"), "invl_"), f"'invl_' || {slug48('number')} || '_' || l_linenumber")}, **_ORDER)
+add("S29_string_clean", {"out": (lambda: text.string_clean(c("name"), upper=True), f"upper({trim('name')})"), "low": (lambda: text.string_clean(c("name"), strip=False, lower=True), "lower(name)")})
 
 
 def _header(x: str) -> str:
@@ -202,37 +207,37 @@ def _header(x: str) -> str:
 
 
 _HEADERS = "concat(CASE id % 6 WHEN 0 THEN 'Order_Qty (pcs)' WHEN 1 THEN 'cust.ref' WHEN 2 THEN ' Tel-Num ' WHEN 3 THEN 'Total Amt' WHEN 4 THEN 'refund' ELSE '' END, '')"
-add("S30_normalize_header", {"out": (text.normalize_header(F.expr(_HEADERS)), _header(_HEADERS))})
+add("S30_normalize_header", {"out": (lambda: text.normalize_header(F.expr(_HEADERS)), _header(_HEADERS))})
 _D = digits("phone")
-add("S31_phone_us", {"out": (contact.phone_us(c("phone")), f"CASE WHEN length({_D}) = 10 THEN '1' || {_D} WHEN length({_D}) = 11 AND starts_with({_D}, '1') THEN {_D} END")})
-add("S32_phone_e164", {"out": (contact.phone_e164(c("phone")), f"coalesce({phone('phone')}, phone)")})
-add("S33_phone_valid", {"out": (contact.phone_valid(c("phone")), phone("phone"))})
-add("S34_email_basic", {"out": (contact.email_basic(c("email")), f"CASE WHEN contains(coalesce(email, ''), '@') THEN lower({trim('email')}) ELSE '' END")})
-add("S35_email_strict", {"out": (contact.email_strict(c("email")), f"CASE WHEN {email_ok('email')} THEN lower({trim('email')}) ELSE '' END"), "ok": (contact.email_ok(c("email")), email_ok("email"))})
-add("S36_email_rfc", {"out": (contact.email_rfc(c("email")), f"CASE WHEN regexp_matches(lower({trim('email')}), '{contact.EMAIL}') AND NOT contains(lower({trim('email')}), '..') THEN lower({trim('email')}) END")})
+add("S31_phone_us", {"out": (lambda: contact.phone_us(c("phone")), f"CASE WHEN length({_D}) = 10 THEN '1' || {_D} WHEN length({_D}) = 11 AND starts_with({_D}, '1') THEN {_D} END")})
+add("S32_phone_e164", {"out": (lambda: contact.phone_e164(c("phone")), f"coalesce({phone('phone')}, phone)")})
+add("S33_phone_valid", {"out": (lambda: contact.phone_valid(c("phone")), phone("phone"))})
+add("S34_email_basic", {"out": (lambda: contact.email_basic(c("email")), f"CASE WHEN contains(coalesce(email, ''), '@') THEN lower({trim('email')}) ELSE '' END")})
+add("S35_email_strict", {"out": (lambda: contact.email_strict(c("email")), f"CASE WHEN {email_ok('email')} THEN lower({trim('email')}) ELSE '' END"), "ok": (lambda: contact.email_ok(c("email")), email_ok("email"))})
+add("S36_email_rfc", {"out": (lambda: contact.email_rfc(c("email")), f"CASE WHEN regexp_matches(lower({trim('email')}), '{contact.EMAIL}') AND NOT contains(lower({trim('email')}), '..') THEN lower({trim('email')}) END")})
 for _name, _hint in (("S39_parse_date", None), ("S39_parse_date_eu", "eu"), ("S39_parse_date_us", "us")):
-    add(_name, {"out": (dates.parse_date(c("day"), _hint), date("day", _hint))})
+    add(_name, {"out": (lambda h=_hint: dates.parse_date(c("day"), h), date("day", _hint))})
 _SERIAL = rf"CASE WHEN regexp_full_match({trim('day')}, '\d{{1,6}}(\.\d+)?') THEN TRY_CAST({trim('day')} AS DOUBLE) END"
-add("S40_normalize_date_any", {"out": (dates.normalize_any(c("day")), f"coalesce({date('day')}, CASE WHEN {_SERIAL} > 1 AND {_SERIAL} < 100000 THEN CAST(DATE '1899-12-30' + CAST(floor({_SERIAL}) AS INTEGER) AS DATE) END)")})
-add("S41_parse_date_format", {"out": (dates.parse_format(c("day"), "MM/dd/yyyy"), "coalesce(strftime(try_strptime(day, '%m/%d/%Y'), '%Y-%m-%d'), day)")})
-add("S42_date_format", {"out": (F.date_format("ts", "dd/MM/yyyy HH:mm"), "strftime(ts, '%d/%m/%Y %H:%M')")}, **over("events", "event_id"))
-add("S43_date_bucket", {"out": (dates.bucket(c("ts")), "CAST(date_trunc('week', ts) AS DATE)")}, **over("events", "event_id"))
-add("S44_normalize_dates", {"out": (dates.clean(c("day")), f"coalesce(strftime({date('day')}, '%Y-%m-%d'), {trim('day')})")})
-add("S45_currency_to_float", {"out": (numbers.currency_to_float(c("money")), f"coalesce({double(gsub('money', r'[$,\s]'))}, 0.0)")})
-add("S46_parse_decimal", {"en": (numbers.parse_decimal(c("money")), decimal("money")), "de": (numbers.parse_decimal(c("money"), "de"), decimal("money", "de"))})
-add("S47_clean_currency", {"out": (numbers.clean_currency(c("money")), f"coalesce(CAST(CAST({decimal('money')} AS DECIMAL(38,2)) AS VARCHAR), {gsub('money', r'[$€£¥₹,\s]')})")})
-add("S48_clean_numeric", {"out": (numbers.clean_numeric(c("money")), gsub("money", r"[^\d.-]"))})
-add("S49_extract_numeric", {"out": (numbers.extract_numeric(c("money")), double(gsub("money", r"[^\d.-]")))})
-add("S50_numeric_convert", {"out": (numbers.numeric_convert(c("money"), 2.0), f"({double(gsub('money', r'[$€£¥,\s]'))}) * 2.0")})
-add("S51_round", {"out": (numbers.round_even(c("l_extendedprice").cast("decimal(15,2)"), 1), "round_even(CAST(l_extendedprice AS DECIMAL(15,2)), 1)"), "l": (c("l_linenumber"), "l_linenumber")}, **over("lineitem", "l_orderkey"))
-add("S52_type_cast", {"i": (c("zip").try_cast("int"), "TRY_CAST(zip AS INTEGER)"), "f": (numbers.to_double(c("day")), double("day")), "s": (c("id").cast("string"), "CAST(id AS VARCHAR)"), "b": (numbers.parse_bool(c("flag")), boolean("flag"))})
-add("S53_parse_bool", {"out": (numbers.parse_bool(c("flag")), boolean("flag"))})
-add("S54_coerce_bool", {"out": (numbers.bool_text(c("flag")), f"CAST({boolean('flag')} AS VARCHAR)"), "fails": (numbers.parse_bool(c("flag")).isNull(), f"({boolean('flag')}) IS NULL")})
-add("S55_normalize_bool", {"out": (numbers.normalize_bool(c("flag")), f"coalesce(CAST({boolean('flag')} AS VARCHAR), flag)")})
-add("S56_boolean_convert", {"out": (numbers.parse_bool(c("l_returnflag"), ("r",), ("n", "a")), "CASE lower(l_returnflag) WHEN 'r' THEN true WHEN 'n' THEN false WHEN 'a' THEN false END"), "l": (c("l_linenumber"), "l_linenumber")}, **over("lineitem", "l_orderkey"))
-add("S57_selection_map", {"out": (numbers.selection_map(c("o_orderstatus"), {"f": "done", "o": "open"}), "CASE lower(o_orderstatus) WHEN 'f' THEN 'done' WHEN 'o' THEN 'open' ELSE o_orderstatus END")}, **over("orders", "o_orderkey"))
-add("S58_split", {"n": (F.size(text.split_list(c("p_name"), " ")), "len([x FOR x IN string_split(p_name, ' ') IF trim(x) <> ''])"), "first": (F.get(text.split_list(c("p_name"), " "), F.lit(0)), "split_part(p_name, ' ', 1)")}, **over("part", "p_partkey"))
-add("S59_join_list", {"out": (F.array_join(text.split_list(c("p_name"), " "), ";"), "array_to_string([trim(x) FOR x IN string_split(p_name, ' ') IF trim(x) <> ''], ';')")}, **over("part", "p_partkey"))
+add("S40_normalize_date_any", {"out": (lambda: dates.normalize_any(c("day")), f"coalesce({date('day')}, CASE WHEN {_SERIAL} > 1 AND {_SERIAL} < 100000 THEN CAST(DATE '1899-12-30' + CAST(floor({_SERIAL}) AS INTEGER) AS DATE) END)")})
+add("S41_parse_date_format", {"out": (lambda: dates.parse_format(c("day"), "MM/dd/yyyy"), "coalesce(strftime(try_strptime(day, '%m/%d/%Y'), '%Y-%m-%d'), day)")})
+add("S42_date_format", {"out": (lambda: F.date_format("ts", "dd/MM/yyyy HH:mm"), "strftime(ts, '%d/%m/%Y %H:%M')")}, **over("events", "event_id"))
+add("S43_date_bucket", {"out": (lambda: dates.bucket(c("ts")), "CAST(date_trunc('week', ts) AS DATE)")}, **over("events", "event_id"))
+add("S44_normalize_dates", {"out": (lambda: dates.clean(c("day")), f"coalesce(strftime({date('day')}, '%Y-%m-%d'), {trim('day')})")})
+add("S45_currency_to_float", {"out": (lambda: numbers.currency_to_float(c("money")), f"coalesce({double(gsub('money', r'[$,\s]'))}, 0.0)")})
+add("S46_parse_decimal", {"en": (lambda: numbers.parse_decimal(c("money")), decimal("money")), "de": (lambda: numbers.parse_decimal(c("money"), "de"), decimal("money", "de"))})
+add("S47_clean_currency", {"out": (lambda: numbers.clean_currency(c("money")), f"coalesce(CAST(CAST({decimal('money')} AS DECIMAL(38,2)) AS VARCHAR), {gsub('money', r'[$€£¥₹,\s]')})")})
+add("S48_clean_numeric", {"out": (lambda: numbers.clean_numeric(c("money")), gsub("money", r"[^\d.-]"))})
+add("S49_extract_numeric", {"out": (lambda: numbers.extract_numeric(c("money")), double(gsub("money", r"[^\d.-]")))})
+add("S50_numeric_convert", {"out": (lambda: numbers.numeric_convert(c("money"), 2.0), f"({double(gsub('money', r'[$€£¥,\s]'))}) * 2.0")})
+add("S51_round", {"out": (lambda: numbers.round_even(c("l_extendedprice").cast("decimal(15,2)"), 1), "round_even(CAST(l_extendedprice AS DECIMAL(15,2)), 1)"), "l": (lambda: c("l_linenumber"), "l_linenumber")}, **over("lineitem", "l_orderkey"))
+add("S52_type_cast", {"i": (lambda: c("zip").try_cast("int"), "TRY_CAST(zip AS INTEGER)"), "f": (lambda: numbers.to_double(c("day")), double("day")), "s": (lambda: c("id").cast("string"), "CAST(id AS VARCHAR)"), "b": (lambda: numbers.parse_bool(c("flag")), boolean("flag"))})
+add("S53_parse_bool", {"out": (lambda: numbers.parse_bool(c("flag")), boolean("flag"))})
+add("S54_coerce_bool", {"out": (lambda: numbers.bool_text(c("flag")), f"CAST({boolean('flag')} AS VARCHAR)"), "fails": (lambda: numbers.parse_bool(c("flag")).isNull(), f"({boolean('flag')}) IS NULL")})
+add("S55_normalize_bool", {"out": (lambda: numbers.normalize_bool(c("flag")), f"coalesce(CAST({boolean('flag')} AS VARCHAR), flag)")})
+add("S56_boolean_convert", {"out": (lambda: numbers.parse_bool(c("l_returnflag"), ("r",), ("n", "a")), "CASE lower(l_returnflag) WHEN 'r' THEN true WHEN 'n' THEN false WHEN 'a' THEN false END"), "l": (lambda: c("l_linenumber"), "l_linenumber")}, **over("lineitem", "l_orderkey"))
+add("S57_selection_map", {"out": (lambda: numbers.selection_map(c("o_orderstatus"), {"f": "done", "o": "open"}), "CASE lower(o_orderstatus) WHEN 'f' THEN 'done' WHEN 'o' THEN 'open' ELSE o_orderstatus END")}, **over("orders", "o_orderkey"))
+add("S58_split", {"n": (lambda: F.size(text.split_list(c("p_name"), " ")), "len([x FOR x IN string_split(p_name, ' ') IF trim(x) <> ''])"), "first": (lambda: F.get(text.split_list(c("p_name"), " "), F.lit(0)), "split_part(p_name, ' ', 1)")}, **over("part", "p_partkey"))
+add("S59_join_list", {"out": (lambda: F.array_join(text.split_list(c("p_name"), " "), ";"), "array_to_string([trim(x) FOR x IN string_split(p_name, ' ') IF trim(x) <> ''], ';')")}, **over("part", "p_partkey"))
 
 
 @query("S60_values_hash", "SELECT l_orderkey, md5(string_agg(v, ',' ORDER BY v)) AS out FROM (SELECT l_orderkey, CAST(l_partkey AS VARCHAR) AS v FROM lineitem) GROUP BY l_orderkey")
@@ -240,8 +245,11 @@ def values_hash(spark, d):
     return table(spark, d, "lineitem").groupBy("l_orderkey").agg(keys.values_hash(F.collect_list(c("l_partkey").cast("string"))).alias("out"))
 
 
-_CONTENT = {k: c(k) for k in ("name", "email", "phone", "nation", "id")}
-add("S61_content_hash", {"out": (keys.content_hash(_CONTENT), "md5(concat_ws('|', 'email:' || email, 'name:' || name, 'nation:' || nation, 'phone:' || phone))")})
+def _content():
+    return {k: c(k) for k in ("name", "email", "phone", "nation", "id")}
+
+
+add("S61_content_hash", {"out": (lambda: keys.content_hash(_content()), "md5(concat_ws('|', 'email:' || email, 'name:' || name, 'nation:' || nation, 'phone:' || phone))")})
 
 
 def named(x: str) -> str:
@@ -259,17 +267,17 @@ def company_key() -> Column:
     return keys.key_company(c("vat"), c("name"), c("street"), c("city"), none, c("nation").cast("string"), c("phone"), c("email"))
 
 
-add("S62_key_company", {"out": (company_key(), COMPANY_SQL)})
-add("S63_key_contact", {"out": (keys.key_contact(c("nation"), c("name"), c("email"), c("phone")), f"md5('contact:' || {named('nation')} || '|' || {normal('name')} || '|' || CASE WHEN {here('email')} THEN email WHEN {here('phone')} THEN phone ELSE '' END)")})
+add("S62_key_company", {"out": (lambda: company_key(), COMPANY_SQL)})
+add("S63_key_contact", {"out": (lambda: keys.key_contact(c("nation"), c("name"), c("email"), c("phone")), f"md5('contact:' || {named('nation')} || '|' || {normal('name')} || '|' || CASE WHEN {here('email')} THEN email WHEN {here('phone')} THEN phone ELSE '' END)")})
 _CREATED = "CASE WHEN id % 9 = 0 THEN NULL ELSE DATE '2024-01-01' + CAST(id % 40 AS INT) END"
 _WEEK = f"strftime(date_trunc('week', {_CREATED}), '%Y-%m-%d')"
 _EXT = "CASE WHEN id % 5 = 0 THEN concat('crm', id) ELSE NULL END"
 _PID = "CASE WHEN id % 3 = 0 THEN nation ELSE NULL END"
-add("S64_key_lead", {"out": (keys.key_lead(F.expr(_EXT), F.expr(_PID), c("name"), c("email"), F.expr(_CREATED)), f"""md5(CASE WHEN {here(_EXT)} THEN 'ext_id:' || {_EXT}
+add("S64_key_lead", {"out": (lambda: keys.key_lead(F.expr(_EXT), F.expr(_PID), c("name"), c("email"), F.expr(_CREATED)), f"""md5(CASE WHEN {here(_EXT)} THEN 'ext_id:' || {_EXT}
   WHEN coalesce({_PID}, 0) <> 0 AND {here('name')} AND {_CREATED} IS NOT NULL THEN 'partner_name_date:' || CAST({_PID} AS VARCHAR) || '|' || {normal('name')} || '|' || {_WEEK}
   WHEN {here('email')} AND {here('name')} AND {_CREATED} IS NOT NULL THEN 'email_name_date:' || lower({trim('email')}) || '|' || {normal('name')} || '|' || {_WEEK}
   ELSE concat_ws('|', {named(_PID)}, {named('name')}, {named('email')}, coalesce(strftime({_CREATED}, '%Y-%m-%d'), 'None')) END)""")})
-add("S65_key_vocab", {"out": (keys.key_vocab(c("n_name"), c("n_regionkey")), f"md5('vocab:' || {normal('n_name')} || '|' || coalesce(nullif(CAST(n_regionkey AS VARCHAR), '0'), 'global'))")}, **over("nation", "n_nationkey"))
+add("S65_key_vocab", {"out": (lambda: keys.key_vocab(c("n_name"), c("n_regionkey")), f"md5('vocab:' || {normal('n_name')} || '|' || coalesce(nullif(CAST(n_regionkey AS VARCHAR), '0'), 'global'))")}, **over("nation", "n_nationkey"))
 
 
 @query("S66_src_hash")
@@ -278,4 +286,4 @@ def src_hash(spark, d):
     return t.select("c_custkey", F.md5(F.to_json(F.struct(*t.columns))).alias("out"))
 
 
-add("S67_offending", {"out": (F.to_json(F.create_map(F.lit("email"), F.coalesce("email", F.lit("")))), """'{"email":"' || coalesce(email, '') || '"}'""")})
+add("S67_offending", {"out": (lambda: F.to_json(F.create_map(F.lit("email"), F.coalesce("email", F.lit("")))), """'{"email":"' || coalesce(email, '') || '"}'""")})
