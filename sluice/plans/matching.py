@@ -267,3 +267,79 @@ def parse_state(spark, d):
     tier = F.when(c("s") == c("code"), 1).when(c("s") == name, 2).when(F.contains(name, c("s")), 3)
     hits = g.join(F.broadcast(st), "country").withColumn("tier", tier).where("tier IS NOT NULL").groupBy("c_custkey").agg(F.min_by("code", "tier").alias("code"))
     return g.select("c_custkey").join(hits, "c_custkey", "left")
+
+
+# Domains of a table by the words of its headers: required, optional.
+DOMAINS = {"jewelry": (["ring"], ["gold", "silver", "small"]), "hardware": (["bolt", "gear"], ["red", "blue"]), "gadgets": (["widget"], ["green", "large"])}
+
+
+def _domain_sql(name: str) -> str:
+    req, opt = DOMAINS[name]
+    has = lambda w: f"CAST(bool_or(contains(p_name, '{w}')) AS INT)"
+    return f"SELECT p_brand AS tab, '{name}' AS domain, round(0.5 * ({' + '.join(map(has, req))}) / {len(req)} + 0.15 * ({' + '.join(map(has, opt))}) / {len(opt)}, 6) AS score FROM part WHERE p_partkey % 4 = 0 GROUP BY p_brand"
+
+
+DOMAIN_SQL = " UNION ALL ".join(map(_domain_sql, DOMAINS))
+
+
+def domains(spark, d):
+    has = lambda w: F.bool_or(F.contains("p_name", F.lit(w))).cast("int")
+    share = lambda ws: sum((has(w) for w in ws[1:]), has(ws[0])) / len(ws)
+    out = [F.struct(F.lit(k).alias("domain"), F.round(0.5 * share(req) + 0.15 * share(opt), 6).alias("score")) for k, (req, opt) in DOMAINS.items()]
+    return table(spark, d, "part").where("p_partkey % 4 = 0").groupBy(c("p_brand").alias("tab")).agg(F.array(*out).alias("e")).select("tab", F.explode("e").alias("e")).select("tab", "e.*")
+
+
+@query("D24_score_domain", f"SELECT * FROM ({DOMAIN_SQL}) WHERE score >= 0.3")
+def score_domain(spark, d):
+    """Required words weigh 0.5 and optional ones 0.15; one aggregation for all domains."""
+    return domains(spark, d).where("score >= 0.3")
+
+
+MODELS = {"jewelry": ["shop.ring", "shop.item"], "hardware": ["store.part", "shop.item"], "gadgets": ["shop.item"]}
+MODEL_ROWS = [(k, m, i) for k, ms in MODELS.items() for i, m in enumerate(ms)]
+
+
+@query("D25_score_models", f"WITH s AS (SELECT tab, model, round(sum(score * (1 - 0.1 * pos)), 6) AS total FROM ({DOMAIN_SQL}) JOIN (VALUES {', '.join(map(str, MODEL_ROWS))}) m(domain, model, pos) USING (domain) GROUP BY ALL), n AS (SELECT *, max(total) OVER (PARTITION BY tab) AS top FROM s) SELECT tab, model, round(total / top, 4) AS score FROM n WHERE top > 0 AND round(total / top, 4) >= 0.5")
+def score_models(spark, d):
+    m = spark.createDataFrame([(k, ms) for k, ms in MODELS.items()], "domain string, models array<string>").select("domain", F.posexplode("models").alias("pos", "model"))
+    s = domains(spark, d).join(F.broadcast(m), "domain").groupBy("tab", "model").agg(F.round(F.sum(c("score") * (1 - 0.1 * c("pos"))), 6).alias("total"))
+    top = s.groupBy("tab").agg(F.max("total").alias("top"))
+    return s.join(top, "tab").where("top > 0").select("tab", "model", F.round(c("total") / c("top"), 4).alias("score")).where("score >= 0.5")
+
+
+REL_HEADER = "CASE p_size % 4 WHEN 0 THEN concat(replace(p_name, ' ', '_'), '_id') WHEN 1 THEN concat(replace(p_name, ' ', '_'), '_', p_size) WHEN 2 THEN concat(replace(p_name, ' ', '_'), '_tags') ELSE p_name END"
+
+
+@query("D27_detect_relationships", f"SELECT p_brand AS tab, kind, confidence, target, count(*) AS n FROM (SELECT p_brand, CASE WHEN regexp_matches(h, '_id$') THEN 'many2one' WHEN regexp_matches(h, '_\\d+$') THEN 'one2many' WHEN regexp_matches(h, '_tags$') THEN 'many2many' END AS kind, CASE WHEN regexp_matches(h, '_id$') THEN 0.8 WHEN regexp_matches(h, '_\\d+$') THEN 0.9 WHEN regexp_matches(h, '_tags$') THEN 0.7 END AS confidence, regexp_replace(h, '_(id|tags|\\d+)$', '') AS target FROM (SELECT p_brand, {REL_HEADER} AS h FROM part)) WHERE kind IS NOT NULL GROUP BY ALL")
+def detect_relationships(spark, d):
+    h = F.expr(REL_HEADER)
+    pick = lambda *v: F.when(F.rlike(h, F.lit("_id$")), v[0]).when(F.rlike(h, F.lit(r"_\d+$")), v[1]).when(F.rlike(h, F.lit("_tags$")), v[2])
+    r = table(spark, d, "part").select(c("p_brand").alias("tab"), pick("many2one", "one2many", "many2many").alias("kind"), pick(0.8, 0.9, 0.7).alias("confidence"), F.regexp_replace(h, r"_(id|tags|\d+)$", "").alias("target"))
+    return r.where("kind IS NOT NULL").groupBy("tab", "kind", "confidence", "target").agg(F.count("*").alias("n"))
+
+
+ANCHORS = {"click": "page", "purchase": "order", "view": "page", "signup": "partner", "error": "log"}
+ROUTED = "concat('res.', event_type)"
+
+
+@query("D29_detect_polymorphic", f"SELECT grp, round(CASE WHEN n_models >= 2 THEN 0.3 ELSE 0.15 END + 0.4 * known + 0.2 * numeric_ids + 0.1, 6) AS confidence, top_model, CASE WHEN CASE WHEN n_models >= 2 THEN 0.3 ELSE 0.15 END + 0.4 * known + 0.2 * numeric_ids + 0.1 < 0.75 OR n_models > 2 THEN true ELSE false END AS confirm FROM (SELECT user_id % 10 AS grp, count(DISTINCT event_type) AS n_models, count(*) FILTER (WHERE contains({ROUTED}, '.') AND event_type IN ('click', 'purchase')) / count(*) AS known, count(*) FILTER (WHERE regexp_matches(CAST(event_id AS VARCHAR), '^[0-9]+$')) / count(*) AS numeric_ids FROM events GROUP BY 1) JOIN (SELECT grp, top_model FROM (SELECT user_id % 10 AS grp, event_type AS top_model, row_number() OVER (PARTITION BY user_id % 10 ORDER BY count(*) DESC, event_type) AS r FROM events GROUP BY 1, 2) WHERE r = 1) USING (grp)")
+def detect_polymorphic(spark, d):
+    """A model and an id column per group: how many models, how many known, how many numeric ids."""
+    e = table(spark, d, "events").withColumn("grp", c("user_id") % 10).withColumn("model", F.expr(ROUTED))
+    per = e.groupBy("grp", "event_type").agg(F.count("*").alias("n"), F.count_if(F.contains("model", F.lit(".")) & c("event_type").isin("click", "purchase")).alias("k"), F.count_if(F.rlike(c("event_id").cast("string"), F.lit("^[0-9]+$"))).alias("i"))
+    g = per.groupBy("grp").agg(F.count("*").alias("n_models"), (F.sum("k") / F.sum("n")).alias("known"), (F.sum("i") / F.sum("n")).alias("ids"), F.min(F.struct((-c("n")).alias("neg"), "event_type")).alias("b"))
+    score = F.when(c("n_models") >= 2, 0.3).otherwise(0.15) + 0.4 * c("known") + 0.2 * c("ids") + 0.1
+    return g.select("grp", F.round(score, 6).alias("confidence"), c("b.event_type").alias("top_model"), ((score < 0.75) | (c("n_models") > 2)).alias("confirm"))
+
+
+VALUE_RULES = {"company": r"(?i)\b(inc|llc|ltd|corp)\b", "person": r"^[A-Z][a-z]+, ?(Mr|Ms|Dr)?\.? ?[A-Z]", "code": r"^[A-Z]{2,}[-# ]\d+", "phone": r"^[+(]?\d[\d\s().-]{6,}"}
+VALUED = ["name", "phone", "city", "money"]
+
+
+@query("D30_analyze_values", "SELECT * FROM (" + (f"{PARTNERS} " + " UNION ALL ".join(f"SELECT '{x}' AS \"column\", '{k}' AS hint, round(count(*) FILTER (WHERE regexp_matches({x}, '{r}')) / count(*), 6) AS share FROM (SELECT DISTINCT {x} FROM partners WHERE {x} IS NOT NULL)" for x in VALUED for k, r in VALUE_RULES.items())) + ") WHERE share > 0.05")
+def analyze_values(spark, d):
+    """Distinct values of each column against all rules: shares that hint at what a column holds."""
+    p = partners(spark, d)
+    values = p.select(F.explode(F.array(*[F.struct(F.lit(x).alias("column"), c(x).alias("v")) for x in VALUED])).alias("x")).select("x.*").where("v IS NOT NULL").distinct()
+    shares = [F.struct(F.lit(k).alias("hint"), F.round(F.count_if(F.rlike("v", F.lit(r))) / F.count("*"), 6).alias("share")) for k, r in VALUE_RULES.items()]
+    return values.groupBy("column").agg(F.array(*shares).alias("s")).select("column", F.explode("s").alias("s")).select("column", "s.*").where("share > 0.05")
