@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard, langid, mixing, secrets, substrings, urls, vectors, warc, wrappers
+from . import decontaminate, jaccard, langid, mixing, oracle, secrets, substrings, urls, vectors, warc, wrappers
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -16,4 +16,9 @@ QUERIES = {
     "op9_substrings": substrings.op9_substrings,
     "op10_decontaminate": decontaminate.op10_decontaminate,
 }
-SQL = {"op7_mixing": mixing.SQL}
+SQL = {
+    "op3_jaccard": oracle.JACCARD,
+    "op5_vectors": oracle.VECTORS,
+    "op7_mixing": mixing.SQL,
+    "op9_substrings": oracle.SUBSTRINGS,
+}
