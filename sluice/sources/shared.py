@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+@functools.cache
+def _own_dir() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="sluice-")
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A new path under spark.checkpoint.dir; in local sessions without one, under a temporary folder."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="sluice-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        root = _own_dir()
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
