@@ -12,7 +12,7 @@ Sets are classes of documents with equal shingles. The join runs in these steps,
    grouping, where a star counts once.
 4. Stars that share a key are compared by their centres; Jaccard distance is a metric, so centres
    further apart than threshold plus radii cannot have linked members, and are dropped. Members of
-   the others are compared themselves, exactly.
+   the others are compared themselves, exactly, unless a chain of links joins their stars already.
 
 Steps 2 and 4 decide by the exact similarity of whole sets; the order of shingles, the stars and the
 boundary decide only how much work it takes, never what is found.
@@ -28,21 +28,24 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, DoubleType, StructType
 
-from .common import WordHash, components, gram_hashes, mixed, saved, table, tune
+from .common import Filter, WordHash, components, gram_hashes, mixed, release, saved, table, tune
 
 SHINGLE = 5
 #: Links have NUMERATOR * union <= DENOMINATOR * intersection: a similarity of 0.75 or more.
 NUMERATOR, DENOMINATOR = 75, 100
+THRESHOLD = NUMERATOR / DENOMINATOR
 #: Signatures per class and min-hashes per signature.
 SIGNATURES, HASHES = 8, 3
-#: A task reports shingles that it saw in this many documents; as many as WIDE go last in the order.
-SEEN, WIDE = 8, 1 << 19
+#: Shingles per bucket of a sketch.
+PER_BUCKET = 4
+#: A task reports shingles that it saw in this many documents of a block of BLOCK shingles; those that
+#: were reported often, WIDE of them at most, go last in the order.
+SEEN, BLOCK, OFTEN, WIDE = 2, 1 << 22, 8, 1 << 19
 #: Subset size of small sets, and the sizes among which the boundary is chosen.
 SUBSET, BOUNDARIES = 2, range(0, 49, 4)
 #: A list with more stars than this sends its shingle to the end of the order, in a further pass.
-LONG_LIST, PASSES = 96, 3
+LONG_LIST, PASSES = 16, 2
 
 
 def shingle_set(text: bytes | None, table: WordHash) -> np.ndarray:
@@ -67,73 +70,122 @@ def _ids(docs: DataFrame) -> DataFrame:
     return docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
 
 
-SURVEYED = "doc_id long, n int, class binary, signatures array<long>, shingle long, seen long"
+SURVEYED = "doc_id long, n int, class binary, signatures array<long>, sketch binary, shingle long, seen long"
+NAMES = [x.split()[0] for x in SURVEYED.split(", ")]
+
+
+def signatures_of(s: np.ndarray) -> np.ndarray:
+    """Signatures by one-permutation hashing: the sorted set is cut into equal ranges, whose first
+    members (or the next ones, where a range is empty) are the min-hashes."""
+    cuts = np.arange(SIGNATURES * HASHES, dtype=np.uint64) * np.uint64((1 << 64) // (SIGNATURES * HASHES))
+    mins = s[np.searchsorted(s, cuts) % len(s)].reshape(HASHES, SIGNATURES)
+    return mixed(mins[0] * np.uint64(3) + mixed(mins[1] * np.uint64(5) + mixed(mins[2] + np.arange(SIGNATURES, dtype=np.uint64))))
+
+
+def sketch_of(s: np.ndarray) -> bytes:
+    """Members of the set per range of hashes, about PER_BUCKET each; a power of two of ranges."""
+    bits = max(2, (len(s) // PER_BUCKET).bit_length())
+    return np.minimum(np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
+
+
+def most_similar(a: bytes, b: bytes) -> float:
+    """No sets with these sketches are more similar than this: ranges share their lesser count."""
+    x, y = np.frombuffer(a, np.uint8).astype(np.int64), np.frombuffer(b, np.uint8).astype(np.int64)
+    if x.max() == 255 or y.max() == 255:  # counts stop there, so they say nothing
+        return 1.0
+    width = min(len(x), len(y))
+    x, y = x.reshape(width, -1).sum(1), y.reshape(width, -1).sum(1)
+    both = int(np.minimum(x, y).sum())
+    return both / (int(x.sum()) + int(y.sum()) - both)
 
 
 def survey(docs: DataFrame) -> DataFrame:
     """Step 1: a row per document, and rows (shingle, seen) of shingles that a task saw often."""
-    perms = [(int(a) | 1, int(b)) for a, b in np.random.default_rng(7).integers(0, 1 << 63, (SIGNATURES * HASHES, 2), dtype=np.int64)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, pending, size, often = WordHash(), [], 0, {}
+        words, pending, size = WordHash(), [], 0
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 s = shingle_set(text, words)
                 if not len(s):
-                    rows.append((doc_id, 0, None, None, None, None))
+                    rows.append((doc_id, 0, None, None, None, None, None))
                     continue
-                mins = np.array([(s * np.uint64(a) + np.uint64(b)).min() for a, b in perms]).reshape(SIGNATURES, HASHES)
-                sig = mixed(mixed(mins[:, 0]) + np.uint64(3) * mins[:, 1] + np.uint64(5) * mixed(mins[:, 2]) + np.arange(SIGNATURES, dtype=np.uint64))
-                rows.append((doc_id, len(s), xxhash.xxh3_128_digest(s.tobytes()), sig.view(np.int64).tolist(), None, None))
+                rows.append((doc_id, len(s), xxhash.xxh3_128_digest(s.tobytes()), signatures_of(s).view(np.int64).tolist(), sketch_of(s), None, None))
                 pending.append(s)
                 size += len(s)
-                if size > 1 << 21:  # counts of a task are taken in blocks, so memory is bounded
-                    _count(pending, often)
-                    pending, size = [], 0
             yield _batch(rows)
+            if size > BLOCK:
+                yield _counted(pending)
+                pending, size = [], 0
         if pending:
-            _count(pending, often)
-        kept = [(None, None, None, None, k, v) for k, v in often.items() if v >= SEEN]
-        for i in range(0, len(kept), 20_000):
-            yield _batch(kept[i : i + 20_000])
+            yield _counted(pending)
 
-    def _count(sets: list[np.ndarray], often: dict[int, int]) -> None:
+    def _counted(sets: list[np.ndarray]) -> pa.RecordBatch:
         values, times = np.unique(np.concatenate(sets), return_counts=True)
-        for k, v in zip(values[times >= 4].view(np.int64).tolist(), times[times >= 4].tolist(), strict=True):
-            often[k] = often.get(k, 0) + v
+        keep = times >= SEEN
+        n = int(keep.sum())
+        none = [pa.nulls(n, t) for t in (pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.binary())]
+        return pa.RecordBatch.from_arrays([*none, pa.array(values[keep].view(np.int64)), pa.array(times[keep].astype(np.int64))], NAMES)
 
     def _batch(rows: list[tuple]) -> pa.RecordBatch:
-        types = [pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.int64(), pa.int64()]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["doc_id", "n", "class", "signatures", "shingle", "seen"])
+        types = [pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.binary(), pa.int64(), pa.int64()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], NAMES)
 
     return saved(_ids(docs).mapInArrow(run, SURVEYED), "jaccard-survey")
 
 
+def prefix(n: int) -> int:
+    """How many of a set's first shingles, in any fixed order, meet those of any set it links to."""
+    return n - overlap_needed(n) + 1
+
+
 def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(node, items) of the documents in ids (node): the sorted set as bytes."""
+    """(node, items): sorted sets as bytes of the documents in ids (node), and of a few others that
+    the filter lets through; texts aren't shuffled for it."""
+    keep = Filter.of(ids, "node")
+    held = docs.sparkSession.sparkContext.broadcast(keep)
+    first, second = Filter.places(F.col("doc_id"), keep.width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHash()
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t, words).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], ["node", "items"])
+            batch = batch.filter(pa.array(held.value.has([batch.column("p").to_numpy(), batch.column("q").to_numpy()]), pa.bool_()))
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t, words).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], ["node", "items"])
 
-    wanted = _ids(docs).join(ids.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    return saved(wanted.mapInArrow(run, "node long, items binary").dropDuplicates(["node", "items"]), "jaccard-sets")
+    wanted = _ids(docs).select("doc_id", "text", first.alias("p"), second.alias("q"))
+    return wanted.mapInArrow(run, "node long, items binary")
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """pairs (a, b, ...) with linked and distance, from whole sets."""
+def possible(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """pairs (a, b, least) whose sketches allow a similarity of `least`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            least = batch.column("least").to_pylist()
+            ok = [most_similar(x, y) >= z - 1e-9 for x, y, z in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), least, strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    both = pairs.join(sketches.select(F.col("node").alias("a"), F.col("sketch").alias("x")), "a").join(sketches.select(F.col("node").alias("b"), F.col("sketch").alias("y")), "b")
+    return saved(both.select("a", "b", "least", "x", "y").mapInArrow(run, "a long, b long").distinct(), "jaccard-possible")
+
+
+def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(a, b, linked, distance) of pairs, from whole sets. Each set travels by its pairs' a, then by b."""
+    if pairs.isEmpty():
+        return docs.sparkSession.createDataFrame([], "a long, b long, linked boolean, distance double")
+    sets = sets_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("node")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)]
-            keep = batch.drop_columns(["x", "y"])
-            yield keep.append_column("linked", pa.array([f[0] for f in found], pa.bool_())).append_column("distance", pa.array([f[1] for f in found], pa.float64()))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array([f[0] for f in found], pa.bool_()), pa.array([f[1] for f in found], pa.float64())], ["a", "b", "linked", "distance"])
 
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("items").alias("y")), "b")
-    both = both.select(*pairs.columns, "x", "y")
-    return both.mapInArrow(run, StructType([*pairs.schema.fields]).add("linked", BooleanType()).add("distance", DoubleType()))
+    found = both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, linked boolean, distance double")
+    # A doc_id with two texts has two sets: one link is enough.
+    return saved(found.groupBy("a", "b").agg(F.max("linked").alias("linked"), F.min("distance").alias("distance")), "jaccard-verified")
 
 
 def stars(docs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -147,9 +199,8 @@ def stars(docs: DataFrame, classes: DataFrame) -> DataFrame:
         hook = saved(hook.join(above, "up", "left").select("node", F.coalesce("upper", "up").alias("up")), "jaccard-hooks")
     # A centre is what others hook to, and hooks to itself.
     centres = hook.where("node = up").select(F.col("node").alias("up"))
-    pairs = saved(hook.where("node <> up").join(centres, "up", "left_semi").select(F.col("node").alias("a"), F.col("up").alias("b")), "jaccard-hooked")
-    ids = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node")))
-    held = saved(verified(pairs, sets_of(docs, ids)).groupBy("a", "b").agg(F.max("linked").alias("linked"), F.min("distance").alias("distance")).where("linked").select(F.col("a").alias("node"), F.col("b").alias("star"), F.col("distance").alias("radius")), "jaccard-held")
+    pairs = hook.where("node <> up").join(centres, "up", "left_semi").select(F.col("node").alias("a"), F.col("up").alias("b"), F.lit(THRESHOLD).alias("least"))
+    held = verified(docs, possible(pairs, classes)).where("linked").select(F.col("a").alias("node"), F.col("b").alias("star"), F.col("distance").alias("radius"))
     own = classes.select("node").distinct().join(held, "node", "left")
     return saved(own.select("node", F.coalesce("star", "node").alias("star"), F.coalesce("radius", F.lit(0.0)).alias("radius")), "jaccard-stars")
 
@@ -165,7 +216,7 @@ def boundary(sizes: list[tuple[int, int]], listed: float) -> int:
     def cost(limit: int) -> float:
         total = 0.0
         for n, times in sizes:
-            p = n - overlap_needed(n) + 1
+            p = prefix(n)
             subsets = comb(p + SUBSET - 1, SUBSET) if n > SUBSET else 0
             if n <= limit:
                 total += times * subsets
@@ -178,20 +229,22 @@ def boundary(sizes: list[tuple[int, int]], listed: float) -> int:
 
 def entries(docs: DataFrame, members: DataFrame, wide: np.ndarray, limit: int) -> DataFrame:
     """Step 3: (key, star) of every class, once for each star."""
-    held = docs.sparkSession.sparkContext.broadcast(np.sort(wide))
+    spread = np.zeros(1 << 22, bool)
+    spread[wide >> np.uint64(42)] = True
+    held = docs.sparkSession.sparkContext.broadcast((np.sort(wide), spread))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, last = WordHash(), held.value
+        words, (last, spread) = WordHash(), held.value
         for batch in batches:
             out = []
             for text in batch.column(1).to_pylist():
                 s = shingle_set(text, words)
-                if len(last) and len(s):
-                    at = np.minimum(np.searchsorted(last, s), len(last) - 1)
-                    often = last[at] == s
+                often = spread[s >> np.uint64(42)]  # a first look that is right about most
+                if often.any():
+                    often[often] = last[np.minimum(np.searchsorted(last, s[often]), len(last) - 1)] == s[often]
                     s = np.concatenate([s[~often], s[often]])
                 n, keys = len(s), []
-                p = n - overlap_needed(n) + 1
+                p = prefix(n)
                 if n and (n > limit or n >= overlap_needed(limit + 1)):
                     keys.append(s[:p])  # the shingle itself
                 if SUBSET < n <= limit:
@@ -213,7 +266,7 @@ def star_pairs(docs: DataFrame, members: DataFrame, surveyed: DataFrame, sizes:
     Lists longer than LONG_LIST send their shingles to the end of the order and the keys are made
     anew, PASSES times at most; what is long then is joined in full, for no link may be lost.
     """
-    often = surveyed.where("shingle IS NOT NULL").groupBy("shingle").agg(F.sum("seen").alias("seen"))
+    often = surveyed.where("shingle IS NOT NULL").groupBy("shingle").agg(F.sum("seen").alias("seen")).where(F.col("seen") >= OFTEN)
     # Any shingles may go last, so a bound on their number costs time at worst.
     wide = _longs(often.orderBy(F.desc("seen"), "shingle").limit(WIDE).select("shingle"))
     limit = boundary(sizes, listed=1.0)
@@ -222,6 +275,7 @@ def star_pairs(docs: DataFrame, members: DataFrame, surveyed: DataFrame, sizes:
         met = saved(e.withColumn("m", F.count("*").over(Window.partitionBy("key"))).where("m > 1"), "jaccard-lists")
         if not last:
             break
+        release(docs.sparkSession)
         found = _longs(met.where(F.col("m") > LONG_LIST).select("key").distinct().limit(WIDE))
         new = found[~np.isin(found, wide)][: max(0, WIDE - len(wide))]
         if not len(new):
@@ -248,27 +302,35 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     tune(docs.sparkSession)
     surveyed = survey(docs)
     rows = surveyed.where("shingle IS NULL")
-    classes = rows.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("signatures").alias("signatures"))
+    classes = rows.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("signatures").alias("signatures"), F.first("sketch").alias("sketch"))
     classes = saved(classes, "jaccard-classes")
     members = stars(docs, classes)
+    release(docs.sparkSession)
     sizes = [(r[0], r[1]) for r in classes.groupBy("n").count().collect()]
     pairs = star_pairs(docs, members, surveyed, sizes)
 
-    reach = members.groupBy("star").agg(F.max("radius").alias("r"), F.count("*").alias("m"))
-    ids = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node")))
-    apart = verified(pairs, sets_of(docs, ids)).groupBy("a", "b").agg(F.max("linked").alias("linked"), F.min("distance").alias("distance"))
+    release(docs.sparkSession)
+    # Stars are compared by their centres, as far as their radii allow a link at all.
+    reach = saved(members.groupBy("star").agg(F.max("radius").alias("r"), F.count("*").alias("m")), "jaccard-reach")
     ra, rb = reach.select(F.col("star").alias("a"), F.col("r").alias("ra"), F.col("m").alias("ma")), reach.select(F.col("star").alias("b"), F.col("r").alias("rb"), F.col("m").alias("mb"))
-    close = saved(apart.join(ra, "a").join(rb, "b").where(F.col("linked") | (F.col("distance") <= 1 - NUMERATOR / DENOMINATOR + F.col("ra") + F.col("rb") + 1e-9)), "jaccard-close")
-
-    open_ = close.where("NOT linked AND ma + mb > 2")
+    least = pairs.join(ra, "a").join(rb, "b").select("a", "b", (F.lit(THRESHOLD) - F.col("ra") - F.col("rb")).alias("least"))
+    apart = verified(docs, possible(least, classes))
+    close = saved(apart.join(ra, "a").join(rb, "b").where(F.col("linked") | (F.col("distance") <= 1 - THRESHOLD + F.col("ra") + F.col("rb") + 1e-9)), "jaccard-close")
+
+    # Members are compared where their stars aren't in one component already, and where the radii
+    # allow a link.
+    edges = members.where("node <> star").select(F.col("node").alias("a"), F.col("star").alias("b")).union(close.where("linked").select("a", "b"))
+    joined = components(edges)
+    where = members.select("star").distinct().join(joined, F.col("star") == F.col("node"), "left").select("star", F.coalesce("component", "star").alias("at"))
+    here, there = where.select(F.col("star").alias("a"), F.col("at").alias("at_a")), where.select(F.col("star").alias("b"), F.col("at").alias("at_b"))
+    apart = saved(close.where("NOT linked AND ma + mb > 2").join(here, "a").join(there, "b").where("at_a <> at_b").select("a", "b", "distance"), "jaccard-apart")
     own = members.select("node", "star", "radius")
     x, y = own.select(F.col("star").alias("a"), F.col("node").alias("p"), F.col("radius").alias("rp")), own.select(F.col("star").alias("b"), F.col("node").alias("q"), F.col("radius").alias("rq"))
-    inner = open_.select("a", "b", "distance").join(x, "a").where(F.col("rp") <= 1).join(y, "b").where(F.col("rp") + F.col("rq") >= F.col("distance") - (1 - NUMERATOR / DENOMINATOR) - 1e-9)
-    inner = saved(inner.select(F.col("p").alias("a"), F.col("q").alias("b")), "jaccard-inner")
-    ids = inner.select(F.col("a").alias("node")).union(inner.select(F.col("b").alias("node")))
-    inner = verified(inner, sets_of(docs, ids)).where("linked").select("a", "b")
+    inner = apart.join(x, "a").join(y, "b").where(F.col("rp") + F.col("rq") >= F.col("distance") - (1 - THRESHOLD) - 1e-9)
+    inner = inner.select(F.col("p").alias("a"), F.col("q").alias("b"), F.lit(THRESHOLD).alias("least"))
+    inner = verified(docs, possible(inner, classes)).where("linked").select("a", "b")
 
-    edges = members.where("node <> star").select(F.col("node").alias("a"), F.col("star").alias("b")).union(close.where("linked").select("a", "b")).union(inner)
+    edges = edges.union(inner)
     # A class links all its documents to its node; a doc_id with two texts is in two classes.
     of = rows.where("n > 0").select("doc_id", "class").join(classes.select("class", "node"), "class")
     edges = edges.union(of.where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b")))
