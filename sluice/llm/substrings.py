@@ -15,15 +15,16 @@ of the window that ends there, and the state holds the smallest doc_id of all pl
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WordHash, gram_hashes, saved, table, tune
+from .common import Filter, WordHash, discard, gram_hashes, release, saved, table, tune
 
 WINDOW, GRAM = 13, 5
 #: Distinct segments per shard aimed at; bounds the automaton of a task.
@@ -95,13 +96,21 @@ class SuffixAutomaton:
         return out
 
 
-def minimizers(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(place of the minimizer of each window, five-word hashes); no windows, no places."""
+def minimizers(words: np.ndarray) -> np.ndarray:
+    """The minimizer of each window: the least hash of the five-word runs in it."""
     if len(words) < WINDOW:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    grams = gram_hashes(words, GRAM)
-    span = WINDOW - GRAM + 1
-    return np.lib.stride_tricks.sliding_window_view(grams, span).argmin(1) + np.arange(len(grams) - span + 1), grams
+        return np.zeros(0, np.uint64)
+    least, width, span = gram_hashes(words, GRAM), 1, WINDOW - GRAM + 1
+    while width < span:  # least holds the minimum of `width` runs
+        step = min(width, span - width)
+        least = np.minimum(least[:-step], least[step:])
+        width += step
+    return least
+
+
+def changes(least: np.ndarray) -> np.ndarray:
+    """First windows of the segments."""
+    return np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
 
 
 def _documents(docs: DataFrame) -> DataFrame:
@@ -121,20 +130,22 @@ def _recurring(docs: DataFrame) -> DataFrame:
         for batch in batches:
             ids, out = [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                at, grams = minimizers(table.of(text.split()))
-                found = np.unique(grams[np.unique(at)]) if len(at) else grams
-                ids.append(np.full(len(found), doc_id))
-                out.append(found)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids).astype(np.int64)), pa.array(np.concatenate(out).view(np.int64))], ["doc_id", "gram"])
+                least = minimizers(table.of(text.split()))
+                if len(least):
+                    out.append(np.unique(least[changes(least)]))
+                    ids.append(np.full(len(out[-1]), doc_id))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(out).view(np.int64))], ["doc_id", "gram"])
 
-    # One exchange serves the aggregation and the join.
-    each = _documents(docs).mapInArrow(run, "doc_id long, gram long").repartition("gram")
-    twice = each.groupBy("gram").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("gram")
-    return each.join(twice, "gram").groupBy("doc_id").agg(F.collect_set("gram").alias("grams"))
+    each = _documents(docs).mapInArrow(run, "doc_id long, gram long")
+    same = Window.partitionBy("gram")
+    twice = each.select("doc_id", "gram", F.min("doc_id").over(same).alias("lo"), F.max("doc_id").over(same).alias("hi")).where("lo < hi")
+    return twice.groupBy("doc_id").agg(F.collect_set("gram").alias("grams"))
 
 
 def _segments(docs: DataFrame) -> DataFrame:
-    """(doc_id, row, at, gram, key, words): segments with a recurring minimizer."""
+    """(doc_id, row, at, gram, key, words): segments with a recurring minimizer; minimizer and key
+    together, 128 bits of hashes, stand for the words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = WordHash()
@@ -142,83 +153,126 @@ def _segments(docs: DataFrame) -> DataFrame:
             rows = []
             for doc_id, text, row, wanted in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3), strict=True):
                 words = text.split()
-                at, grams = minimizers(table.of(words))
-                if not len(at):
+                least = minimizers(table.of(words))
+                if not len(least):
                     continue
-                start = np.flatnonzero(np.diff(at, prepend=-1))
-                end = np.append(start[1:], len(at))
-                held = np.isin(grams[at[start]].view(np.int64), wanted.values.to_numpy())
-                for a, b in zip(start[held].tolist(), end[held].tolist(), strict=True):
+                start = changes(least)
+                grams = least[start].view(np.int64)
+                known = np.sort(wanted.values.to_numpy())
+                held = np.flatnonzero(known[np.minimum(np.searchsorted(known, grams), len(known) - 1)] == grams)
+                end = np.append(start[1:], len(least))
+                for a, b, gram in zip(start[held].tolist(), end[held].tolist(), grams[held].tolist(), strict=True):
                     segment = b" ".join(words[a : b + WINDOW - 1])
-                    rows.append((doc_id, row, a, int(grams[at[a]].view(np.int64)), xxhash.xxh3_128_digest(segment), segment))
+                    rows.append((doc_id, row, a, gram, xxhash.xxh3_64_intdigest(segment) - (1 << 63), segment))
             for i in range(0, len(rows), 50_000):
-                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
+                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[i : i + 50_000], strict=True), kinds, strict=True)], ["doc_id", "row", "at", "gram", "key", "words"])
 
     found = _documents(docs).join(_recurring(docs), "doc_id").select("doc_id", "text", _row_key(F.col("text")).alias("row"), "grams")
-    return saved(found.mapInArrow(run, "doc_id long, row long, at int, gram long, key binary, words binary"), "segments")
+    return saved(found.mapInArrow(run, "doc_id long, row long, at int, gram long, key long, words binary"), "segments")
 
 
 def _matched(segments: DataFrame) -> DataFrame:
-    """(key, least): for each distinct segment the smallest doc_id of each of its windows."""
+    """(gram, key, least): for each distinct segment the smallest doc_id of each of its windows."""
+    release(segments.sparkSession)
     distinct = saved(segments.groupBy("gram", "key", "words").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")), "reference")
     shards = max(1, distinct.count() // SHARD)
 
     def shard(group: pa.Table) -> pa.Table:
+        grams, labels = group.column("gram").to_pylist(), group.column("lo").to_pylist()
         words = [w.split(b" ") for w in group.column("words").to_pylist()]
+        times = Counter(grams)
+        # The only segment of a minimizer shares no window with another: it needs no automaton.
+        shared = [i for i, g in enumerate(grams) if times[g] > 1]
         automaton = SuffixAutomaton()
-        for w, lo in zip(words, group.column("lo").to_pylist(), strict=True):
-            automaton.add(w, lo)
+        for i in shared:
+            automaton.add(words[i], labels[i])
         automaton.finish()
-        least = [automaton.matches(w, WINDOW) for w in words]
+        least = [[lo] * (len(w) - WINDOW + 1) for w, lo in zip(words, labels, strict=True)]
+        for i in shared:
+            least[i] = automaton.matches(words[i], WINDOW)
         keep = [i for i, (x, hi) in enumerate(zip(least, group.column("hi").to_pylist(), strict=True)) if any(y < hi for y in x)]
-        return pa.table({"key": group.column("key").take(keep), "least": pa.array([least[i] for i in keep], pa.list_(pa.int64()))})
+        return pa.table({"gram": group.column("gram").take(keep), "key": group.column("key").take(keep), "least": pa.array([least[i] for i in keep], pa.list_(pa.int64()))})
 
     cut = distinct.withColumn("shard", F.pmod(F.xxhash64("gram"), F.lit(shards))).groupBy("shard")
-    return saved(cut.applyInArrow(shard, "key binary, least array<long>"), "matches")
+    release(segments.sparkSession)
+    found = saved(cut.applyInArrow(shard, "gram long, key long, least array<long>"), "matches")
+    discard(distinct)
+    release(segments.sparkSession)
+    return found
 
 
 def repeated_windows(docs: DataFrame) -> DataFrame:
     """(doc_id, row, places): first words of the windows that start in a smaller document too."""
     segments = _segments(docs)
-    hit = segments.select("doc_id", "row", "at", "key").join(_matched(segments), "key")
+    hit = segments.select("doc_id", "row", "at", "gram", "key").join(_matched(segments), ["gram", "key"])
     places = F.transform(F.filter(F.sequence(F.lit(0), F.size("least") - 1), lambda i: F.get("least", i) < F.col("doc_id")), lambda i: i + F.col("at"))
-    return hit.select("doc_id", "row", places.alias("places")).where(F.size("places") > 0).groupBy("doc_id", "row").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"))
+    found = hit.select("doc_id", "row", places.alias("places")).where(F.size("places") > 0).groupBy("doc_id", "row").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"))
+    found = saved(found, "repeats")
+    discard(segments)
+    release(docs.sparkSession)
+    return found
 
 
-def without_repeats(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 and kept (the words that stay, joined by one space).
+def without_repeats(docs: DataFrame, text: bool = True) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 and, with `text`, kept: the words that stay, joined by one
+    space.
 
     Null and empty texts have no words. Windows are judged on the input. Rows that repeat a doc_id
     are one document as to what is smaller, and each gets its own result. A row with a null doc_id
     is neither compared nor cut. Other columns are ignored; an empty table gives no rows.
     """
     tune(docs.sparkSession, 1000)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    found = repeated_windows(docs)
+    keep = Filter.of(found.select("doc_id").distinct(), "doc_id")
+    held = docs.sparkSession.sparkContext.broadcast(keep)
+    names = ["n_words", "n_removed", "kept_sha256", *["kept"] * text]
+
+    def result(words: list[bytes], places: np.ndarray | None) -> tuple:
+        n = len(words)
+        if places is not None:
+            change = np.zeros(n + 1, np.int64)
+            np.add.at(change, places, 1)
+            np.add.at(change, places + WINDOW, -1)
+            words = [words[i] for i in np.flatnonzero(np.cumsum(change)[:-1] == 0).tolist()]
+        kept = b" ".join(words)
+        return (n, n - len(words), hashlib.sha256(kept).hexdigest(), *[kept.decode()] * text)
+
+    def table_of(rows: list[tuple]) -> list[pa.Array]:
+        return [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int64(), pa.int64(), *[pa.string()] * (1 + text)], strict=True)]
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Results of documents that surely stay whole; the others keep their text for the join."""
         for batch in batches:
-            rows = []
-            for text, places in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
-                words = text.split()
-                n = len(words)
-                if places.is_valid:
-                    change = np.zeros(n + 1, np.int64)
-                    at = places.values.to_numpy()
-                    np.add.at(change, at, 1)
-                    np.add.at(change, at + WINDOW, -1)
-                    words = [words[i] for i in np.flatnonzero(np.cumsum(change)[:-1] == 0).tolist()]
-                kept = b" ".join(words)
-                rows.append((n, n - len(words), hashlib.sha256(kept).hexdigest(), kept))
-            cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int64(), pa.int64(), pa.string(), pa.binary()], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *cols[:3], cols[3].cast(pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
-
-    found = repeated_windows(docs).select(F.col("doc_id").alias("of"), "row", "places")
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
+            if not batch.num_rows:
+                continue
+            known = batch.column("p").is_valid().to_numpy(zero_copy_only=False)
+            places = [batch.column(c).fill_null(0).to_numpy() for c in ("p", "q")]
+            cut = (held.value.has(places) & known).tolist()
+            texts = batch.column("text").to_pylist()
+            rows = [(None,) * len(names) if c else result(t.split(), None) for t, c in zip(texts, cut, strict=True)]
+            open_ = pa.array([t if c else None for t, c in zip(texts, cut, strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), open_, *table_of(rows)], ["doc_id", "row", "text", *names])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            done = [batch.column(c).to_pylist() for c in names]
+            rows = [r if t is None else result(t.split(), p.values.to_numpy() if p.is_valid else None) for t, p, *r in zip(batch.column("text").to_pylist(), batch.column("places"), *done, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *table_of(rows)], ["doc_id", *names])
+
+    schema = "n_words long, n_removed long, kept_sha256 string" + ", kept string" * text
+    body = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
+    first, second = Filter.places(F.col("doc_id"), keep.width)
+    known = F.col("doc_id").isNotNull()
+    body = body.select("doc_id", "text", _row_key(F.col("text")).alias("row"), F.when(known, first).alias("p"), F.when(known, second).alias("q"))
+    body = body.mapInArrow(whole, f"doc_id long, row long, text binary, {schema}")
+    found = found.select(F.col("doc_id").alias("of"), F.col("row").alias("of_row"), "places")
     # A document has few rows; the places are of the one with its text.
-    rows = text.withColumn("row", _row_key(F.col("text")))
-    joined = rows.join(found.withColumnRenamed("row", "of_row"), (F.col("doc_id") == F.col("of")) & (F.col("row") == F.col("of_row")), "left")
-    return joined.select("doc_id", "text", "places").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
+    joined = body.join(found, (F.col("doc_id") == F.col("of")) & (F.col("row") == F.col("of_row")), "left")
+    return joined.select("doc_id", "text", "places", *names).mapInArrow(cut, f"doc_id long, {schema}")
 
 
 def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return without_repeats(table(spark, sf_dir, "documents")).drop("kept")
+    return without_repeats(table(spark, sf_dir, "documents"), text=False)
