@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Filter, WordHash, components, gram_hashes, mixed, release, saved, table, tune
+from .common import Filter, WordHash, components, discard, gram_hashes, mixed, release, saved, table, tune
 
 SHINGLE = 5
 #: Links have NUMERATOR * union <= DENOMINATOR * intersection: a similarity of 0.75 or more.
@@ -37,6 +37,8 @@ NUMERATOR, DENOMINATOR = 75, 100
 THRESHOLD = NUMERATOR / DENOMINATOR
 #: Signatures per class and min-hashes per signature.
 SIGNATURES, HASHES = 8, 3
+#: A signature with more classes than CROWD has a leader of its own; classes try LEADERS of them.
+CROWD, LEADERS = 64, 3
 #: Shingles per bucket of a sketch.
 PER_BUCKET = 4
 #: A task reports shingles that it saw in this many documents of a block of BLOCK shingles; those that
@@ -44,7 +46,7 @@ PER_BUCKET = 4
 SEEN, BLOCK, OFTEN, WIDE = 2, 1 << 22, 8, 1 << 19
 #: Subset size of small sets, and the sizes among which the boundary is chosen.
 SUBSET, BOUNDARIES = 2, range(0, 49, 4)
-#: A list with more stars than this sends its shingle to the end of the order, in a further pass.
+#: A list with more stars than this sends its shingle to the end of the order in the next pass.
 LONG_LIST, PASSES = 16, 2
 
 
@@ -189,18 +191,22 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def stars(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Step 2: (node, star, radius) of every class; a class that hooks to none is its own star."""
+    """Step 2: (node, star, radius) of every class; a class that hooks to none is its own star.
+
+    Each signature has a leader: of few classes that with the smallest node, of many one drawn by the
+    signature, so that a large group has several. A class is compared with the LEADERS leaders that
+    most of its signatures have and hooks to the nearest that it links to; leaders don't hook.
+    """
     sig = classes.select("node", F.explode("signatures").alias("signature"))
-    lead = saved(sig.groupBy("signature").agg(F.min("node").alias("lead"), F.count("*").alias("m")).where("m > 1").select("signature", "lead"), "jaccard-leads")
+    drawn = F.min_by("node", F.xxhash64("node", "signature"))
+    lead = sig.groupBy("signature").agg(F.when(F.count("*") > CROWD, drawn).otherwise(F.min("node")).alias("lead"), F.count("*").alias("m"))
+    lead = saved(lead.where("m > 1").select("signature", "lead"), "jaccard-leads")
     votes = sig.join(lead, "signature").groupBy("node", "lead").count()
-    hook = saved(votes.groupBy("node").agg(F.max(F.struct("count", (-F.col("lead")).alias("l"))).alias("v")).select("node", (-F.col("v.l")).alias("up")), "jaccard-hooks")
-    for _ in range(2):
-        above = hook.select(F.col("node").alias("up"), F.col("up").alias("upper"))
-        hook = saved(hook.join(above, "up", "left").select("node", F.coalesce("upper", "up").alias("up")), "jaccard-hooks")
-    # A centre is what others hook to, and hooks to itself.
-    centres = hook.where("node = up").select(F.col("node").alias("up"))
-    pairs = hook.where("node <> up").join(centres, "up", "left_semi").select(F.col("node").alias("a"), F.col("up").alias("b"), F.lit(THRESHOLD).alias("least"))
-    held = verified(docs, possible(pairs, classes)).where("linked").select(F.col("a").alias("node"), F.col("b").alias("star"), F.col("distance").alias("radius"))
+    best = F.slice(F.sort_array(F.collect_list(F.struct("count", (-F.col("lead")).alias("l"))), asc=False), 1, LEADERS)
+    hooks = votes.where("node <> lead").join(lead.select(F.col("lead").alias("node")).distinct(), "node", "left_anti")
+    pairs = hooks.groupBy("node").agg(best.alias("best")).select(F.col("node").alias("a"), F.explode("best").alias("x")).select("a", (-F.col("x.l")).alias("b"), F.lit(THRESHOLD).alias("least"))
+    near = verified(docs, possible(pairs, classes)).where("linked").groupBy("a").agg(F.min(F.struct("distance", "b")).alias("near"))
+    held = near.select(F.col("a").alias("node"), F.col("near.b").alias("star"), F.col("near.distance").alias("radius"))
     own = classes.select("node").distinct().join(held, "node", "left")
     return saved(own.select("node", F.coalesce("star", "node").alias("star"), F.coalesce("radius", F.lit(0.0)).alias("radius")), "jaccard-stars")
 
@@ -260,29 +266,38 @@ def entries(docs: DataFrame, members: DataFrame, wide: np.ndarray, limit: int) -
     return keyed.join(members.select("node", "star"), "node").select("star", F.explode("keys").alias("key"))
 
 
-def star_pairs(docs: DataFrame, members: DataFrame, surveyed: DataFrame, sizes: list[tuple[int, int]]) -> DataFrame:
+def star_pairs(docs: DataFrame, classes: DataFrame, members: DataFrame, surveyed: DataFrame, sizes: list[tuple[int, int]]) -> DataFrame:
     """Pairs of stars (a, b) with a common key.
 
     Lists longer than LONG_LIST send their shingles to the end of the order and the keys are made
-    anew, PASSES times at most; what is long then is joined in full, for no link may be lost.
+    anew, in PASSES passes; what is long then is joined in full, for no link may be lost.
     """
     often = surveyed.where("shingle IS NOT NULL").groupBy("shingle").agg(F.sum("seen").alias("seen")).where(F.col("seen") >= OFTEN)
     # Any shingles may go last, so a bound on their number costs time at worst.
     wide = _longs(often.orderBy(F.desc("seen"), "shingle").limit(WIDE).select("shingle"))
     limit = boundary(sizes, listed=1.0)
     for last in range(PASSES - 1, -1, -1):
-        e = entries(docs, members, wide, limit).repartition("key").distinct()
-        met = saved(e.withColumn("m", F.count("*").over(Window.partitionBy("key"))).where("m > 1"), "jaccard-lists")
-        if not last:
-            break
+        met = _lists(docs, members, wide, limit)
+        if last:
+            found = _longs(met.where(F.col("m") > LONG_LIST).select("key").distinct().limit(WIDE))
+            wide = np.concatenate([wide, found[~np.isin(found, wide)][: max(0, WIDE - len(wide))]])
+            discard(met)
         release(docs.sparkSession)
-        found = _longs(met.where(F.col("m") > LONG_LIST).select("key").distinct().limit(WIDE))
-        new = found[~np.isin(found, wide)][: max(0, WIDE - len(wide))]
-        if not len(new):
-            break
-        wide = np.concatenate([wide, new])
-    other = met.select("key", F.col("star").alias("b"))
-    return saved(met.select("key", F.col("star").alias("a")).join(other, "key").where("a < b").select("a", "b").distinct(), "jaccard-met")
+    # Linked members need centres whose sizes are near enough, radii counted in.
+    centres = classes.groupBy(F.col("node").alias("star")).agg(F.min("n").alias("least_n"), F.max("n").alias("most_n"))
+    radii = members.groupBy("star").agg(F.max("radius").alias("r"))
+    met = met.join(centres.join(radii, "star"), "star")
+    x = met.select("key", F.col("star").alias("a"), F.col("least_n").alias("la"), F.col("most_n").alias("ma"), F.col("r").alias("ra"))
+    y = met.select("key", F.col("star").alias("b"), F.col("least_n").alias("lb"), F.col("most_n").alias("mb"), F.col("r").alias("rb"))
+    least = F.lit(THRESHOLD - 1e-9) - F.col("ra") - F.col("rb")
+    sized = (F.col("ma") >= least * F.col("lb")) & (F.col("mb") >= least * F.col("la"))
+    return saved(x.join(y, "key").where((F.col("a") < F.col("b")) & sized).select("a", "b").distinct(), "jaccard-met")
+
+
+def _lists(docs: DataFrame, members: DataFrame, wide: np.ndarray, limit: int) -> DataFrame:
+    """(key, star, m): inverted lists of two stars or more, with their lengths."""
+    e = entries(docs, members, wide, limit).repartition("key").distinct()
+    return saved(e.withColumn("m", F.count("*").over(Window.partitionBy("key"))).where("m > 1"), "jaccard-lists")
 
 
 def _longs(df: DataFrame) -> np.ndarray:
@@ -307,7 +322,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     members = stars(docs, classes)
     release(docs.sparkSession)
     sizes = [(r[0], r[1]) for r in classes.groupBy("n").count().collect()]
-    pairs = star_pairs(docs, members, surveyed, sizes)
+    pairs = star_pairs(docs, classes, members, surveyed, sizes)
 
     release(docs.sparkSession)
     # Stars are compared by their centres, as far as their radii allow a link at all.
