@@ -53,10 +53,11 @@ def blocks(fp: Column, radius: int = RADIUS) -> Column:
 def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
     """Best window per document and item: doc_id, item_id, start, n_words, hamming, similarity.
 
-    A window has as many words as an item. Its similarity to the item is the weighted Jaccard of
-    their five-word shingles: sum of the smaller counts over sum of the larger. Windows whose
-    similarity is `similarity` or more and whose fingerprint is within `radius` of the item's are
-    found. start is the window's first word, from 0.
+    A window has as many words as an item; a document shorter than the item is one window as a whole.
+    Its similarity to the item is the weighted Jaccard of their five-word shingles: sum of the
+    smaller counts over sum of the larger. Windows whose similarity is `similarity` or more and whose
+    fingerprint is within `radius` of the item's are found. start is the window's first word, from 0,
+    and n_words the words it has.
 
     Only windows around a shingle that some item has are fingerprinted: a window without one has
     similarity 0, and one of similarity 0.75 starts within a quarter of the item's length of where
@@ -74,18 +75,22 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILA
     # nowhere, and met by the items' distinct shingles, which are broadcast if they are few.
     d = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.col("text").cast("string").alias("text"))
     shingled = d.select("doc_id", F.xxhash64("text").alias("row"), shingles_of(words_of(F.col("text"))).alias("shingles"))
-    each = shingled.select("doc_id", "row", F.posexplode("shingles").alias("p", "shingle"))
+    each = shingled.select("doc_id", "row", F.size("shingles").alias("m"), F.posexplode("shingles").alias("p", "shingle"))
     known = saved(item_shingles.select("shingle").distinct(), "leak-known")
     hits = saved(each.join(checked_broadcast(known, 200_000), "shingle").distinct(), "leak-hits")
 
-    # Windows: where a hit puts an item, and up to a quarter of its length to either side.
+    # Windows: where a hit puts an item, and up to a quarter of its length to either side. A shorter
+    # document starts at 0; it has similarity m over the item's shingles at most.
     places = item_shingles.select("shingle", "n", "q").distinct()
     slack = F.floor(F.col("n") / 4).cast("int")
-    starts = hits.join(places, "shingle").select("doc_id", "row", "n", (F.col("p") - F.col("q")).alias("at")).distinct()
-    starts = starts.select("doc_id", "row", "n", F.explode(F.sequence(F.greatest(F.col("at") - slack, F.lit(0)), F.greatest(F.col("at") + slack, F.lit(0)))).alias("start")).distinct()
+    of_item = F.col("n") - (SHINGLE - 1)
+    short = F.col("m") < of_item
+    met = hits.join(places, "shingle").where(~short | (F.col("m") / of_item >= similarity))
+    starts = met.select("doc_id", "row", "n", F.when(short, F.lit(0)).otherwise(slack).alias("slack"), F.when(short, F.lit(0)).otherwise(F.col("p") - F.col("q")).alias("at")).distinct()
+    starts = starts.select("doc_id", "row", "n", F.explode(F.sequence(F.greatest(F.col("at") - F.col("slack"), F.lit(0)), F.greatest(F.col("at") + F.col("slack"), F.lit(0)))).alias("start")).distinct()
     wanted = starts.groupBy("doc_id", "row").agg(F.collect_set(F.struct("start", "n")).alias("windows"))
     found = d.withColumn("row", F.xxhash64("text")).distinct().join(wanted, ["doc_id", "row"]).select("doc_id", "row", shingles_of(words_of(F.col("text"))).alias("shingles"), "windows")
-    fits = F.filter("windows", lambda w: w["start"] + w["n"] <= F.size("shingles") + (SHINGLE - 1))
+    fits = F.filter("windows", lambda w: (w["start"] == 0) | (w["start"] + w["n"] <= F.size("shingles") + (SHINGLE - 1)))
     cut = F.transform(fits, lambda w: F.struct(w["start"].alias("start"), w["n"].alias("n"), F.slice("shingles", w["start"] + 1, w["n"] - (SHINGLE - 1)).alias("shingles")))
     windows = saved(found.select("doc_id", "row", F.explode(cut).alias("w")).select("doc_id", "row", "w.start", "w.n", "w.shingles"), "leak-windows")
 
@@ -102,7 +107,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILA
     count = lambda where, x: F.size(F.filter(F.col(where), lambda y: y == x))
     common = F.aggregate(F.array_intersect("shingles", "theirs"), F.lit(0), lambda acc, x: acc + F.least(count("shingles", x), count("theirs", x)))
     scored = whole.withColumn("common", common).withColumn("similarity", F.col("common") / (same - F.col("common"))).where(F.col("similarity") >= similarity)
-    best = scored.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("hamming")).alias("closer"), (-F.col("start")).alias("earlier"), "n")).alias("b"))
+    best = scored.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("hamming")).alias("closer"), (-F.col("start")).alias("earlier"), (F.size("shingles") + (SHINGLE - 1)).alias("n"))).alias("b"))
     return best.select("doc_id", "item_id", (-F.col("b.earlier")).alias("start"), F.col("b.n").alias("n_words"), (-F.col("b.closer")).alias("hamming"), "b.similarity")
 
 

@@ -191,6 +191,30 @@ def test_leaks_are_those_of_brute_force(spark):
     assert {(r.doc_id, r.item_id): pytest.approx(r.similarity) for r in found} == want and want
 
 
+def test_leaks_in_documents_shorter_than_the_item(spark):
+    rng = random.Random(6)
+    items = [(i, " ".join(f"q{rng.randint(0, 400)}" for _ in range(n))) for i, n in enumerate((5, 20, 24, 33, 60))]
+    texts = []
+    for _, x in items:
+        w = x.split()
+        for a in range(9):
+            texts += [(len(texts), " ".join(w[a:])), (len(texts) + 1, " ".join(w[: len(w) - a])), (len(texts) + 2, " ".join(w[a // 2 : len(w) - (a + 1) // 2]))]
+    found = decontaminate.find_leaks(docs_of(spark, texts), spark.createDataFrame(items, "item_id long, text string")).collect()
+    grams = lambda w: collections.Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4))
+    want = {}
+    for d, t in texts:
+        for i, x in items:
+            n, w, q = len(x.split()), t.split(), grams(x.split())
+            for s in range(max(1, len(w) - n + 1)):
+                c = grams(w[s : s + n])
+                sim = sum((c & q).values()) / sum((c | q).values())
+                if sim >= 0.75:
+                    want[d, i] = max(want.get((d, i), 0), sim)
+    assert {(r.doc_id, r.item_id): pytest.approx(r.similarity) for r in found} == want
+    assert any(len(texts[d][1].split()) < len(items[i][1].split()) for d, i in want)
+    assert all(r.start == 0 and r.n_words == len(texts[r.doc_id][1].split()) for r in found)
+
+
 def test_leaks_of_nothing(spark):
     bench = spark.createDataFrame([(1, "a b c d e f g")], "item_id long, text string")
     assert decontaminate.find_leaks(docs_of(spark, []), bench).count() == 0
