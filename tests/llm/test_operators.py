@@ -452,6 +452,22 @@ def test_wrapper_without_an_article_tag():
     assert wrappers.extract(pages[1], wrappers.learn_wrapper(pages)) == "Story 1 with a good many words of its own\nAnd more 1"
 
 
+def test_wrapper_without_an_article_tag_drops_only_template():
+    story = "<p>Story %d with a good many words of its own that go on for a while</p><p>And more %d</p>"
+    cases = [
+        ("<div id=x1><h1>Title %d</h1><div class=tag>Site news</div><div class=body>" + story + "</div></div>", "Title {0}\nStory {0} with a good many words of its own that go on for a while\nAnd more {0}"),
+        ("<h1><a href='/s'>Linked %d</a></h1><div class=body>" + story + "</div>", "Linked {0}\nStory {0} with a good many words of its own that go on for a while\nAnd more {0}"),
+        ("<div class=body>" + story + "</div><p>Some promise</p><div class=second><p>Second part %d</p></div>", "Story {0} with a good many words of its own that go on for a while\nAnd more {0}\nSome promise\nSecond part {0}"),
+        ("<p>Site rules</p><ul><li>Home<li>About</ul><div class=body>Site name<br>" + story + "<p>Fine %d</p></div>", "Story {0} with a good many words of its own that go on for a while\nAnd more {0}\nFine {0}"),
+    ]
+    for body, want in cases:
+        pages = [PAGE % (i, i, body.replace("%d", str(i)), i) for i in range(4)]
+        wrapper = wrappers.learn_wrapper(pages)
+        assert [wrappers.extract(p, wrapper) for p in pages] == [want.format(i) for i in range(4)]
+    lead = wrappers.extract(PAGE % (9, 9, "<div class=lead>Only here 9</div>" + cases[3][0].replace("%d", "9"), 9), wrapper)
+    assert lead == "Only here 9\n" + cases[3][1].format(9)
+
+
 def test_tree_matching_counts_pairs():
     a, b = (wrappers.Folded([wrappers.parse(x)]) for x in ("<div><p>a</p><ul><li>b</ul><h2>c</h2></div>", "<div><ul><li>x<li>y</ul><h2>z</h2><p>q</p></div>"))
     n, pairs = wrappers.tree_match(a, b)
