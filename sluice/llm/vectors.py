@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,11 +17,13 @@ COSINE = 0.95
 SAMPLE, PROBES = 16_384, 512
 #: Vectors per cell aimed at, entries of a codebook at most, rounds of k-means.
 PER_CELL, MOST_CODES, ROUNDS = 8, 1024, 12
+#: Vectors made at the least cosine to each probe.
+NEIGHBOURS = 4
 #: Share of the probes' links whose cell must be visited, and cells visited at least.
 RECALL, LEAST_CELLS = 0.995, 24
 #: Vectors of a cell that are compared at once; larger cells are cut into blocks.
 BLOCK = 1024
-#: Cells are worked on by the shelf, of about this many vectors.
+#: Cells are worked on by the shelf, of about this many vectors at LEAST_CELLS, fewer beyond.
 SHELF = 2048
 
 
@@ -91,6 +94,14 @@ def rank_of(first: np.ndarray, second: np.ndarray, c1: int, c2: int) -> int:
     return int(np.searchsorted(np.sort(second), bound - first, side="left").sum())
 
 
+def neighbours(x: np.ndarray, cosine: float, seed: int = 1) -> np.ndarray:
+    """A vector of random direction at the given cosine to each unit vector."""
+    turn = np.random.default_rng(seed).normal(size=x.shape)
+    turn -= (turn * x).sum(1)[:, None] * x
+    turn /= np.maximum(np.linalg.norm(turn, axis=1), 1e-30)[:, None]
+    return unit(cosine * x + (1 - cosine * cosine) ** 0.5 * turn)
+
+
 def block_labels(hit: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Smallest node of the component of each row and column among the hits of one block."""
     a, b, top = left, right, np.iinfo(np.int64).max
@@ -111,14 +122,24 @@ class Index:
         self.codes = fit_codebook(x[:, : self.dim // 2], k), fit_codebook(x[:, self.dim // 2 :], k)
         self.cells = LEAST_CELLS
 
+    def ranks(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """How many cells each x visits before that of its y."""
+        (a, b), (c, d) = self.distances(x), self.distances(y)
+        return np.array([rank_of(a[s], b[s], c[s].argmin(), d[s].argmin()) for s in range(len(x))])
+
     def distances(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         h = self.dim // 2
         return squares(x[:, :h], self.codes[0]), squares(x[:, h:], self.codes[1])
 
 
 def build_index(classes: DataFrame, cosine: float = COSINE, recall: float = RECALL) -> Index | None:
-    """Fits codebooks on about SAMPLE vectors and calibrates the traversal on about PROBES queries,
-    each compared with all vectors: cells are visited until `recall` of their links are reached."""
+    """Fits codebooks on about SAMPLE vectors and calibrates the traversal on about PROBES queries.
+
+    Cells are visited until `recall` is reached of each of three: pairs of a probe and a vector made
+    at the least cosine to it, in both directions, so that recall doesn't rest on links that the
+    probes happen to have; the probes' links among all vectors; and those with equal weight for each
+    probe, so that a dense group counts no more than another.
+    """
     n = classes.count()
     if not n:
         return None
@@ -129,7 +150,11 @@ def build_index(classes: DataFrame, cosine: float = COSINE, recall: float = RECA
     index = Index(sample, int(min(max(2, (n / PER_CELL) ** 0.5), MOST_CODES, len(sample))))
     probes = right.where(part(PROBES, 2)).select("node", "vec").collect()
     if probes:
+        probes.sort()
         ids, x = np.array([r[0] for r in probes]), unit(np.stack([np.frombuffer(r[1], np.float32) for r in probes]))
+        made = [(x, neighbours(x, cosine, seed)) for seed in range(NEIGHBOURS)]
+        made = np.sort(np.concatenate([index.ranks(*pair) for x_y in made for pair in (x_y, x_y[::-1])]))
+        index.cells = max(LEAST_CELLS, int(made[math.ceil(recall * len(made)) - 1]) + 1)
         held = classes.sparkSession.sparkContext.broadcast((index.codes, index.dim, ids, x))
 
         def ranks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,12 +164,14 @@ def build_index(classes: DataFrame, cosine: float = COSINE, recall: float = RECA
                 y = unit(_stack(batch.column(1)))
                 a, b = squares(y[:, : dim // 2], c1).argmin(1), squares(y[:, dim // 2 :], c2).argmin(1)
                 i, j = np.nonzero((q @ y.T >= cosine) & (ids[:, None] != batch.column(0).to_numpy()[None, :]))
-                yield pa.RecordBatch.from_arrays([pa.array([rank_of(q1[s], q2[s], a[t], b[t]) for s, t in zip(i, j, strict=True)], pa.int64())], ["rank"])
-
-        found = right.select("node", "vec").mapInArrow(ranks, "rank long").groupBy("rank").count().orderBy("rank").collect()
-        links = np.cumsum([r["count"] for r in found])
-        if len(links):
-            index.cells = max(LEAST_CELLS, found[int(np.searchsorted(links, recall * links[-1]))]["rank"] + 1)
+                yield pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array([rank_of(q1[s], q2[s], a[t], b[t]) for s, t in zip(i, j, strict=True)], pa.int64())], ["probe", "rank"])
+
+        found = right.select("node", "vec").mapInArrow(ranks, "probe long, rank long").groupBy("probe", "rank").count().orderBy("rank", "probe").collect()
+        if found:
+            probe, rank, count = np.array([tuple(r) for r in found]).T
+            for weight in (count, count / np.bincount(probe, count)[probe]):
+                links = np.cumsum(weight)
+                index.cells = max(index.cells, int(rank[np.searchsorted(links, recall * links[-1])]) + 1)
     return index
 
 
@@ -168,7 +195,7 @@ def link_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
         return ids.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
     held = spark.sparkContext.broadcast(index)
     right = classes.where(F.length("vec") == index.dim * 4)
-    shelves = max(1, right.count() // SHELF)
+    shelves = max(1, right.count() * index.cells // (SHELF * LEAST_CELLS))
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix = held.value

@@ -362,6 +362,18 @@ def test_vectors(spark):
     assert vectors.link_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_cells_visited_suit_vectors_without_links(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "PER_CELL", 1)
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(8000, 24))
+    x[:3000] = x[0] + 0.001 * rng.normal(size=(3000, 24))  # nearly all links of the probes
+    for some in (x, x[3000:]):
+        rows = [(i, 1, v.astype(np.float32).tobytes()) for i, v in enumerate(some)]
+        index = vectors.build_index(spark.createDataFrame(rows, "node long, weight long, vec binary"))
+        q = vectors.unit(some[-4000:])
+        assert (index.ranks(q, vectors.neighbours(q, 0.95, 77)) < index.cells).mean() >= 0.985
+
+
 def test_cells_come_by_distance():
     rng = np.random.default_rng(2)
     a, b = rng.random((5, 7)), rng.random((5, 6))
