@@ -23,6 +23,8 @@ NEIGHBOURS = 4
 RECALL, LEAST_CELLS = 0.995, 24
 #: Vectors of a cell that are compared at once; larger cells are cut into blocks.
 BLOCK = 1024
+#: Visits of a cell that one group takes; those of more visited cells are dealt over copies of the cell.
+VISITS = 4096
 #: Cells are worked on by the shelf, of about this many vectors at LEAST_CELLS, fewer beyond.
 SHELF = 2048
 
@@ -207,14 +209,17 @@ def link_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(home), pa.ListArray.from_arrays(pa.array(offsets), pa.array(visits.ravel()))], ["node", "weight", "vec", "home", "visits"])
 
     at = saved(right.select("node", "weight", "vec").mapInArrow(placed, "node long, weight long, vec binary, home long, visits array<long>"), "vector-cells")
-    # Large cells are cut into g blocks on both sides, every pair of blocks compared by its own group.
-    large = saved(at.groupBy(F.col("home").alias("cell")).count().where(F.col("count") > BLOCK).select("cell", F.ceil(F.col("count") / BLOCK).cast("int").alias("g")), "vector-large")
+    # Large cells are cut into g blocks of vectors and s of visits, every pair of blocks compared by its
+    # own group.
+    own, visits = at.groupBy(F.col("home").alias("cell")).agg(F.count("*").alias("n")), at.select(F.explode("visits").alias("cell")).groupBy("cell").agg(F.count("*").alias("v"))
+    large = own.join(visits, "cell").where((F.col("n") > BLOCK) | (F.col("v") > VISITS))
+    large = saved(large.select("cell", F.ceil(F.col("n") / BLOCK).cast("int").alias("g"), F.ceil(F.col("v") / VISITS).cast("int").alias("s")), "vector-large")
     large = checked_broadcast(large)
     mine = lambda g: F.pmod(F.xxhash64("node"), g).cast("int")
     others = lambda g: F.explode(F.sequence(F.lit(0), g - 1))
-    g = F.coalesce("g", F.lit(1))
-    stored = at.select("node", "weight", "vec", F.col("home").alias("cell")).join(large, "cell", "left").select(F.lit(True).alias("stored"), "cell", "node", "weight", "vec", mine(g).alias("i"), others(g).alias("j"))
-    asked = at.select("node", "weight", "vec", F.explode("visits").alias("cell")).join(large, "cell", "left").select(F.lit(False).alias("stored"), "cell", "node", "weight", "vec", others(g).alias("i"), mine(g).alias("j"))
+    g, s = F.coalesce("g", F.lit(1)), F.coalesce("s", F.lit(1))
+    stored = at.select("node", "weight", "vec", F.col("home").alias("cell")).join(large, "cell", "left").select(F.lit(True).alias("stored"), "cell", "node", "weight", "vec", mine(g).alias("i"), others(s).alias("j"))
+    asked = at.select("node", "weight", "vec", F.explode("visits").alias("cell")).join(large, "cell", "left").select(F.lit(False).alias("stored"), "cell", "node", "weight", "vec", others(g).alias("i"), mine(s).alias("j"))
     shelf = F.when((F.col("i") == 0) & (F.col("j") == 0), F.pmod(F.xxhash64("cell"), F.lit(shelves))).otherwise(F.col("cell") + shelves)
 
     def compared(batch: pa.Table) -> pa.Table:

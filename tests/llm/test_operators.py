@@ -362,6 +362,27 @@ def test_vectors(spark):
     assert vectors.link_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_vectors_deal_out_visits(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "VISITS", 40, raising=False)
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=(200, 16))
+    base[:120] = base[0] + 0.05 * rng.normal(size=(120, 16))
+    rows = [(i, [float(np.float32(v)) for v in b]) for i, b in enumerate(base)]
+    sizes, group = [], type(spark.range(0).groupBy("id"))
+    real = group.applyInArrow
+
+    def counted(self, fn, schema):
+        sizes.extend(r[0] for r in self.agg(F.count(F.when(~F.col("stored"), 1)).alias("n")).where("j > 0 OR i > 0").select("n").collect())
+        return real(self, fn, schema)
+
+    monkeypatch.setattr(group, "applyInArrow", counted)
+    got = {r.vec_id: r.n_links for r in vectors.link_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()}
+    x = vectors.unit(base.astype(np.float32))
+    want = (x @ x.T >= 0.95).sum(1) - 1
+    assert sizes and max(sizes) <= 80
+    assert sum(got.values()) >= 0.99 * want.sum() and all(got[i] <= n for i, n in enumerate(want))
+
+
 def test_cells_visited_suit_vectors_without_links(spark, monkeypatch):
     monkeypatch.setattr(vectors, "PER_CELL", 1)
     rng = np.random.default_rng(8)
