@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import re
+import functools
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
@@ -21,11 +22,11 @@ BUCKETS = 1 << 17
 SIZES = (1, 2, 3, 4)
 #: Log-probability that a change of language costs in the Viterbi path.
 SWITCH = 8.0
-#: Documents that are worked on at once; bounds the memory of a task.
-BATCH = 4000
+#: Code points of text that are worked on at once (a longer text alone), code points of new words that
+#: are scored at once, and bytes of scores that a worker remembers; they bound the memory of a task.
+CHUNK, SLICE, REMEMBERED = 1 << 19, 1 << 17, 8 << 20
 UNKNOWN = "und"
 
-RUN = re.compile(r"[^\W\d_]+")
 #: (script, first, last): code point ranges of the scripts that are told apart.
 SCRIPTS = (
     ("latin", 0x41, 0x24F), ("greek", 0x370, 0x3FF), ("cyrillic", 0x400, 0x52F), ("armenian", 0x530, 0x58F),
@@ -44,6 +45,36 @@ def script_of(code: np.ndarray) -> np.ndarray:
     return np.where(i >= 0, _KIND[np.maximum(i, 0)], -1)
 
 
+@functools.cache
+def _kinds() -> np.ndarray:
+    """1 for letters, 2 for combining marks, 0 for the rest, by code point."""
+    first = np.frombuffer("".join(unicodedata.category(chr(c))[0] for c in range(0x110000)).encode(), np.uint8)
+    return (first == ord("L")) + 2 * (first == ord("M")).astype(np.uint8)
+
+
+def word_places(texts: list[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The texts joined by line feeds; start, end, text and number of letters of every word in it.
+
+    A word is a letter with the letters and combining marks that follow it.
+    """
+    joined = "\n".join(texts)
+    kind = _kinds()[np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)]
+    run = np.concatenate([[False], kind > 0, [False]])
+    edge = np.flatnonzero(run[1:] != run[:-1])
+    start, end = edge[::2], edge[1::2]
+    letters = np.concatenate([[0], np.cumsum(kind == 1)])
+    at = np.append(np.flatnonzero(kind == 1), len(kind))
+    start = at[letters[start]]  # the first letter from there on
+    start, end = start[start < end], end[start < end]
+    begin = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])[:-1]])
+    return joined, start, end, np.searchsorted(begin, start, side="right") - 1, letters[end] - letters[start]
+
+
+def words_in(texts: list[str]) -> list[str]:
+    joined, start, end, _, _ = word_places(texts)
+    return [joined[a:b].lower() for a, b in zip(start.tolist(), end.tolist(), strict=True)]
+
+
 def word_grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(bucket, word) of every character n-gram of the words, with a blank on both sides."""
     text = np.frombuffer((" " + " ".join(words) + " ").encode("utf-32-le"), np.uint32).astype(np.uint64)
@@ -87,43 +118,77 @@ class Model:
         sums = np.add.reduceat(self.logp[buckets], start, axis=0)
         n = np.diff(np.append(start, len(owner)))[:, None]
         scores = sums / np.sqrt(n)
-        script = script_of(np.fromiter((ord(w[0]) for w in words), np.int64, len(words)))
-        uses = self.uses[script]
+        uses = self.uses[script_of(np.fromiter((ord(w[0]) for w in words), np.int64, len(words)))]
         uses |= ~uses.any(1, keepdims=True)
         low = np.where(uses, scores, np.inf).min(1, keepdims=True)
         scores = np.where(uses, scores, low - 20)
         return (scores - scores.max(1, keepdims=True)).astype(np.float32)
 
 
+class Scorer:
+    """Scores of words by a model, remembered up to a bound."""
+
+    def __init__(self, model: Model):
+        self.model, self.most = model, REMEMBERED // (4 * len(model.langs))
+        self._forget()
+
+    def _forget(self) -> None:
+        self.index: dict[str, int] = {}
+        self.rows = np.zeros((0, len(self.model.langs)), np.float32)
+        self.used = np.zeros(0, bool)
+        self.size = 0
+
+    def of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """A row of scores per word, and whether some language uses the script it begins with."""
+        new = [w for w in dict.fromkeys(words) if w not in self.index]
+        if len(self.index) + len(new) > self.most or self.size > REMEMBERED:
+            self._forget()
+            new = list(dict.fromkeys(words))
+        at = 0
+        while at < len(new):
+            size, stop = 0, at
+            while stop < len(new) and (stop == at or size + len(new[stop]) <= SLICE):
+                size += len(new[stop])
+                stop += 1
+            some = new[at:stop]
+            self.index.update(zip(some, range(len(self.index), len(self.index) + len(some)), strict=True))
+            self.rows = np.concatenate([self.rows, self.model.word_scores(some)])
+            script = script_of(np.fromiter((ord(w[0]) for w in some), np.int64, len(some)))
+            self.used = np.concatenate([self.used, (script >= 0) & self.model.uses[script].any(1)])
+            self.size, at = self.size + size, stop
+        ids = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+        return self.rows[ids], self.used[ids]
+
+
 def viterbi(scores: list[np.ndarray], switch: float = SWITCH) -> list[np.ndarray]:
     """Best language per word of each text: all texts advance together, longest first."""
     order = sorted(range(len(scores)), key=lambda i: -len(scores[i]))
     lengths = np.array([len(scores[i]) for i in order])
-    out = [np.zeros(len(s), np.int8) for s in scores]
+    out = [np.zeros(len(s), np.int16) for s in scores]
     if not len(order) or not lengths[0]:
         return out
     flat = np.concatenate([scores[i] for i in order])
     begin = np.concatenate([[0], np.cumsum(lengths)[:-1]])
     alive = np.searchsorted(-lengths, -np.arange(lengths[0]), side="left")  # texts longer than t
     best = flat[begin[: alive[0]]].copy()
-    back: list[np.ndarray] = [np.zeros(0)]
+    back = np.zeros(flat.shape, np.int16)
+    stay = np.arange(flat.shape[1], dtype=np.int16)
     final = best.copy()
     for t in range(1, lengths[0]):
         n = alive[t]
         best = best[:n]
-        top = best.argmax(1)
-        change = best[np.arange(n), top][:, None] - switch
+        change = best.max(1, keepdims=True) - switch
         moved = best < change
-        back.append(np.where(moved, top[:, None], np.arange(best.shape[1])).astype(np.int8))
+        back[begin[:n] + t] = np.where(moved, best.argmax(1)[:, None].astype(np.int16), stay)
         best = np.where(moved, change, best) + flat[begin[:n] + t]
         final[:n] = best
-    path = np.zeros(len(flat), np.int8)
-    state = final.argmax(1).astype(np.int8)
+    path = np.zeros(len(flat), np.int16)
+    state = final.argmax(1).astype(np.int16)
     for t in range(lengths[0] - 1, -1, -1):
         n = alive[t]
         path[begin[:n] + t] = state[:n]
         if t:
-            state[:n] = back[t][np.arange(n), state[:n]]
+            state[:n] = back[begin[:n] + t, state[:n]]
     for k, i in enumerate(order):
         out[i] = path[begin[k] : begin[k] + lengths[k]]
     return out
@@ -151,13 +216,14 @@ def fit(docs: DataFrame, rows: int = TRAIN_ROWS) -> Model | None:
         for batch in batches:
             words: dict[str, Counter] = {}
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words.setdefault(lang, Counter()).update(RUN.findall(text.lower()))
+                words.setdefault(lang, Counter()).update(words_in([text]))
             for lang, found in words.items():
                 if not found:
                     continue
-                times = np.fromiter(found.values(), np.float64)
-                buckets, owner = word_grams(list(found))
-                grams[lang] = grams.get(lang, 0) + np.bincount(buckets, times[owner], BUCKETS)
+                times, distinct = np.fromiter(found.values(), np.float64), list(found)
+                for i in range(0, len(distinct), SLICE // 8):
+                    buckets, owner = word_grams(distinct[i : i + SLICE // 8])
+                    grams[lang] = grams.get(lang, 0) + np.bincount(buckets, times[i : i + SLICE // 8][owner], BUCKETS)
                 first = script_of(np.fromiter((ord(w[0]) for w in found), np.int64, len(found)))
                 scripts[lang] = scripts.get(lang, 0) + np.bincount(first + 1, times, len(NAMES) + 1)[1:]
         for lang, c in grams.items():
@@ -175,73 +241,111 @@ def fit(docs: DataFrame, rows: int = TRAIN_ROWS) -> Model | None:
     return Model(langs, full[:, :BUCKETS], full[:, BUCKETS:])
 
 
-def label_texts(texts: list[str | None], model: Model) -> list[tuple[str, float, list[tuple[int, int, str]]]]:
-    """(language, score, spans) per text; spans are (start, end, language) of code points."""
-    found = [list(RUN.finditer(t)) if t else [] for t in texts]
-    index: dict[str, int] = {}
-    ids = [np.fromiter((index.setdefault(m[0].lower(), len(index)) for m in ms), np.int64, len(ms)) for ms in found]
-    if not index:
-        return [(UNKNOWN, 0.0, [])] * len(texts)
-    scores = model.word_scores(list(index))
-    out = []
-    for ms, path in zip(found, viterbi([scores[i] for i in ids]), strict=True):
-        if not ms:
-            out.append((UNKNOWN, 0.0, []))
-            continue
-        cut = np.flatnonzero(np.diff(path)) + 1
-        begins, ends = np.concatenate([[0], cut]), np.append(cut, len(path)) - 1
-        spans = [(ms[a].start(), ms[b].end(), model.langs[path[a]]) for a, b in zip(begins, ends, strict=True)]
-        letters = np.fromiter((m.end() - m.start() for m in ms), np.int64, len(ms))
-        by = np.bincount(path, letters, len(model.langs))
-        out.append((model.langs[int(by.argmax())], float(by.max() / by.sum()), spans))
+def label_texts(texts: list[str | None], scorer: Scorer, spans: bool = True) -> list[tuple[str, float, float, list[tuple[int, int, str]]]]:
+    """(language, score, known, spans) per text: score is the share of letters that the language has,
+    known that of letters in words whose script some language uses; spans are (start, end, language)
+    of code points. Texts of like length are worked on together, CHUNK code points at once."""
+    out: list = [(UNKNOWN, 0.0, 0.0, [])] * len(texts)
+    order = sorted((i for i, t in enumerate(texts) if t), key=lambda i: -len(texts[i]))
+    at = 0
+    while at < len(order):
+        size, stop = 0, at
+        while stop < len(order) and (stop == at or size + len(texts[order[stop]]) <= CHUNK):
+            size += len(texts[order[stop]])
+            stop += 1
+        for i, got in zip(order[at:stop], _labelled([texts[i] for i in order[at:stop]], scorer, spans), strict=True):
+            out[i] = got
+        at = stop
     return out
 
 
+def _labelled(texts: list[str], scorer: Scorer, spans: bool) -> Iterator[tuple[str, float, float, list[tuple[int, int, str]]]]:
+    joined, start, end, owner, letters = word_places(texts)
+    langs = scorer.model.langs
+    scores, used = scorer.of([joined[a:b].lower() for a, b in zip(start.tolist(), end.tolist(), strict=True)])
+    cuts = np.searchsorted(owner, np.arange(len(texts) + 1))
+    paths = viterbi([scores[a:b] for a, b in zip(cuts, cuts[1:], strict=False)])
+    offset = 0
+    for text, a, b, path in zip(texts, cuts, cuts[1:], paths, strict=False):
+        if a == b:
+            yield UNKNOWN, 0.0, 0.0, []
+        else:
+            by = np.bincount(path, letters[a:b], len(langs))
+            found = []
+            if spans:
+                cut = np.flatnonzero(np.diff(path)) + 1
+                begins, ends = np.concatenate([[0], cut]), np.append(cut, len(path)) - 1
+                found = [(int(start[a + x]) - offset, int(end[a + y]) - offset, langs[path[x]]) for x, y in zip(begins, ends, strict=True)]
+            yield langs[int(by.argmax())], float(by.max() / by.sum()), float(letters[a:b][used[a:b]].sum() / by.sum()), found
+        offset += len(text) + 1
+
+
+class _Labels:
+    """What a worker does with a batch of texts; its scorer lives as long as the task."""
+
+    def __init__(self, held):
+        self.held, self.scorer = held, None
+
+    def __call__(self, texts: pa.Array, spans: bool = False) -> list[tuple]:
+        if not self.held.value:
+            return [(UNKNOWN, 0.0, 0.0, [])] * len(texts)
+        self.scorer = self.scorer or Scorer(self.held.value)
+        return label_texts(texts.to_pylist(), self.scorer, spans)
+
+
 def identify(docs: DataFrame, model: Model | None, spans: bool = False) -> DataFrame:
     """doc_id, lang_pred, score (and spans) of whole texts.
 
     lang_pred is the language with the most letters on the Viterbi path over the words, score their
-    share of all letters. Null text and text without a letter give `und` and 0; so does a model
-    without any language. Rows that repeat stay; lang and source aren't read.
+    share of all letters; of equal ones the first by name. Only characters of Unicode's letter
+    categories are letters. Null text and text without a letter give `und` and 0; so does a model
+    without any language. Rows that repeat and rows with a null doc_id stay; lang and source aren't
+    read; other columns are ignored; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    tune(spark, BATCH)
-    held = spark.sparkContext.broadcast(model)
-    extra = [F.col("text").cast("string")]
+    tune(spark)
+    labels = _Labels(spark.sparkContext.broadcast(model))
     schema = "doc_id long, lang_pred string, score double" + ", spans array<struct<start:int,end:int,lang:string>>" * spans
 
     def label(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = batch.column(1).to_pylist()
-        got = label_texts(texts, held.value) if held.value else [(UNKNOWN, 0.0, [])] * len(texts)
+        got = labels(batch.column(1), spans)
         cols = [batch.column(0), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())]
         if spans:
             kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
-            cols.append(pa.array([[{"start": a, "end": b, "lang": x} for a, b, x in g[2]] for g in got], kind))
+            cols.append(pa.array([[{"start": a, "end": b, "lang": x} for a, b, x in g[3]] for g in got], kind))
         return pa.RecordBatch.from_arrays(cols, ["doc_id", "lang_pred", "score", "spans"][: len(cols)])
 
-    return by_batch(docs.select(F.col("doc_id").cast("long"), *extra), label, schema)
+    return by_batch(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), label, schema)
 
 
 def accepted(docs: DataFrame, model: Model | None, least: float = 0.5) -> DataFrame:
-    """docs whose language is known and has at least the share `least` of their letters."""
-    lang, score = "lang_pred", "lang_score"
-    while {lang, score} & set(docs.columns):
-        lang, score = lang + "_", score + "_"
-    return with_language(docs, model, lang, score).where((F.col(lang) != UNKNOWN) & (F.col(score) >= least)).select(*docs.columns)
-
-
-def with_language(docs: DataFrame, model: Model | None, lang: str = "lang_pred", score: str = "lang_score") -> DataFrame:
-    """docs with two more columns, of names that docs doesn't have; its own columns and rows stay."""
-    tune(docs.sparkSession, BATCH)
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    """docs whose language is known: texts with a letter, of whose letters at least the share `least`
+    are in words of a script that some language of the model uses. A text in several known languages
+    stays. Null and letterless texts go; without a model all go; columns and repeated rows stay."""
+    known = "lang_known"
+    while known in docs.columns:
+        known += "_"
+    return with_language(docs, model, known=known).where(F.col(known) >= least).select(*docs.columns)
+
+
+def with_language(docs: DataFrame, model: Model | None, lang: str | None = None, score: str | None = None, known: str | None = None) -> DataFrame:
+    """docs with up to three more columns, of names that docs doesn't have: language, score and the
+    share of letters in known scripts; its own columns and rows stay."""
+    tune(docs.sparkSession)
+    labels = _Labels(docs.sparkSession.sparkContext.broadcast(model))
     at = docs.columns.index("text")
+    added = [(name, k, kind) for k, (name, kind) in enumerate(((lang, StringType()), (score, DoubleType()), (known, DoubleType()))) if name]
 
     def add(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = batch.column(at).to_pylist()
-        got = label_texts(texts, held.value) if held.value else [(UNKNOWN, 0.0, [])] * len(texts)
-        return batch.append_column(lang, pa.array([g[0] for g in got], pa.string())).append_column(score, pa.array([g[1] for g in got], pa.float64()))
-
-    return by_batch(docs, add, StructType([*docs.schema.fields]).add(lang, StringType()).add(score, DoubleType()))
+        got = labels(batch.column(at))
+        for name, k, kind in added:
+            batch = batch.append_column(name, pa.array([g[k] for g in got], pa.string() if isinstance(kind, StringType) else pa.float64()))
+        return batch
+
+    schema = StructType([*docs.schema.fields])
+    for name, _, kind in added:
+        schema = schema.add(name, kind)
+    return by_batch(docs, add, schema)
 
 
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:

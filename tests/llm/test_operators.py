@@ -6,6 +6,7 @@ import gzip
 import hashlib
 import random
 import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -325,7 +326,59 @@ def test_language(spark):
     assert langid.fit(docs.where("lang IS NULL")) is None
     assert {r.lang_pred for r in langid.identify(docs, None).collect()} == {"und"}
     kept = langid.accepted(docs.union(rest), model)
-    assert {1001, 1002}.isdisjoint({r.doc_id for r in kept.collect()}) and kept.columns == docs.columns
+    assert {r.doc_id for r in kept.collect()} == {*range(600), 1000, 1003, 1004} and kept.columns == docs.columns
+    odd = langid.identify(docs_of(spark, [(1, "\u00b2 \u00bd \u2167"), (2, "\u0301\u0301"), (3, "\u0301a"), (None, "the thing"), (4, "\u4e2d\u6587")]), model).collect()
+    assert {r.doc_id: r.lang_pred == "und" for r in odd} == {1: True, 2: True, 3: False, None: False, 4: False}
+    assert {r.doc_id for r in langid.accepted(docs_of(spark, [(1, "\u4e2d\u6587"), (2, "the \u4e2d"), (3, "\u4e2d\u6587\u4e2d\u6587 a")]), model).collect()} == {2}
+    assert langid.identify(docs_of(spark, []), model).count() == 0
+
+
+def test_words_hold_letters_and_marks():
+    texts = ["h\u0301e 2x \u0939\u093f\u0928\u094d\u0926\u0940-word", "", "\u00b2", "\u0301\u0301 z", "a" * 1000]
+    joined, start, end, owner, letters = langid.word_places(texts)
+    got = [(int(o), joined[a:b], int(n)) for a, b, o, n in zip(start, end, owner, letters, strict=True)]
+    want = []
+    for i, t in enumerate(texts):
+        word = ""
+        for c in t + " ":
+            kind = unicodedata.category(c)[0]
+            if kind == "L" or word and kind == "M":
+                word += c
+            elif word:
+                want.append((i, word, sum(unicodedata.category(x)[0] == "L" for x in word)))
+                word = ""
+    assert got == want
+
+
+def test_word_scores_and_scripts(monkeypatch):
+    monkeypatch.setattr(langid, "BUCKETS", 1 << 10)
+    rng = np.random.default_rng(0)
+    counts, scripts = rng.integers(0, 50, (3, 1 << 10)).astype(float), np.zeros((3, len(langid.NAMES)))
+    scripts[:2, langid.NAMES.index("latin")] = 100
+    scripts[2, langid.NAMES.index("greek")] = 100
+    model = langid.Model(["a", "b", "c"], counts, scripts)
+    words = ["word", "a", "\u03b1\u03b2\u03b3", "\u4e2d", "w" * 300]
+    logp = np.log((counts + 0.5) / (counts.sum(1, keepdims=True) + 0.5 * (1 << 10)))
+    for word, got in zip(words, model.word_scores(words), strict=True):
+        padded = f" {word} "
+        total, n = np.zeros(3), 0
+        for size in langid.SIZES:
+            for i in range(len(padded) - size + 1):
+                gram = padded[i : i + size]
+                if gram.strip():
+                    h = 0
+                    for c in gram:
+                        h = (h * 0x100000001B3 + ord(c) * 0x9E3779B97F4A7C15) % 2**64
+                    total, n = total + logp[:, (h ^ h >> 29) * 0xD1B54A32D192ED03 % 2**64 >> 54], n + 1
+        want = total / np.sqrt(n)
+        uses = {"\u03b1": [0, 0, 1], "\u4e2d": [1, 1, 1]}.get(word[0], [1, 1, 0])
+        want = np.where(uses, want, want[np.array(uses, bool)].min() - 20)
+        assert got == pytest.approx(want - want.max(), abs=1e-3)
+    scorer = langid.Scorer(model)
+    scorer.most = 3
+    for some in (words, words[::-1], ["a"] * 5):
+        rows, used = scorer.of(some)
+        assert rows == pytest.approx(model.word_scores(some)) and used.tolist() == [w[0] != "\u4e2d" for w in some]
 
 
 def test_viterbi_is_exact():
