@@ -167,11 +167,11 @@ class Filter:
         return [F.pmod(F.xxhash64(ids.cast("long"), F.lit(k)), F.lit(width)) for k in (1, 2)]
 
     @classmethod
-    def of(cls, ids: DataFrame, column: str) -> Filter:
+    def of(cls, ids: DataFrame, column: str, places: Callable[[Column, int], list[Column]] | None = None) -> Filter:
         """Built on the executors; the driver gets the words of bits, at most MOST / 64."""
         n = ids.count()
         width = min(cls.MOST, 1 << max(10, (16 * max(n, 1) - 1).bit_length()))
-        place = ids.select(F.explode(F.array(*cls.places(F.col(column), width))).alias("p"))
+        place = ids.select(F.explode(F.array(*(places or cls.places)(F.col(column), width))).alias("p"))
         words = place.groupBy(F.shiftright("p", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p & 63 as int)))").alias("bits")).toPandas()
         bits = np.zeros(width // 64, np.int64)
         bits[words["w"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)

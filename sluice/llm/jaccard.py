@@ -1,21 +1,23 @@
 """Size-aware heavy-light Jaccard join of documents on five-word shingles (operator 3).
 
-Sets are classes of documents with equal shingles. The join runs in these steps, all on Spark:
-
-1. One pass hashes every text's set and writes, per document, the class key, the size, a few
-   min-hash signatures, and (per task) the shingles that the task saw in many documents.
-2. Stars: classes hook to the class that most of their signatures agree on, if the exact similarity
-   to it is high enough. Large groups of near copies become stars with a centre and known radii.
-3. Keys: with the widely shared shingles last in the order of shingles, small sets enumerate the
-   pairs (fixed-size subsets) of their prefix and large sets enter the inverted lists of theirs. The
-   boundary is the size with the least cost by the histogram of sizes. Both kinds of key meet in one
-   grouping, where a star counts once.
-4. Stars that share a key are compared by their centres; Jaccard distance is a metric, so centres
-   further apart than threshold plus radii cannot have linked members, and are dropped. Members of
-   the others are compared themselves, exactly, unless a chain of links joins their stars already.
-
-Steps 2 and 4 decide by the exact similarity of whole sets; the order of shingles, the stars and the
-boundary decide only how much work it takes, never what is found.
+Sets are classes of documents with equal shingles, so copies count once. The join runs in these
+steps, all on Spark:
+
+1. One pass hashes every text's set and writes, per document, the class, the size, a sketch and the
+   set's first shingles in the order of hashes: the prefix that any linked set must meet, and some more.
+2. The prefixes' shingles are counted. Those in many documents go last in the order, by a filter of
+   bounded size; few sets need their text a second time for their new prefix.
+3. Keys: small sets enumerate the pairs (fixed-size subsets) of their prefix and large sets enter the
+   inverted lists of theirs. The boundary is the size with the least cost by the histogram of sizes and
+   the measured length of the lists.
+4. Short lists are joined in full, and a pair must share as many keys as its sizes ask for. Long lists,
+   those of large groups of near copies, first link each member to one drawn member, then the components
+   that this has made meet again, in rounds; only lists that stay mixed are joined in full, between
+   components.
+5. Pairs whose sketches allow it are verified by the exact similarity of whole sets.
+
+The order of shingles, the draws and the boundary decide only how much work it takes, never what is
+found.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Filter, WordHash, components, discard, gram_hashes, mixed, release, saved, table, tune
@@ -35,19 +37,17 @@ SHINGLE = 5
 #: Links have NUMERATOR * union <= DENOMINATOR * intersection: a similarity of 0.75 or more.
 NUMERATOR, DENOMINATOR = 75, 100
 THRESHOLD = NUMERATOR / DENOMINATOR
-#: Signatures per class and min-hashes per signature.
-SIGNATURES, HASHES = 8, 3
-#: A signature with more classes than CROWD has a leader of its own; classes try LEADERS of them.
-CROWD, LEADERS = 64, 3
 #: Shingles per bucket of a sketch.
 PER_BUCKET = 4
-#: A task reports shingles that it saw in this many documents of a block of BLOCK shingles; those that
-#: were reported often, WIDE of them at most, go last in the order.
-SEEN, BLOCK, OFTEN, WIDE = 2, 1 << 22, 8, 1 << 19
-#: Subset size of small sets, and the sizes among which the boundary is chosen.
-SUBSET, BOUNDARIES = 2, range(0, 49, 4)
-#: A list with more stars than this sends its shingle to the end of the order in the next pass.
-LONG_LIST, PASSES = 16, 2
+#: Subset size of small sets, and the sizes among which the boundary is chosen. Sets up to the largest
+#: are kept whole by the survey; of others it keeps the prefix and one EXTRA-th more.
+SUBSET, BOUNDARIES, EXTRA = 2, range(0, 49, 4), 4
+#: Shingles in more prefixes than this go last in the order; lists with more sets than this are long.
+LONG_LIST = 16
+#: Rounds in which the members of long lists meet one drawn member, before lists are joined in full.
+ROUNDS = 4
+#: Ids of nodes (8 bytes each) that are broadcast at most.
+FEW = 200_000
 
 
 def shingle_set(text: bytes | None, table: WordHash) -> np.ndarray:
@@ -72,18 +72,6 @@ def _ids(docs: DataFrame) -> DataFrame:
     return docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
 
 
-SURVEYED = "doc_id long, n int, class binary, signatures array<long>, sketch binary, shingle long, seen long"
-NAMES = [x.split()[0] for x in SURVEYED.split(", ")]
-
-
-def signatures_of(s: np.ndarray) -> np.ndarray:
-    """Signatures by one-permutation hashing: the sorted set is cut into equal ranges, whose first
-    members (or the next ones, where a range is empty) are the min-hashes."""
-    cuts = np.arange(SIGNATURES * HASHES, dtype=np.uint64) * np.uint64((1 << 64) // (SIGNATURES * HASHES))
-    mins = s[np.searchsorted(s, cuts) % len(s)].reshape(HASHES, SIGNATURES)
-    return mixed(mins[0] * np.uint64(3) + mixed(mins[1] * np.uint64(5) + mixed(mins[2] + np.arange(SIGNATURES, dtype=np.uint64))))
-
-
 def sketch_of(s: np.ndarray) -> bytes:
     """Members of the set per range of hashes, about PER_BUCKET each; a power of two of ranges."""
     bits = max(2, (len(s) // PER_BUCKET).bit_length())
@@ -101,40 +89,8 @@ def most_similar(a: bytes, b: bytes) -> float:
     return both / (int(x.sum()) + int(y.sum()) - both)
 
 
-def survey(docs: DataFrame) -> DataFrame:
-    """Step 1: a row per document, and rows (shingle, seen) of shingles that a task saw often."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, pending, size = WordHash(), [], 0
-        for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                s = shingle_set(text, words)
-                if not len(s):
-                    rows.append((doc_id, 0, None, None, None, None, None))
-                    continue
-                rows.append((doc_id, len(s), xxhash.xxh3_128_digest(s.tobytes()), signatures_of(s).view(np.int64).tolist(), sketch_of(s), None, None))
-                pending.append(s)
-                size += len(s)
-            yield _batch(rows)
-            if size > BLOCK:
-                yield _counted(pending)
-                pending, size = [], 0
-        if pending:
-            yield _counted(pending)
-
-    def _counted(sets: list[np.ndarray]) -> pa.RecordBatch:
-        values, times = np.unique(np.concatenate(sets), return_counts=True)
-        keep = times >= SEEN
-        n = int(keep.sum())
-        none = [pa.nulls(n, t) for t in (pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.binary())]
-        return pa.RecordBatch.from_arrays([*none, pa.array(values[keep].view(np.int64)), pa.array(times[keep].astype(np.int64))], NAMES)
-
-    def _batch(rows: list[tuple]) -> pa.RecordBatch:
-        types = [pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.binary(), pa.int64(), pa.int64()]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], NAMES)
-
-    return saved(_ids(docs).mapInArrow(run, SURVEYED), "jaccard-survey")
+SURVEYED = "doc_id long, of long, n int, class long, digest long, sketch binary, firsts array<long>"
+NAMES = [x.split()[0] for x in SURVEYED.split(", ")]
 
 
 def prefix(n: int) -> int:
@@ -142,90 +98,74 @@ def prefix(n: int) -> int:
     return n - overlap_needed(n) + 1
 
 
-def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(node, items): sorted sets as bytes of the documents in ids (node), and of a few others that
-    the filter lets through; texts aren't shuffled for it."""
-    keep = Filter.of(ids, "node")
-    held = docs.sparkSession.sparkContext.broadcast(keep)
-    first, second = Filter.places(F.col("doc_id"), keep.width)
+def class_of(s: np.ndarray, seed: int) -> tuple[int, int]:
+    """Two 64-bit hashes of a set: its class, and a digest that must be equal within a class."""
+    both = xxhash.xxh3_128_intdigest(s.tobytes(), seed)
+    return (both >> 64) - (1 << 63), (both & ((1 << 64) - 1)) - (1 << 63)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordHash()
-        for batch in batches:
-            batch = batch.filter(pa.array(held.value.has([batch.column("p").to_numpy(), batch.column("q").to_numpy()]), pa.bool_()))
-            if batch.num_rows:
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t, words).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], ["node", "items"])
 
-    wanted = _ids(docs).select("doc_id", "text", first.alias("p"), second.alias("q"))
-    return wanted.mapInArrow(run, "node long, items binary")
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in arrays])]).astype(np.int32)
+    flat = np.concatenate([*arrays, np.zeros(0, np.uint64)]).view(np.int64)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
 
 
-def possible(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
-    """pairs (a, b, least) whose sketches allow a similarity of `least`."""
+def survey(docs: DataFrame, seed: int) -> DataFrame:
+    """Step 1: a row per document."""
+    most = max(BOUNDARIES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = WordHash()
         for batch in batches:
-            least = batch.column("least").to_pylist()
-            ok = [most_similar(x, y) >= z - 1e-9 for x, y, z in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), least, strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            rows, firsts = [], []
+            for text in batch.column(1).to_pylist():
+                s = shingle_set(text, words)
+                n = len(s)
+                rows.append((n, *class_of(s, seed), sketch_of(s)) if n else (0, None, None, None))
+                firsts.append(s if n <= most else s[: prefix(n) * (EXTRA + 1) // EXTRA])
+            kinds = [pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *[pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], _lists(firsts)], NAMES)
 
-    both = pairs.join(sketches.select(F.col("node").alias("a"), F.col("sketch").alias("x")), "a").join(sketches.select(F.col("node").alias("b"), F.col("sketch").alias("y")), "b")
-    return saved(both.select("a", "b", "least", "x", "y").mapInArrow(run, "a long, b long").distinct(), "jaccard-possible")
+    return saved(_ids(docs).withColumn("of", F.xxhash64("text")).mapInArrow(run, SURVEYED), "jaccard-survey")
 
 
-def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(a, b, linked, distance) of pairs, from whole sets. Each set travels by its pairs' a, then by b."""
-    if pairs.isEmpty():
-        return docs.sparkSession.createDataFrame([], "a long, b long, linked boolean, distance double")
-    sets = sets_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("node")))
+def shingle_places(key: Column, width: int) -> list[Column]:
+    """Places of a shingle in a filter; shingles are hashes already, so their low bits do."""
+    return [key.bitwiseAND(F.lit(width - 1)), F.shiftrightunsigned(key, 27).bitwiseAND(F.lit(width - 1))]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array([f[0] for f in found], pa.bool_()), pa.array([f[1] for f in found], pa.float64())], ["a", "b", "linked", "distance"])
-
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("items").alias("y")), "b")
-    found = both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, linked boolean, distance double")
-    # A doc_id with two texts has two sets: one link is enough.
-    return saved(found.groupBy("a", "b").agg(F.max("linked").alias("linked"), F.min("distance").alias("distance")), "jaccard-verified")
 
+def ordered(s: np.ndarray, last: Filter) -> tuple[np.ndarray, int]:
+    """The shingles with those of the filter last, and how many aren't in it."""
+    often = last.has([(s & np.uint64(last.width - 1)).astype(np.int64), (s >> np.uint64(27) & np.uint64(last.width - 1)).astype(np.int64)])
+    return np.concatenate([s[~often], s[often]]), len(s) - int(often.sum())
 
-def stars(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Step 2: (node, star, radius) of every class; a class that hooks to none is its own star.
 
-    Each signature has a leader: of few classes that with the smallest node, of many one drawn by the
-    signature, so that a large group has several. A class is compared with the LEADERS leaders that
-    most of its signatures have and hooks to the nearest that it links to; leaders don't hook.
-    """
-    sig = classes.select("node", F.explode("signatures").alias("signature"))
-    drawn = F.min_by("node", F.xxhash64("node", "signature"))
-    lead = sig.groupBy("signature").agg(F.when(F.count("*") > CROWD, drawn).otherwise(F.min("node")).alias("lead"), F.count("*").alias("m"))
-    lead = saved(lead.where("m > 1").select("signature", "lead"), "jaccard-leads")
-    votes = sig.join(lead, "signature").groupBy("node", "lead").count()
-    best = F.slice(F.sort_array(F.collect_list(F.struct("count", (-F.col("lead")).alias("l"))), asc=False), 1, LEADERS)
-    hooks = votes.where("node <> lead").join(lead.select(F.col("lead").alias("node")).distinct(), "node", "left_anti")
-    pairs = hooks.groupBy("node").agg(best.alias("best")).select(F.col("node").alias("a"), F.explode("best").alias("x")).select("a", (-F.col("x.l")).alias("b"), F.lit(THRESHOLD).alias("least"))
-    near = verified(docs, possible(pairs, classes)).where("linked").groupBy("a").agg(F.min(F.struct("distance", "b")).alias("near"))
-    held = near.select(F.col("a").alias("node"), F.col("near.b").alias("star"), F.col("near.distance").alias("radius"))
-    own = classes.select("node").distinct().join(held, "node", "left")
-    return saved(own.select("node", F.coalesce("star", "node").alias("star"), F.coalesce("radius", F.lit(0.0)).alias("radius")), "jaccard-stars")
+def keys_of(s: np.ndarray, n: int, limit: int) -> np.ndarray:
+    """Step 3: the keys of a set of n whose first shingles in the order are s."""
+    keys, p = [np.zeros(0, np.uint64)], prefix(n)
+    if n > limit or n >= overlap_needed(limit + 1):
+        keys.append(s[:p])  # the shingle itself
+    if SUBSET < n <= limit:
+        x = s[: p + SUBSET - 1]
+        i, j = np.triu_indices(len(x), 1)
+        keys.append(mixed(np.minimum(x[i], x[j]) * np.uint64(5) + mixed(np.maximum(x[i], x[j]))))
+    return np.concatenate(keys)
 
 
 def boundary(sizes: list[tuple[int, int]], listed: float) -> int:
     """The largest size whose sets enumerate subsets: that with the least keys and lookups.
 
-    sizes: (set size, number of classes); listed: mean length of the lists that an entry meets. A
-    subset costs its key; an entry costs its key and the list. Large sets near the boundary are met
-    by small ones in the lists, so those enter both.
+    sizes: (set size, number of sets), of small sets; listed: mean length of the lists that an entry
+    of theirs meets. A subset costs its key; an entry costs its key and the list. Large sets near the
+    boundary are met by small ones in the lists, so those enter both.
     """
 
     def cost(limit: int) -> float:
         total = 0.0
         for n, times in sizes:
             p = prefix(n)
-            subsets = comb(p + SUBSET - 1, SUBSET) if n > SUBSET else 0
-            if n <= limit:
-                total += times * subsets
+            if SUBSET < n <= limit:
+                total += times * comb(p + SUBSET - 1, SUBSET)
             if n > limit or n >= overlap_needed(limit + 1):
                 total += times * p * (1 + listed)
         return total
@@ -233,76 +173,183 @@ def boundary(sizes: list[tuple[int, int]], listed: float) -> int:
     return min(BOUNDARIES, key=cost)
 
 
-def entries(docs: DataFrame, members: DataFrame, wide: np.ndarray, limit: int) -> DataFrame:
-    """Step 3: (key, star) of every class, once for each star."""
-    spread = np.zeros(1 << 22, bool)
-    spread[wide >> np.uint64(42)] = True
-    held = docs.sparkSession.sparkContext.broadcast((np.sort(wide), spread))
+def entries(docs: DataFrame, surveyed: DataFrame, classes: DataFrame) -> tuple[DataFrame, int]:
+    """Steps 2 and 3: (key, class, n), once each, and the boundary."""
+    most = max(BOUNDARIES)
+    p = F.expr(f"int(n - int((n * {NUMERATOR}L + {DENOMINATOR - 1}) div {DENOMINATOR}) + 1)")
+    each = surveyed.where("n > 0").select(F.explode(F.slice("firsts", F.lit(1), p)).alias("key"), (F.col("n") <= most).cast("int").alias("small"))
+    counts = saved(each.groupBy("key").agg(F.count("*").alias("m"), F.sum("small").alias("small")).where("m > 1"), "jaccard-counts")
+    release(docs.sparkSession)
+    last = Filter.of(counts.where(F.col("m") > LONG_LIST), "key", shingle_places)
+    sizes = [(r[0], r[1]) for r in surveyed.where(f"n > 0 AND n <= {most}").groupBy("n").count().collect()]
+    met = counts.where(F.col("m") <= LONG_LIST).agg(F.coalesce(F.sum(F.col("small") * (F.col("m") - 1)), F.lit(0))).first()[0]
+    limit = boundary(sizes, 1 + met / max(1, sum(prefix(n) * times for n, times in sizes)))
+    discard(counts)
+    held = docs.sparkSession.sparkContext.broadcast(last)
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Classes whose kept shingles don't hold their new prefix."""
+        for batch in batches:
+            need = [len(f) < n and ordered(f.values.to_numpy().view(np.uint64), held.value)[1] < prefix(n) for n, f in zip(batch.column(1).to_pylist(), batch.column(2), strict=True)]
+            yield batch.select([0]).filter(pa.array(need, pa.bool_()))
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, keys = batch.column(1).to_pylist(), []
+            for n, f in zip(sizes, batch.column(2), strict=True):
+                s, first = ordered(f.values.to_numpy().view(np.uint64), held.value)
+                keys.append(keys_of(s, n, limit) if len(s) == n or first >= prefix(n) else s[:0])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _lists(keys)], ["class", "n", "keys"])
+
+    whole = surveyed.where("n > 0").select("class", "n", "firsts")
+    redo = whole.mapInArrow(again, "class long").distinct().join(classes.select("class", "lo", "of"), "class")
+    sets = sets_of(docs, saved(redo, "jaccard-redo"))
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.frombuffer(x, np.uint64) for x in batch.column(1).to_pylist()]
+            keys = [keys_of(ordered(s, held.value)[0], len(s), limit) for s in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int32()), _lists(keys)], ["class", "n", "keys"])
+
+    keyed = "class long, n int, keys array<long>"
+    both = whole.mapInArrow(kept, keyed).union(sets.select("class", "items").mapInArrow(made, keyed))
+    return saved(both.select(F.explode("keys").alias("key"), "class", "n").distinct(), "jaccard-entries"), limit
+
+
+def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(class, items): sorted sets as bytes of the documents lo of wanted (class, lo, of). Texts aren't
+    shuffled for it: a filter of ids finds them, and the join drops what it lets through besides."""
+    keep = Filter.of(wanted, "lo")
+    held = docs.sparkSession.sparkContext.broadcast(keep)
+    first, second = Filter.places(F.col("doc_id"), keep.width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, (last, spread) = WordHash(), held.value
+        words = WordHash()
         for batch in batches:
-            out = []
-            for text in batch.column(1).to_pylist():
-                s = shingle_set(text, words)
-                often = spread[s >> np.uint64(42)]  # a first look that is right about most
-                if often.any():
-                    often[often] = last[np.minimum(np.searchsorted(last, s[often]), len(last) - 1)] == s[often]
-                    s = np.concatenate([s[~often], s[often]])
-                n, keys = len(s), []
-                p = prefix(n)
-                if n and (n > limit or n >= overlap_needed(limit + 1)):
-                    keys.append(s[:p])  # the shingle itself
-                if SUBSET < n <= limit:
-                    x = s[: p + SUBSET - 1]
-                    i, j = np.triu_indices(len(x), 1)
-                    keys.append(mixed(np.minimum(x[i], x[j]) * np.uint64(5) + mixed(np.maximum(x[i], x[j]))))
-                out.append(np.concatenate(keys) if keys else np.zeros(0, np.uint64))
-            offsets = np.concatenate([[0], np.cumsum([len(k) for k in out])]).astype(np.int32)
-            flat = np.concatenate(out).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["node", "keys"])
-
-    keyed = _ids(docs).mapInArrow(run, "node long, keys array<long>")
-    return keyed.join(members.select("node", "star"), "node").select("star", F.explode("keys").alias("key"))
-
-
-def star_pairs(docs: DataFrame, classes: DataFrame, members: DataFrame, surveyed: DataFrame, sizes: list[tuple[int, int]]) -> DataFrame:
-    """Pairs of stars (a, b) with a common key.
-
-    Lists longer than LONG_LIST send their shingles to the end of the order and the keys are made
-    anew, in PASSES passes; what is long then is joined in full, for no link may be lost.
+            batch = batch.filter(pa.array(held.value.has([batch.column("p").to_numpy(), batch.column("q").to_numpy()]), pa.bool_()))
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t, words).tobytes() for t in batch.column(1).to_pylist()], pa.binary()), batch.column("of")], ["doc_id", "items", "of"])
+
+    # A doc_id with several texts has several sets: the text's own hash tells which is meant.
+    found = _ids(docs).select("doc_id", "text", first.alias("p"), second.alias("q"), F.xxhash64("text").alias("of")).mapInArrow(run, "doc_id long, items binary, of long")
+    return found.join(wanted.select(F.col("lo").alias("doc_id"), "class", "of"), ["doc_id", "of"]).select("class", "items").dropDuplicates(["class"])
+
+
+def possible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """pairs (a, b) whose sketches allow a link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = [most_similar(x, y) >= THRESHOLD - 1e-9 for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    of = few_of(classes.select("class", "sketch"), pairs)
+    both = pairs.join(of.toDF("a", "x"), "a").join(of.toDF("b", "y"), "b")
+    return saved(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "jaccard-possible")
+
+
+def few_of(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The rows (class, ...) of the classes in pairs, cut down before they are shuffled if few."""
+    ids = saved(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct(), "jaccard-ids")
+    return rows.join(F.broadcast(ids), "class", "left_semi") if ids.limit(FEW + 1).count() <= FEW else rows
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) that link, by their whole sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = [linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64))[0] for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    of = few_of(sets, pairs)
+    both = pairs.join(of.toDF("a", "x"), "a").join(of.toDF("b", "y"), "b")
+    return saved(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "jaccard-links")
+
+
+def fits(n: str, m: str) -> Column:
+    """Whether sets of n and m can link by their sizes."""
+    return F.least(n, m) * DENOMINATOR >= F.greatest(n, m) * NUMERATOR
+
+
+def close_pairs(lists: DataFrame, limit: int) -> DataFrame:
+    """Pairs (a, b, c) of classes in short lists with c common keys, as many as a link needs.
+
+    The set whose prefix ends first in the order shares all but its rest's share of the overlap
+    within both prefixes: keys in long lists, which aren't joined here, are taken as shared.
     """
-    often = surveyed.where("shingle IS NOT NULL").groupBy("shingle").agg(F.sum("seen").alias("seen")).where(F.col("seen") >= OFTEN)
-    # Any shingles may go last, so a bound on their number costs time at worst.
-    wide = _longs(often.orderBy(F.desc("seen"), "shingle").limit(WIDE).select("shingle"))
-    limit = boundary(sizes, listed=1.0)
-    for last in range(PASSES - 1, -1, -1):
-        met = _lists(docs, members, wide, limit)
-        if last:
-            found = _longs(met.where(F.col("m") > LONG_LIST).select("key").distinct().limit(WIDE))
-            wide = np.concatenate([wide, found[~np.isin(found, wide)][: max(0, WIDE - len(wide))]])
-            discard(met)
-        release(docs.sparkSession)
-    # Linked members need centres whose sizes are near enough, radii counted in.
-    centres = classes.groupBy(F.col("node").alias("star")).agg(F.min("n").alias("least_n"), F.max("n").alias("most_n"))
-    radii = members.groupBy("star").agg(F.max("radius").alias("r"))
-    met = met.join(centres.join(radii, "star"), "star")
-    x = met.select("key", F.col("star").alias("a"), F.col("least_n").alias("la"), F.col("most_n").alias("ma"), F.col("r").alias("ra"))
-    y = met.select("key", F.col("star").alias("b"), F.col("least_n").alias("lb"), F.col("most_n").alias("mb"), F.col("r").alias("rb"))
-    least = F.lit(THRESHOLD - 1e-9) - F.col("ra") - F.col("rb")
-    sized = (F.col("ma") >= least * F.col("lb")) & (F.col("mb") >= least * F.col("la"))
-    return saved(x.join(y, "key").where((F.col("a") < F.col("b")) & sized).select("a", "b").distinct(), "jaccard-met")
-
-
-def _lists(docs: DataFrame, members: DataFrame, wide: np.ndarray, limit: int) -> DataFrame:
-    """(key, star, m): inverted lists of two stars or more, with their lengths."""
-    e = entries(docs, members, wide, limit).repartition("key").distinct()
-    return saved(e.withColumn("m", F.count("*").over(Window.partitionBy("key"))).where("m > 1"), "jaccard-lists")
-
-
-def _longs(df: DataFrame) -> np.ndarray:
-    """The only column of at most WIDE rows."""
-    return np.array([r[0] for r in df.collect()], np.int64).view(np.uint64)
+    short, long = lists.where(F.col("m") <= LONG_LIST), lists.where(F.col("m") > LONG_LIST)
+    x, y = short.select("key", F.col("class").alias("a"), F.col("n").alias("na")), short.select("key", F.col("class").alias("b"), F.col("n").alias("nb"))
+    met = x.join(y, "key").where((F.col("a") < F.col("b")) & fits("na", "nb")).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"))
+    beyond = saved(long.groupBy("class").agg(F.count("*").alias("l")), "jaccard-beyond")
+    few = beyond.limit(FEW + 1).count() <= FEW
+    for side in "ab":
+        of = beyond.select(F.col("class").alias(side), F.col("l").alias(f"l{side}"))
+        met = met.join(F.broadcast(of) if few else of, side, "left")
+    overlap = F.expr(f"int(((na + nb) * {NUMERATOR}L + {NUMERATOR + DENOMINATOR - 1}) div {NUMERATOR + DENOMINATOR})")
+    rest = F.expr(f"int((greatest(na, nb) * {NUMERATOR}L + {DENOMINATOR - 1}) div {DENOMINATOR}) - 1")
+    enough = F.col("c") + F.least(F.coalesce("la", F.lit(0)), F.coalesce("lb", F.lit(0))) >= overlap - rest
+    return met.where(enough | (F.least("na", "nb") <= limit)).select("a", "b", "c")
+
+
+def links(docs: DataFrame, surveyed: DataFrame, classes: DataFrame) -> DataFrame:
+    """Edges (a, b) between linked classes, enough of them to join what is linked."""
+    spark = docs.sparkSession
+    made, limit = entries(docs, surveyed, classes)
+    release(spark)
+    # Lists of one set go; the others' lengths are counted before the join, so a hot list can be split.
+    lengths = made.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
+    lists = saved(made.join(lengths, "key"), "jaccard-lists")
+    discard(made)
+    release(spark)
+    near = possible(close_pairs(lists, limit).select("a", "b"), classes)
+    long = lists.where(F.col("m") > LONG_LIST).select("key", "class", "n")
+    wanted = near.select(F.explode(F.array("a", "b")).alias("class")).union(long.select("class")).distinct()
+    sets = saved(sets_of(docs, saved(wanted.join(classes.select("class", "lo", "of"), "class"), "jaccard-wanted")), "jaccard-sets")
+    release(spark)
+
+    # First each class meets one neighbour of the short lists, and one drawn member of each long list.
+    ways = near.union(near.select("b", "a"))
+    best = ways.groupBy("a").agg(F.min_by("b", F.xxhash64(F.least("a", "b"), F.greatest("a", "b"))).alias("b"))
+    first = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    found = verified(first, sets)
+    at = long.select("key", "class", "n", F.col("class").alias("component"))
+    for k in range(ROUNDS):
+        at = saved(at, "jaccard-mixed")
+        if k and at.isEmpty():
+            break
+        drawn = at.groupBy("key").agg(F.min_by(F.struct("class", "n", "component"), F.xxhash64("class", "key", F.lit(k))).alias("d"))
+        pairs = at.join(drawn, "key").where((F.col("component") != F.col("d.component")) & fits("n", "d.n"))
+        pairs = pairs.select(F.least("class", "d.class").alias("a"), F.greatest("class", "d.class").alias("b")).distinct()
+        found = found.union(verified(possible(pairs, classes), sets))
+        joined = components(found)
+        at = still_mixed(at, joined)
+        release(spark)
+    joined = components(found)
+    rest = apart(near, joined)
+    x, y = (at.select("key", F.col("class").alias(c), F.col("n").alias(f"n{c}"), F.col("component").alias(f"c{c}")) for c in "ab")
+    full = x.join(y, "key").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & fits("na", "nb")).select("a", "b").distinct()
+    full = full.join(near, ["a", "b"], "left_anti")
+    return found.union(verified(rest.select("a", "b").union(possible(full, classes)), sets))
+
+
+def _labels(joined: DataFrame, name: str) -> DataFrame:
+    of = joined.select(F.col("node").alias(name), F.col("component").alias(f"at_{name}"))
+    return F.broadcast(of) if joined.limit(FEW + 1).count() <= FEW else of
+
+
+def apart(pairs: DataFrame, joined: DataFrame) -> DataFrame:
+    """Pairs whose classes aren't in one component."""
+    both = pairs.join(_labels(joined, "a"), "a", "left").join(_labels(joined, "b"), "b", "left")
+    return both.where(F.coalesce("at_a", "a") != F.coalesce("at_b", "b")).select(*pairs.columns)
+
+
+def still_mixed(lists: DataFrame, joined: DataFrame) -> DataFrame:
+    """The lists (key, class, n, component) that hold more than one component yet."""
+    of = lists.select("key", "class", "n").join(_labels(joined, "class"), "class", "left")
+    of = saved(of.select("key", "class", "n", F.coalesce("at_class", "class").alias("component")), "jaccard-at")
+    mixed = of.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
+    return of.join(mixed, "key")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -315,43 +362,30 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     Other columns are ignored; an empty table gives no rows.
     """
     tune(docs.sparkSession)
-    surveyed = survey(docs)
-    rows = surveyed.where("shingle IS NULL")
-    classes = rows.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("signatures").alias("signatures"), F.first("sketch").alias("sketch"))
-    classes = saved(classes, "jaccard-classes")
-    members = stars(docs, classes)
-    release(docs.sparkSession)
-    sizes = [(r[0], r[1]) for r in classes.groupBy("n").count().collect()]
-    pairs = star_pairs(docs, classes, members, surveyed, sizes)
-
-    release(docs.sparkSession)
-    # Stars are compared by their centres, as far as their radii allow a link at all.
-    reach = saved(members.groupBy("star").agg(F.max("radius").alias("r"), F.count("*").alias("m")), "jaccard-reach")
-    ra, rb = reach.select(F.col("star").alias("a"), F.col("r").alias("ra"), F.col("m").alias("ma")), reach.select(F.col("star").alias("b"), F.col("r").alias("rb"), F.col("m").alias("mb"))
-    least = pairs.join(ra, "a").join(rb, "b").select("a", "b", (F.lit(THRESHOLD) - F.col("ra") - F.col("rb")).alias("least"))
-    apart = verified(docs, possible(least, classes))
-    close = saved(apart.join(ra, "a").join(rb, "b").where(F.col("linked") | (F.col("distance") <= 1 - THRESHOLD + F.col("ra") + F.col("rb") + 1e-9)), "jaccard-close")
-
-    # Members are compared where their stars aren't in one component already, and where the radii
-    # allow a link.
-    edges = members.where("node <> star").select(F.col("node").alias("a"), F.col("star").alias("b")).union(close.where("linked").select("a", "b"))
+    for seed in range(8):  # sets with equal 64-bit classes and other digests are all but impossible
+        surveyed = survey(docs, seed)
+        rows = surveyed.select("doc_id", "n", "class")
+        grouped = surveyed.where("n > 0").groupBy("class").agg(F.min(F.struct("doc_id", "of")).alias("lo"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), (F.min("digest") < F.max("digest")).alias("clash"))
+        classes = saved(grouped.select("class", F.col("lo.doc_id").alias("lo"), F.col("lo.of").alias("of"), "n", "sketch", "clash"), "jaccard-classes")
+        if classes.where("clash").isEmpty():
+            break
+        discard(surveyed)
+    else:
+        raise ValueError("hashes of different sets clash under every seed")
+    edges = links(docs, surveyed, classes)
+    # A doc_id with several texts joins their classes.
+    several = rows.where("n > 0").groupBy("doc_id").agg(F.min("class").alias("a"), F.max("class").alias("hi")).where("a < hi").select("doc_id", "a")
+    edges = edges.union(rows.where("n > 0").join(several, "doc_id").where("class <> a").select("a", F.col("class").alias("b")))
     joined = components(edges)
-    where = members.select("star").distinct().join(joined, F.col("star") == F.col("node"), "left").select("star", F.coalesce("component", "star").alias("at"))
-    here, there = where.select(F.col("star").alias("a"), F.col("at").alias("at_a")), where.select(F.col("star").alias("b"), F.col("at").alias("at_b"))
-    apart = saved(close.where("NOT linked AND ma + mb > 2").join(here, "a").join(there, "b").where("at_a <> at_b").select("a", "b", "distance"), "jaccard-apart")
-    own = members.select("node", "star", "radius")
-    x, y = own.select(F.col("star").alias("a"), F.col("node").alias("p"), F.col("radius").alias("rp")), own.select(F.col("star").alias("b"), F.col("node").alias("q"), F.col("radius").alias("rq"))
-    inner = apart.join(x, "a").join(y, "b").where(F.col("rp") + F.col("rq") >= F.col("distance") - (1 - THRESHOLD) - 1e-9)
-    inner = inner.select(F.col("p").alias("a"), F.col("q").alias("b"), F.lit(THRESHOLD).alias("least"))
-    inner = verified(docs, possible(inner, classes)).where("linked").select("a", "b")
-
-    edges = edges.union(inner)
-    # A class links all its documents to its node; a doc_id with two texts is in two classes.
-    of = rows.where("n > 0").select("doc_id", "class").join(classes.select("class", "node"), "class")
-    edges = edges.union(of.where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b")))
-    found = components(edges)
-    result = rows.select("doc_id", F.col("n").cast("long").alias("n_shingles")).join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    result = result.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    labelled = classes.select("class", "lo").join(joined.withColumnRenamed("node", "class"), "class", "left").select("class", "lo", F.coalesce("component", "class").alias("component"))
+    labelled = saved(labelled, "jaccard-labelled")
+    least = labelled.groupBy("component").agg(F.min("lo").alias("component_id"))
+    of = saved(labelled.join(least, "component").select("class", "component_id"), "jaccard-least")
+    # A row of a doc_id without shingles belongs to the component of the doc_id's other texts.
+    ids = rows.where("n > 0").join(of, "class").select("doc_id", "component_id")
+    moved = ids.where("doc_id <> component_id").distinct()
+    result = rows.select("doc_id", F.col("n").cast("long").alias("n_shingles")).join(moved, "doc_id", "left")
+    result = result.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     without = docs.where("doc_id IS NULL").select(F.lit(None).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
     return result.union(without)
 

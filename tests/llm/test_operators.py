@@ -92,6 +92,45 @@ def test_jaccard_long_lists_lose_no_link(spark, monkeypatch):
     assert got == components_by_force(texts)
 
 
+@pytest.mark.parametrize("copies", [2, 40])
+def test_jaccard_groups_of_near_copies(spark, monkeypatch, copies):
+    """Groups with chains of links, and more shared shingles than the filter of frequent ones holds."""
+    monkeypatch.setattr(jaccard, "LONG_LIST", 5)
+    monkeypatch.setattr(jaccard, "ROUNDS", 2)
+    rng = random.Random(copies)
+    texts = []
+    for _ in range(160 // copies):
+        base = [f"b{rng.randint(0, 10 ** 6)}" for _ in range(rng.choice((9, 30, 130)))]
+        for _ in range(copies):
+            words = base.copy()
+            for _ in range(rng.randint(0, max(1, len(base) // 18))):
+                words[rng.randrange(len(words))] = f"e{rng.randint(0, 10 ** 6)}"
+            texts.append((len(texts), " ".join(words)))
+    texts += [(len(texts) + i, t) for i, (_, t) in enumerate(texts[:30])]
+    got = {r.doc_id: r.component_id for r in jaccard.near_duplicates(docs_of(spark, texts)).collect()}
+    assert got == components_by_force(texts)
+
+
+def test_jaccard_keys_of_small_sets():
+    """Two sets that link share a key, whatever the boundary and the order."""
+    rng = np.random.default_rng(3)
+    last = jaccard.Filter(rng.integers(-(1 << 62), 1 << 62, 16))
+    for _ in range(400):
+        n = int(rng.integers(3, 60))
+        s = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        t = np.unique(np.concatenate([s[rng.random(len(s)) > 0.12], rng.integers(0, 1 << 63, int(rng.integers(0, 6))).astype(np.uint64)]))
+        if not len(t) or not jaccard.linked(s, t)[0]:
+            continue
+        for limit in jaccard.BOUNDARIES:
+            a, b = (set(jaccard.keys_of(jaccard.ordered(x, last)[0], len(x), limit).tolist()) for x in (s, t))
+            assert a & b or np.array_equal(s, t)
+
+
+def test_boundary_follows_the_lists():
+    sizes = [(n, 100) for n in range(3, 49)]
+    assert jaccard.boundary(sizes, 50.0) > jaccard.boundary(sizes, 1.0)
+
+
 def test_jaccard_of_nothing(spark):
     assert jaccard.near_duplicates(docs_of(spark, [])).count() == 0
     kept = jaccard.one_of_each(docs_of(spark, [(1, "a b c d e f"), (2, "a b c d e f"), (3, None)]))
