@@ -11,9 +11,9 @@ steps, all on Spark:
    inverted lists of theirs. The boundary is the size with the least cost by the histogram of sizes and
    the measured length of the lists.
 4. Short lists are joined in full, and a pair must share as many keys as its sizes ask for. Long lists,
-   those of large groups of near copies, first link each member to one drawn member, then the components
-   that this has made meet again, in rounds; only lists that stay mixed are joined in full, between
-   components.
+   those of large groups of near copies, first link each member to one drawn member or to the smallest
+   ones of about its size, then the components that this has made meet again, in rounds; only lists that
+   stay mixed are joined in full, between components.
 5. Pairs whose sketches allow it are verified by the exact similarity of whole sets.
 
 The order of shingles, the draws and the boundary decide only how much work it takes, never what is
@@ -23,15 +23,17 @@ found.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from math import comb
+from operator import add
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Filter, WordHash, components, discard, gram_hashes, mixed, release, saved, table, tune
+from .common import Filter, WordHash, by_batch, components, discard, gram_hashes, mixed, release, saved, table, tune
 
 SHINGLE = 5
 #: Links have NUMERATOR * union <= DENOMINATOR * intersection: a similarity of 0.75 or more.
@@ -44,6 +46,11 @@ PER_BUCKET = 4
 SUBSET, BOUNDARIES, EXTRA = 2, range(0, 49, 4), 4
 #: Shingles in more prefixes than this go last in the order; lists with more sets than this are long.
 LONG_LIST = 16
+#: Counts of keys, by the low bits of the key: TAILS longs of four lanes of 16 bits. Sets of as many
+#: shingles as a lane can't count are met without them.
+TAILS = ("t0", "t1", "t2", "t3")
+#: Sizes of sets in steps, STEPS of them to the least size that a set can link to.
+STEPS = 4
 #: Rounds in which the members of long lists meet one drawn member, before lists are joined in full.
 ROUNDS = 4
 #: Ids of nodes (8 bytes each) that are broadcast at most.
@@ -174,46 +181,58 @@ def boundary(sizes: list[tuple[int, int]], listed: float) -> int:
 
 
 def entries(docs: DataFrame, surveyed: DataFrame, classes: DataFrame) -> tuple[DataFrame, int]:
-    """Steps 2 and 3: (key, class, n), once each, and the boundary."""
-    most = max(BOUNDARIES)
-    p = F.expr(f"int(n - int((n * {NUMERATOR}L + {DENOMINATOR - 1}) div {DENOMINATOR}) + 1)")
-    each = surveyed.where("n > 0").select(F.explode(F.slice("firsts", F.lit(1), p)).alias("key"), (F.col("n") <= most).cast("int").alias("small"))
+    """Steps 2 and 3: (key, class), once each, and the boundary."""
+    most, spark = max(BOUNDARIES), docs.sparkSession
+    each = surveyed.where("n > 0").select(F.explode("firsts").alias("key"), (F.col("n") <= most).cast("int").alias("small"))
     counts = saved(each.groupBy("key").agg(F.count("*").alias("m"), F.sum("small").alias("small")).where("m > 1"), "jaccard-counts")
-    release(docs.sparkSession)
-    last = Filter.of(counts.where(F.col("m") > LONG_LIST), "key", shingle_places)
+    release(spark)
     sizes = [(r[0], r[1]) for r in surveyed.where(f"n > 0 AND n <= {most}").groupBy("n").count().collect()]
     met = counts.where(F.col("m") <= LONG_LIST).agg(F.coalesce(F.sum(F.col("small") * (F.col("m") - 1)), F.lit(0))).first()[0]
-    limit = boundary(sizes, 1 + met / max(1, sum(prefix(n) * times for n, times in sizes)))
+    limit = boundary(sizes, 1 + met / max(1, sum(n * times for n, times in sizes)))
+    often = saved(counts.where(F.col("m") > LONG_LIST).select("key"), "jaccard-often")
     discard(counts)
-    held = docs.sparkSession.sparkContext.broadcast(last)
+    whole = surveyed.where("n > 0").select("class", "n", "firsts")
 
-    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Classes whose kept shingles don't hold their new prefix."""
-        for batch in batches:
-            need = [len(f) < n and ordered(f.values.to_numpy().view(np.uint64), held.value)[1] < prefix(n) for n, f in zip(batch.column(1).to_pylist(), batch.column(2), strict=True)]
-            yield batch.select([0]).filter(pa.array(need, pa.bool_()))
+    def beyond(last: Filter) -> DataFrame:
+        """Whole sets of the classes whose kept shingles don't hold their prefix."""
+        held = spark.sparkContext.broadcast(last)
+
+        def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                need = [len(f) < n and ordered(f.values.to_numpy().view(np.uint64), held.value)[1] < prefix(n) for n, f in zip(batch.column(1).to_pylist(), batch.column(2), strict=True)]
+                yield batch.select([0]).filter(pa.array(need, pa.bool_()))
+
+        redo = whole.mapInArrow(again, "class long").distinct().join(classes.select("class", "lo", "of"), "class")
+        return saved(sets_of(docs, saved(redo, "jaccard-redo")), "jaccard-beyond")
+
+    # The shingles of those sets that the survey didn't keep are counted too.
+    sets = beyond(Filter.of(often, "key", shingle_places))
+    more = by_batch(sets.select("items"), _shingles, "keys array<long>").select(F.explode("keys").alias("key")).groupBy("key").count().where(F.col("count") > LONG_LIST).select("key")
+    last = Filter.of(often.union(more).distinct(), "key", shingle_places)
+    sets = beyond(last)
+    held = spark.sparkContext.broadcast(last)
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, keys = batch.column(1).to_pylist(), []
-            for n, f in zip(sizes, batch.column(2), strict=True):
+            keys = []
+            for n, f in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
                 s, first = ordered(f.values.to_numpy().view(np.uint64), held.value)
                 keys.append(keys_of(s, n, limit) if len(s) == n or first >= prefix(n) else s[:0])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _lists(keys)], ["class", "n", "keys"])
-
-    whole = surveyed.where("n > 0").select("class", "n", "firsts")
-    redo = whole.mapInArrow(again, "class long").distinct().join(classes.select("class", "lo", "of"), "class")
-    sets = sets_of(docs, saved(redo, "jaccard-redo"))
+            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(keys)], ["class", "keys"])
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [np.frombuffer(x, np.uint64) for x in batch.column(1).to_pylist()]
             keys = [keys_of(ordered(s, held.value)[0], len(s), limit) for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int32()), _lists(keys)], ["class", "n", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(keys)], ["class", "keys"])
 
-    keyed = "class long, n int, keys array<long>"
+    keyed = "class long, keys array<long>"
     both = whole.mapInArrow(kept, keyed).union(sets.select("class", "items").mapInArrow(made, keyed))
-    return saved(both.select(F.explode("keys").alias("key"), "class", "n").distinct(), "jaccard-entries"), limit
+    return saved(both.select(F.explode("keys").alias("key"), "class").distinct(), "jaccard-entries"), limit
+
+
+def _shingles(batch: pa.RecordBatch) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([_lists([np.frombuffer(x, np.uint64) for x in batch.column(0).to_pylist()])], ["keys"])
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -272,12 +291,17 @@ def fits(n: str, m: str) -> Column:
     return F.least(n, m) * DENOMINATOR >= F.greatest(n, m) * NUMERATOR
 
 
-def close_pairs(lists: DataFrame, limit: int) -> DataFrame:
-    """Pairs (a, b, c) of classes in short lists with c common keys, as many as a link needs.
+def shared_keys() -> Column:
+    """Prefix shingles that sets of na and nb share at least if they link: the one whose prefix ends
+    first in the order has all but its rest's share of the overlap within both."""
+    overlap = F.expr(f"int(((na + nb) * {NUMERATOR}L + {NUMERATOR + DENOMINATOR - 1}) div {NUMERATOR + DENOMINATOR})")
+    rest = F.expr(f"int((greatest(na, nb) * {NUMERATOR}L + {DENOMINATOR - 1}) div {DENOMINATOR}) - 1")
+    return overlap - rest
 
-    The set whose prefix ends first in the order shares all but its rest's share of the overlap
-    within both prefixes: keys in long lists, which aren't joined here, are taken as shared.
-    """
+
+def close_pairs(lists: DataFrame, limit: int) -> DataFrame:
+    """Pairs (a, b, c) of classes in short lists with c common keys, as many as a link needs; keys in
+    long lists, which aren't joined here, are taken as shared."""
     short, long = lists.where(F.col("m") <= LONG_LIST), lists.where(F.col("m") > LONG_LIST)
     x, y = short.select("key", F.col("class").alias("a"), F.col("n").alias("na")), short.select("key", F.col("class").alias("b"), F.col("n").alias("nb"))
     met = x.join(y, "key").where((F.col("a") < F.col("b")) & fits("na", "nb")).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"))
@@ -286,24 +310,47 @@ def close_pairs(lists: DataFrame, limit: int) -> DataFrame:
     for side in "ab":
         of = beyond.select(F.col("class").alias(side), F.col("l").alias(f"l{side}"))
         met = met.join(F.broadcast(of) if few else of, side, "left")
-    overlap = F.expr(f"int(((na + nb) * {NUMERATOR}L + {NUMERATOR + DENOMINATOR - 1}) div {NUMERATOR + DENOMINATOR})")
-    rest = F.expr(f"int((greatest(na, nb) * {NUMERATOR}L + {DENOMINATOR - 1}) div {DENOMINATOR}) - 1")
-    enough = F.col("c") + F.least(F.coalesce("la", F.lit(0)), F.coalesce("lb", F.lit(0))) >= overlap - rest
+    enough = F.col("c") + F.least(F.coalesce("la", F.lit(0)), F.coalesce("lb", F.lit(0))) >= shared_keys()
     return met.where(enough | (F.least("na", "nb") <= limit)).select("a", "b", "c")
 
 
+def telling(lists: DataFrame, limit: int) -> DataFrame:
+    """The entries (key, class, n, *TAILS) of long lists by which each class must meet those it links to.
+
+    Of a class's keys, the rarest first, the last T - 1 may go if it shares T keys or more with any
+    set it links to: the first common key of such a pair has the others after it in both. T is the
+    least that the sizes in the class's long lists allow; keys in short lists count, too. TAILS
+    count the class's keys from this one on, by four bits of the key.
+    """
+    ratio = f"{NUMERATOR}D / {NUMERATOR + DENOMINATOR}"
+    long = lists.where(F.col("m") > LONG_LIST)
+    sizes = long.groupBy("key").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    lo, hi = f"greatest(lo, ceil(n * {THRESHOLD}D))", f"least(hi, floor(n / {THRESHOLD}D))"
+    least = F.expr(f"least((n + {lo}) * {ratio} - n * {THRESHOLD}D, (n + {hi}) * {ratio} - {hi} * {THRESHOLD}D)")
+    shared = long.join(sizes, "key").groupBy("class").agg(F.greatest(F.lit(1), F.floor(F.min(least) - 1e-9) + 1).alias("t"))
+    own = Window.partitionBy("class")
+    ranked = lists.join(shared, "class").withColumn("r", F.row_number().over(own.orderBy("m", "key"))).withColumn("l", F.count("*").over(own))
+    rest = own.orderBy("m", "key").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    for i, name in enumerate(TAILS):
+        one = F.expr(f"CASE WHEN (key & 12) = {4 * i} THEN shiftleft(1L, int(16 * (key & 3))) ELSE 0L END")
+        ranked = ranked.withColumn(name, F.sum(one).over(rest))
+    return ranked.where((F.col("m") > LONG_LIST) & ((F.col("n") <= limit) | (F.col("r") <= F.col("l") - F.col("t") + 1))).select("key", "class", "n", *TAILS)
+
+
 def links(docs: DataFrame, surveyed: DataFrame, classes: DataFrame) -> DataFrame:
     """Edges (a, b) between linked classes, enough of them to join what is linked."""
     spark = docs.sparkSession
     made, limit = entries(docs, surveyed, classes)
+    discard(surveyed)
     release(spark)
     # Lists of one set go; the others' lengths are counted before the join, so a hot list can be split.
     lengths = made.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
-    lists = saved(made.join(lengths, "key"), "jaccard-lists")
+    lists = made.join(lengths, "key").join(classes.select("class", "n"), "class").select("key", "class", "n", "m")
+    lists = saved(lists, "jaccard-lists")
     discard(made)
     release(spark)
     near = possible(close_pairs(lists, limit).select("a", "b"), classes)
-    long = lists.where(F.col("m") > LONG_LIST).select("key", "class", "n")
+    long = saved(telling(lists, limit), "jaccard-long")
     wanted = near.select(F.explode(F.array("a", "b")).alias("class")).union(long.select("class")).distinct()
     sets = saved(sets_of(docs, saved(wanted.join(classes.select("class", "lo", "of"), "class"), "jaccard-wanted")), "jaccard-sets")
     release(spark)
@@ -313,13 +360,19 @@ def links(docs: DataFrame, surveyed: DataFrame, classes: DataFrame) -> DataFrame
     best = ways.groupBy("a").agg(F.min_by("b", F.xxhash64(F.least("a", "b"), F.greatest("a", "b"))).alias("b"))
     first = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     found = verified(first, sets)
-    at = long.select("key", "class", "n", F.col("class").alias("component"))
+    at = long.select("key", "class", "n", *TAILS, F.col("class").alias("component"))
     for k in range(ROUNDS):
         at = saved(at, "jaccard-mixed")
         if k and at.isEmpty():
             break
-        drawn = at.groupBy("key").agg(F.min_by(F.struct("class", "n", "component"), F.xxhash64("class", "key", F.lit(k))).alias("d"))
-        pairs = at.join(drawn, "key").where((F.col("component") != F.col("d.component")) & fits("n", "d.n"))
+        hub, step = F.struct("class", "n", "component"), F.floor(F.log("n") / float(np.log(1 / THRESHOLD)) * STEPS).cast("int")
+        if k % 2:  # any member: right for copies with edits, which are about equally near
+            drawn = at.groupBy("key").agg(F.min_by(hub, F.xxhash64("class", "key", F.lit(k))).alias("d"))
+            met = at.join(drawn, "key")
+        else:  # the smallest of about its size: right for a common passage with more or less beside it
+            drawn = at.groupBy("key", step.alias("at")).agg(F.min_by(hub, F.struct("n", F.xxhash64("class", "key", F.lit(k)))).alias("d"))
+            met = at.withColumn("at", F.explode(F.array(*[step - i for i in range(STEPS + 1)]))).join(drawn, ["key", "at"])
+        pairs = met.where((F.col("component") != F.col("d.component")) & fits("n", "d.n"))
         pairs = pairs.select(F.least("class", "d.class").alias("a"), F.greatest("class", "d.class").alias("b")).distinct()
         found = found.union(verified(possible(pairs, classes), sets))
         joined = components(found)
@@ -327,9 +380,12 @@ def links(docs: DataFrame, surveyed: DataFrame, classes: DataFrame) -> DataFrame
         release(spark)
     joined = components(found)
     rest = apart(near, joined)
-    x, y = (at.select("key", F.col("class").alias(c), F.col("n").alias(f"n{c}"), F.col("component").alias(f"c{c}")) for c in "ab")
-    full = x.join(y, "key").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & fits("na", "nb")).select("a", "b").distinct()
-    full = full.join(near, ["a", "b"], "left_anti")
+    x, y = (at.select("key", F.col("class").alias(c), F.col("n").alias(f"n{c}"), F.col("component").alias(f"c{c}"), *[F.col(t).alias(t + c) for t in TAILS]) for c in "ab")
+    # If this key is the first common one, no more are common than either has from here on.
+    count = lambda name, i: F.shiftrightunsigned(name, 16 * i).bitwiseAND(F.lit(0xFFFF))
+    most = reduce(add, [F.least(count(t + "a", i), count(t + "b", i)) for t in TAILS for i in range(4)])
+    enough = (most >= shared_keys()) | (F.least("na", "nb") <= limit) | (F.least("na", "nb") >= 0xFFFF)
+    full = x.join(y, "key").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & fits("na", "nb") & enough).select("a", "b").distinct()
     return found.union(verified(rest.select("a", "b").union(possible(full, classes)), sets))
 
 
@@ -345,9 +401,9 @@ def apart(pairs: DataFrame, joined: DataFrame) -> DataFrame:
 
 
 def still_mixed(lists: DataFrame, joined: DataFrame) -> DataFrame:
-    """The lists (key, class, n, component) that hold more than one component yet."""
-    of = lists.select("key", "class", "n").join(_labels(joined, "class"), "class", "left")
-    of = saved(of.select("key", "class", "n", F.coalesce("at_class", "class").alias("component")), "jaccard-at")
+    """The lists (key, class, n, *TAILS, component) that hold more than one component yet."""
+    of = lists.select("key", "class", "n", *TAILS).join(_labels(joined, "class"), "class", "left")
+    of = saved(of.select("key", "class", "n", *TAILS, F.coalesce("at_class", "class").alias("component")), "jaccard-at")
     mixed = of.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
     return of.join(mixed, "key")
 
@@ -364,7 +420,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     tune(docs.sparkSession)
     for seed in range(8):  # sets with equal 64-bit classes and other digests are all but impossible
         surveyed = survey(docs, seed)
-        rows = surveyed.select("doc_id", "n", "class")
+        rows = saved(surveyed.select("doc_id", "n", "class"), "jaccard-rows")
         grouped = surveyed.where("n > 0").groupBy("class").agg(F.min(F.struct("doc_id", "of")).alias("lo"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), (F.min("digest") < F.max("digest")).alias("clash"))
         classes = saved(grouped.select("class", F.col("lo.doc_id").alias("lo"), F.col("lo.of").alias("of"), "n", "sketch", "clash"), "jaccard-classes")
         if classes.where("clash").isEmpty():
