@@ -78,7 +78,9 @@ def linked_parts(scanned: DataFrame, scope: int = SCOPE) -> DataFrame:
     near = parts.withColumn("bin", F.explode(F.sequence(F.floor(F.col("start") / BIN), F.floor(F.col("end") / BIN)))).select("doc_id", "text_key", "bin", F.col("role").alias("other"), F.col("start").alias("s2"), F.col("end").alias("e2"))
     weak = parts.where(F.col("kind").isin("key", "endpoint", "user"))
     weak = weak.withColumn("bin", F.explode(F.sequence(F.floor(F.greatest(F.col("start") - scope, F.lit(0)) / BIN), F.floor((F.col("end") + scope) / BIN))))
-    pairs = weak.join(near, ["doc_id", "text_key", "bin"]).where((F.col("s2") <= F.col("end") + scope) & (F.col("e2") >= F.col("start") - scope) & (F.col("role") != F.col("other")))
+    near = near.withColumnsRenamed({"doc_id": "_d", "text_key": "_t", "bin": "_b"})
+    here = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_key") == F.col("_t")) & (F.col("bin") == F.col("_b"))  # a null id is an id here
+    pairs = weak.join(near, here).where((F.col("s2") <= F.col("end") + scope) & (F.col("e2") >= F.col("start") - scope) & (F.col("role") != F.col("other")))
     linked = pairs.groupBy("doc_id", "text_key", "kind", "start", "end", "role").agg(F.collect_set("other").alias("others"))
     has = lambda r: F.array_contains("others", r)
     linked = linked.where(((F.col("role") == "secret") & has("id")) | ((F.col("role") == "id") & has("secret")) | ((F.col("role") == "endpoint") & has("id") & has("secret")))
@@ -97,7 +99,8 @@ def scan_secrets(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     """Secrets in whole texts: doc_id, n_assign, n_access, n_hex, base_sha256, spans.
 
     Null text counts as empty; empty texts have no spans (spans is '', base_sha256 that of ''). Rows
-    that repeat a doc_id each keep their own result; other columns are ignored.
+    that repeat a doc_id each keep their own result, and so do rows with a null doc_id; other columns
+    are ignored; an empty table gives no rows.
     """
     tune(docs.sparkSession)
     scanned = saved(by_batch(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), _scan, SCANNED), "secrets")
