@@ -18,7 +18,9 @@ SIMILARITY = 0.75
 #: Bits in which fingerprints may differ. Weighted similarity 0.75 means an angle that flips 11 of 64
 #: bits on average with a deviation of 3.
 RADIUS = 20
-LANES = 0x0001000100010001
+LANES = 0x0000000100000001
+#: Distinct shingles of items that are broadcast at most; more meet the documents' in a shuffled join.
+KNOWN = 1_000_000
 
 
 def words_of(text: Column) -> Column:
@@ -36,12 +38,12 @@ def shingles_of(words: Column, size: int = SHINGLE) -> Column:
 def fingerprint(of: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, shingle) rows to keys and a 64-bit SimHash: each bit is that of most shingles.
 
-    Sixteen sums hold four bit counts each, in lanes of 16 bits, so this is one plain aggregation.
+    Thirty-two sums hold two bit counts each, in lanes of 32 bits, so this is one plain aggregation.
     """
-    sums = [F.sum(F.shiftrightunsigned("shingle", b).bitwiseAND(F.lit(LANES))).alias(f"s{b}") for b in range(16)]
+    sums = [F.sum(F.shiftrightunsigned("shingle", b).bitwiseAND(F.lit(LANES))).alias(f"s{b}") for b in range(32)]
     counted = of.groupBy(*keys).agg(F.count("*").alias("total"), *sums)
-    bit = lambda b, lane: F.when(F.shiftrightunsigned(f"s{b}", 16 * lane).bitwiseAND(F.lit(0xFFFF)) * 2 > F.col("total"), F.shiftleft(F.lit(1).cast("long"), b + 16 * lane)).otherwise(F.lit(0).cast("long"))
-    return counted.select(*keys, reduce(lambda x, y: x.bitwiseOR(y), [bit(b, lane) for b in range(16) for lane in range(4)]).alias("print"))
+    bit = lambda b, lane: F.when(F.shiftrightunsigned(f"s{b}", 32 * lane).bitwiseAND(F.lit(0xFFFFFFFF)) * 2 > F.col("total"), F.shiftleft(F.lit(1).cast("long"), b + 32 * lane)).otherwise(F.lit(0).cast("long"))
+    return counted.select(*keys, reduce(lambda x, y: x.bitwiseOR(y), [bit(b, lane) for b in range(32) for lane in range(2)]).alias("print"))
 
 
 def blocks(fp: Column, radius: int = RADIUS) -> Column:
@@ -61,7 +63,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILA
 
     Only windows around a shingle that some item has are fingerprinted: a window without one has
     similarity 0, and one of similarity 0.75 starts within a quarter of the item's length of where
-    the shared shingle puts it, as every word inserted or left out costs a shingle at least.
+    the shared shingle puts it, as every word inserted or left out costs a shingle at least. A window's
+    blocks are compared with those of the items whose shingle it was, not with all items'.
 
     Null and empty texts, items and texts of fewer than five words match nothing. Rows that repeat a
     doc_id or item_id give one row, the best of their texts; ties go to the earliest start. Rows
@@ -77,18 +80,19 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILA
     shingled = d.select("doc_id", F.xxhash64("text").alias("row"), shingles_of(words_of(F.col("text"))).alias("shingles"))
     each = shingled.select("doc_id", "row", F.size("shingles").alias("m"), F.posexplode("shingles").alias("p", "shingle"))
     known = saved(item_shingles.select("shingle").distinct(), "leak-known")
-    hits = saved(each.join(checked_broadcast(known, 200_000), "shingle").distinct(), "leak-hits")
+    hits = saved(each.join(checked_broadcast(known, KNOWN), "shingle").distinct(), "leak-hits")
 
-    # Windows: where a hit puts an item, and up to a quarter of its length to either side. A shorter
-    # document starts at 0; it has similarity m over the item's shingles at most.
-    places = item_shingles.select("shingle", "n", "q").distinct()
+    # Windows: where a hit puts an item, and up to a quarter of its length to either side; each meets
+    # the items that put it there. A shorter document starts at 0; it has similarity m over the item's
+    # shingles at most.
+    of, at = ["item_id", "version", "n"], ["doc_id", "row"]
     slack = F.floor(F.col("n") / 4).cast("int")
     of_item = F.col("n") - (SHINGLE - 1)
     short = F.col("m") < of_item
-    met = hits.join(places, "shingle").where(~short | (F.col("m") / of_item >= similarity))
-    starts = met.select("doc_id", "row", "n", F.when(short, F.lit(0)).otherwise(slack).alias("slack"), F.when(short, F.lit(0)).otherwise(F.col("p") - F.col("q")).alias("at")).distinct()
-    starts = starts.select("doc_id", "row", "n", F.explode(F.sequence(F.greatest(F.col("at") - F.col("slack"), F.lit(0)), F.greatest(F.col("at") + F.col("slack"), F.lit(0)))).alias("start")).distinct()
-    wanted = starts.groupBy("doc_id", "row").agg(F.collect_set(F.struct("start", "n")).alias("windows"))
+    met = hits.join(item_shingles.select("shingle", "q", *of).distinct(), "shingle").where(~short | (F.col("m") / of_item >= similarity))
+    starts = met.select(*at, *of, F.when(short, F.lit(0)).otherwise(slack).alias("slack"), F.when(short, F.lit(0)).otherwise(F.col("p") - F.col("q")).alias("at")).distinct()
+    starts = saved(starts.select(*at, *of, F.explode(F.sequence(F.greatest(F.col("at") - F.col("slack"), F.lit(0)), F.greatest(F.col("at") + F.col("slack"), F.lit(0)))).alias("start")).distinct(), "leak-starts")
+    wanted = starts.select(*at, "start", "n").distinct().groupBy("doc_id", "row").agg(F.collect_set(F.struct("start", "n")).alias("windows"))
     found = d.withColumn("row", F.xxhash64("text")).distinct().join(wanted, ["doc_id", "row"]).select("doc_id", "row", shingles_of(words_of(F.col("text"))).alias("shingles"), "windows")
     fits = F.filter("windows", lambda w: (w["start"] == 0) | (w["start"] + w["n"] <= F.size("shingles") + (SHINGLE - 1)))
     cut = F.transform(fits, lambda w: F.struct(w["start"].alias("start"), w["n"].alias("n"), F.slice("shingles", w["start"] + 1, w["n"] - (SHINGLE - 1)).alias("shingles")))
@@ -97,17 +101,20 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILA
     key = ["doc_id", "row", "start", "n"]
     prints = fingerprint(windows.select(*key, F.explode("shingles").alias("shingle")), key)
     item_prints = fingerprint(item_shingles.select("item_id", "version", "n", "shingle"), ["item_id", "version", "n"])
-    ours = prints.select(*key, "print", F.inline(blocks(F.col("print"), radius)))
-    theirs = item_prints.select("item_id", "version", "n", F.col("print").alias("item_print"), F.inline(blocks(F.col("print"), radius)))
-    near = ours.join(theirs, ["n", "block", "bits"]).withColumn("hamming", F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))).cast("int"))
+    ours = starts.join(prints, key).select(*key, "item_id", "version", "print", F.inline(blocks(F.col("print"), radius)))
+    theirs = item_prints.select(*of, F.col("print").alias("item_print"), F.inline(blocks(F.col("print"), radius)))
+    near = ours.join(theirs, [*of, "block", "bits"]).withColumn("hamming", F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))).cast("int"))
     near = near.where(F.col("hamming") <= radius).select(*key, "item_id", "version", "hamming").distinct()
 
-    whole = near.join(windows, key).join(items.select("item_id", "version", F.col("shingles").alias("theirs")), ["item_id", "version"])
-    same = F.size("shingles") + F.size("theirs")
-    count = lambda where, x: F.size(F.filter(F.col(where), lambda y: y == x))
-    common = F.aggregate(F.array_intersect("shingles", "theirs"), F.lit(0), lambda acc, x: acc + F.least(count("shingles", x), count("theirs", x)))
-    scored = whole.withColumn("common", common).withColumn("similarity", F.col("common") / (same - F.col("common"))).where(F.col("similarity") >= similarity)
-    best = scored.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("hamming")).alias("closer"), (-F.col("start")).alias("earlier"), (F.size("shingles") + (SHINGLE - 1)).alias("n"))).alias("b"))
+    # Weighted similarity, by counts of each common shingle.
+    pair = [*key, "item_id", "version", "hamming", "m"]
+    whole = near.join(windows, key).withColumn("m", F.size("shingles"))
+    ours = whole.select(*pair, F.explode("shingles").alias("shingle")).groupBy(*pair, "shingle").agg(F.count("*").alias("k"))
+    theirs = item_shingles.groupBy(*of, "shingle").agg(F.count("*").alias("k_item"))
+    common = ours.join(theirs, [*of, "shingle"]).groupBy(*pair).agg(F.sum(F.least("k", "k_item")).alias("common"))
+    of_both = F.col("m") + F.col("n") - (SHINGLE - 1)
+    scored = common.withColumn("similarity", F.col("common") / (of_both - F.col("common"))).where(F.col("similarity") >= similarity)
+    best = scored.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("hamming")).alias("closer"), (-F.col("start")).alias("earlier"), (F.col("m") + (SHINGLE - 1)).alias("n"))).alias("b"))
     return best.select("doc_id", "item_id", (-F.col("b.earlier")).alias("start"), F.col("b.n").alias("n_words"), (-F.col("b.closer")).alias("hamming"), "b.similarity")
 
 
