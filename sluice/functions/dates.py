@@ -13,6 +13,10 @@ NAMED = [(r"^\d{1,2} [A-Za-z]{3} \d{4}$", "d MMM yyyy"), (r"^\d{1,2} [A-Za-z]{3,
 HINTS = {None: [ISO, ISO_SLASH, *US, *EU, COMPACT, *NAMED], "us": [*US, ISO, ISO_SLASH, *EU, COMPACT, *NAMED], "eu": [*EU, ISO, ISO_SLASH, *US, COMPACT, *NAMED], "iso": [ISO, ISO_SLASH, *US, *EU, COMPACT, *NAMED]}
 
 
+#: One pattern for whatever some step of the ladder takes, to be asked before the ladder.
+SHAPE = r"^\s*(?:" + "|".join(dict.fromkeys(pattern[1:-1] for pattern, _ in HINTS[None])) + r")\s*$"
+
+
 def ladder(c: Column, hint: str | None = None) -> Column:
     t = trim(c)
     return F.coalesce(*[F.when(F.rlike(t, F.lit(pattern)), F.to_date(F.try_to_timestamp(t, F.lit(form)))) for pattern, form in HINTS[hint]])

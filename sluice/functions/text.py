@@ -25,11 +25,11 @@ def blank(c: Column) -> Column:
 
 def trim(c: Column) -> Column:
     """White space of any kind off both ends."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
 
 def collapse_spaces(c: Column) -> Column:
-    return trim(F.regexp_replace(c, r"\s+", " "))
+    return trim(F.regexp_replace(c, r"(?U)\s+", " "))
 
 
 def title_case(c: Column) -> Column:

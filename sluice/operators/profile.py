@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +20,8 @@ PATTERNS = {
     "date_eu": r"^\d{1,2}\.\d{1,2}\.\d{2,4}$",
 }
 BOOLS = (*numbers.TRUE, *numbers.FALSE)
+INTEGRAL = ("tinyint", "smallint", "int", "bigint")
+NUMERIC = (*INTEGRAL, "float", "double")
 
 
 def ratio(condition: Column, of: Column) -> Column:
@@ -37,41 +41,76 @@ def aggregate(df: DataFrame, columns: list[str], stats: dict[str, callable]) ->
     return long_form(row, columns, list(stats))
 
 
-def inferred_type(c: Column) -> Column:
-    """Aggregate: integer, float, boolean, date, string or null, over all values as text."""
+def inferred_type(c: Column, kind: str = "string") -> Column:
+    """Aggregate: integer, float, boolean, date, string or null, over all values as text; what the
+    column's own type settles isn't asked again."""
     t = c.cast("string")
     number = F.rlike(t, F.lit(numbers.NUMBER))
     every = lambda cond: F.bool_and(F.when(t.isNotNull(), cond))
+    if kind in INTEGRAL:
+        return F.when(F.count(t) == 0, "null").when(every(t.isin(*BOOLS)), "boolean").otherwise("integer")
+    if kind in NUMERIC:
+        return F.when(F.count(t) == 0, "null").when(every(number), "float").otherwise("string")
     return (
         F.when(F.count(t) == 0, "null")
         .when(every(F.lower(t).isin(*BOOLS)), "boolean")
         .when(every(F.rlike(t, F.lit(r"^[+-]?\d+$"))), "integer")
         .when(every(number), "float")
-        .when(every(dates.ladder(t).isNotNull()), "date")
+        .when(every(F.rlike(t, F.lit(dates.SHAPE)) & dates.ladder(t).isNotNull()), "date")  # few values get to the ladder
         .otherwise("string")
     )
 
 
-def profile(df: DataFrame, columns: list[str] | None = None, approximate: bool = False) -> DataFrame:
-    """A row per column: rows, nulls, distinct, uniqueness, type, lengths, pattern ratios (those of 0.2
-    or more). One aggregation over the table, of every row; `approximate` counts distinct values by
-    sketch, for tables where exact counts would multiply the rows."""
-    columns = columns or df.columns
-    count = F.approx_count_distinct if approximate else F.countDistinct
-    stats = {
-        "n": lambda c: F.count(F.lit(1)),
-        "n_null": lambda c: F.count_if(c.isNull()),
-        "n_distinct": lambda c: count(c),
-        "type": inferred_type,
-        "min_length": lambda c: F.min(F.length(c.cast("string"))),
-        "max_length": lambda c: F.max(F.length(c.cast("string"))),
-        **{f"p_{k}": (lambda c, p=p: ratio(F.rlike(c.cast("string"), F.lit(p)), c)) for k, p in PATTERNS.items()},
-    }
-    out = aggregate(df, columns, stats)
-    out = out.withColumn("uniqueness", F.round(F.try_divide(F.col("n_distinct"), F.col("n") - F.col("n_null")), 6))
-    day = F.greatest("p_date_iso", "p_date_us", "p_date_eu")
+def value_counts(df: DataFrame, column: str) -> DataFrame:
+    """(value, times): distinct values, pre-aggregated before the shuffle."""
+    return df.select(F.col(f"`{column}`").alias("value")).groupBy("value").agg(F.count("*").alias("times"))
+
+
+def inferred_types(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, type) of each column, from its distinct values."""
+    return reduce(DataFrame.union, [value_counts(df, c).agg(inferred_type(F.col("value")).alias("type")).select(F.lit(c).alias("column"), "type") for c in columns])
+
+
+def examples(counts: DataFrame, k: int, samples: int) -> DataFrame:
+    """One row: top, the k most frequent values with their counts, and sample, the first values."""
+    known = counts.where("value IS NOT NULL").select(F.col("value").cast("string").alias("value"), "times")
+    top = known.orderBy(F.desc("times"), "value").limit(k).agg(F.array_sort(F.collect_list(F.struct((-F.col("times")).alias("n"), "value"))).alias("top"))
+    first = known.orderBy("value").limit(samples).agg(F.array_sort(F.collect_list("value")).alias("sample"))
+    return top.select(F.transform("top", lambda t: F.struct(t["value"].alias("value"), (-t["n"]).alias("n"))).alias("top")).crossJoin(first)
+
+
+def profile(df: DataFrame, columns: list[str] | None = None, top: int = 0, samples: int = 10, median: bool = False) -> DataFrame:
+    """A row per column: rows, nulls, distinct, uniqueness, type, lengths, numeric stats (columns of
+    numbers only), pattern ratios (those of 0.2 or more) and, with `top`, the most frequent values and a
+    sample. Exact, over every row. `median` adds that of numbers; it is off because an exact one brings
+    a column's distinct values to one task.
+
+    Each column is read alone and brought down to its distinct values first; types and patterns are
+    found once per distinct value and weighed by its count."""
+    kinds = dict(df.dtypes)
+    return reduce(DataFrame.union, [_profiled(df, c, kinds[c], top, samples, median) for c in columns or df.columns])
+
+
+def _profiled(df: DataFrame, column: str, kind: str, top: int, samples: int, median: bool) -> DataFrame:
+    counts, v, times = value_counts(df, column), F.col("value"), F.col("times")
+    t = v.cast("string")
+    known = F.sum(F.when(v.isNotNull(), times).otherwise(0))
+    # Text of numbers fits no other pattern.
+    asked = {k: p for k, p in PATTERNS.items() if kind not in NUMERIC or k == "currency" or k == "phone" and kind in INTEGRAL}
+    shares = {k: F.round(F.try_divide(F.sum(F.when(F.rlike(t, F.lit(p)), times).otherwise(0)), known), 6) for k, p in asked.items()}
+    ratios = {k: shares.get(k, F.lit(None).cast("double")) for k in PATTERNS}
+    number = v if kind in NUMERIC else F.lit(None).cast("double")
+    exact = number.cast("decimal(18,4)").cast("decimal(28,4)") * times.cast("decimal(10,0)")
+    row = counts.agg(
+        F.coalesce(F.sum(times), F.lit(0)).alias("n"), F.coalesce(F.sum(F.when(v.isNull(), times)), F.lit(0)).alias("n_null"), F.count(v).alias("n_distinct"),
+        F.round(F.try_divide(F.count(v), known), 6).alias("uniqueness"), inferred_type(v, kind).alias("type"), F.min(F.length(t)).alias("min_length"), F.max(F.length(t)).alias("max_length"),
+        F.min(number).cast("double").alias("min"), F.max(number).cast("double").alias("max"), F.round(F.try_divide(F.sum(exact).cast("double"), known), 4).alias("mean"),
+        *[(F.percentile(v, F.lit(0.5), times) if kind in NUMERIC else F.lit(None).cast("double")).alias("median")] * median, *[r.alias(f"p_{k}") for k, r in ratios.items()],
+    )
     keep = lambda c: F.when(c >= 0.2, c)
-    return out.select("column", "n", "n_null", "n_distinct", "uniqueness", "type", "min_length", "max_length", *[keep(F.col(f"p_{k}")).alias(f"p_{k}") for k in ("email", "phone", "url", "currency")], keep(day).alias("p_date"))
+    day = F.greatest("p_date_iso", "p_date_us", "p_date_eu")
+    out = row.select(F.lit(column).alias("column"), "n", "n_null", "n_distinct", "uniqueness", "type", "min_length", "max_length", "min", "max", "mean", *["median"] * median, *[keep(F.col(f"p_{k}")).alias(f"p_{k}") for k in ("email", "phone", "url", "currency")], keep(day).alias("p_date"))
+    return out.crossJoin(examples(counts, top, samples)) if top else out
 
 
 def suggest_field(profile: DataFrame) -> DataFrame:

@@ -82,14 +82,14 @@ def require_child(spark, d):
     return table(spark, d, "orders").join(lines, "o_orderkey", "left_anti").select("o_orderkey")
 
 
-TREE = "SELECT c_custkey AS node, CASE WHEN c_custkey % 100 < 3 THEN c_custkey - c_custkey % 100 + (c_custkey % 100 + 1) % 3 WHEN c_custkey % 7 = 0 THEN NULL ELSE c_custkey - 1 END AS parent FROM customer WHERE c_custkey < 1000"
+TREE = "SELECT c_custkey AS node, CASE WHEN c_custkey % 100 < 3 THEN c_custkey - c_custkey % 100 + (c_custkey % 100 + 1) % 3 WHEN c_custkey % 7 = 0 THEN NULL ELSE c_custkey - 1 END AS parent FROM customer"
 
 
 @query("C9_cycle_check", f"WITH RECURSIVE t AS ({TREE}), walk(node, here, n) AS (SELECT node, parent, 1 FROM t WHERE parent IS NOT NULL UNION SELECT w.node, t.parent, n + 1 FROM walk w JOIN t ON w.here = t.node WHERE t.parent IS NOT NULL AND n < 32) SELECT DISTINCT node FROM walk WHERE node = here")
 def cycle_check(spark, d):
     k = c("c_custkey")
     parent = F.when(k % 100 < 3, k - k % 100 + (k % 100 + 1) % 3).when(k % 7 == 0, None).otherwise(k - 1)
-    return op.cycles(table(spark, d, "customer").where("c_custkey < 1000").select(k.alias("node"), parent.alias("parent")))
+    return op.cycles(table(spark, d, "customer").select(k.alias("node"), parent.alias("parent")))
 
 
 SEED_ROWS = [("won", "stage_won", "canonical"), ("open", "stage_open", "canonical"), ("F", "stage_won", "synonym")]
@@ -161,26 +161,30 @@ def natural_key_lookup(spark, d):
     return cust.join(cust.where("c_custkey % 2 = 0").select(c("c_custkey").alias("match_id"), "k"), "k", "left").select("c_custkey", "match_id")
 
 
-# Companies: names of few stems with a number, half of them with a typo.
+# Companies: names of a stem and a number, some with a typo. A block is the nation and the street number
+# of the address, so blocks stay small as the table grows.
 STEM = "CASE c_nationkey % 5 WHEN 0 THEN 'north wind' WHEN 1 THEN 'global parts' WHEN 2 THEN 'blue ocean' WHEN 3 THEN 'iron gate' ELSE 'silver line' END"
-CANON = f"SELECT c_custkey AS id, concat({STEM}, ' ', c_custkey) AS name, concat(c_nationkey, ' main street') AS addr, c_nationkey AS block, concat('m', c_custkey, '@x.org') AS email, CAST(c_custkey % 60 AS INT) AS day FROM customer WHERE c_custkey % 4 = 0"
-SOURCE = f"SELECT c_custkey AS id, CASE WHEN c_custkey % 8 = 0 THEN replace(concat({STEM}, ' ', c_custkey), 'n', 'm') ELSE concat({STEM}, ' ', c_custkey) END AS name, concat(c_nationkey, ' main str') AS addr, c_nationkey AS block, CASE WHEN c_custkey % 3 = 0 THEN concat('m', c_custkey, '@x.org') ELSE 'none' END AS email, CAST(c_custkey % 50 AS INT) AS day FROM customer WHERE c_custkey % 4 = 0 OR c_custkey % 9 = 0"
-PAIRS = f"WITH s AS ({SOURCE}), t AS ({CANON}), pairs AS (SELECT s.id, t.id AS c_id, s.name, t.name AS c_name, s.addr, t.addr AS c_addr, s.email, t.email AS c_email, s.day, t.day AS c_day FROM s JOIN t ON s.block = t.block AND soundex5(s.name) = soundex5(t.name))".replace("soundex5(s.name)", "substr(s.name, 1, 1)").replace("soundex5(t.name)", "substr(t.name, 1, 1)")
+ADDRESS = "concat(CAST(floor(c_custkey / 40) AS INT), ' {} street ', c_nationkey)"
+CANON = f"SELECT c_custkey AS id, concat({STEM}, ' ', c_custkey) AS name, {ADDRESS.format('main')} AS addr, concat(c_nationkey, '|', CAST(floor(c_custkey / 40) AS INT)) AS block, concat('m', c_custkey, '@x.org') AS email, CAST(c_custkey % 60 AS INT) AS day FROM customer"
+SOURCE = f"SELECT c_custkey AS id, CASE WHEN c_custkey % 8 = 0 THEN replace(concat({STEM}, ' ', c_custkey), 'n', 'm') ELSE concat({STEM}, ' ', c_custkey) END AS name, {ADDRESS.format('maim')} AS addr, concat(c_nationkey, '|', CAST(floor(c_custkey / 40) AS INT)) AS block, CASE WHEN c_custkey % 3 = 0 THEN concat('m', c_custkey, '@x.org') ELSE 'none' END AS email, CAST(c_custkey % 50 AS INT) AS day FROM customer"
+PAIRS = f"WITH s AS ({SOURCE}), t AS ({CANON}), pairs AS (SELECT s.id, t.id AS c_id, s.name, t.name AS c_name, s.addr, t.addr AS c_addr, s.email, t.email AS c_email, s.day, t.day AS c_day FROM s JOIN t ON s.block = t.block)"
 
 
 def sides(spark, d):
+    """Every customer, and every customer once more as an altered copy."""
     cust = table(spark, d, "customer")
     k = c("c_custkey")
     name = F.concat(F.expr(STEM), F.lit(" "), k)
-    canon = cust.where(k % 4 == 0).select(k.alias("id"), name.alias("name"), F.concat("c_nationkey", F.lit(" main street")).alias("addr"), c("c_nationkey").alias("block"), F.concat(F.lit("m"), k, F.lit("@x.org")).alias("email"), (k % 60).cast("int").alias("day"))
-    source = cust.where((k % 4 == 0) | (k % 9 == 0)).select(k.alias("id"), F.when(k % 8 == 0, F.translate(name, "n", "m")).otherwise(name).alias("name"), F.concat("c_nationkey", F.lit(" main str")).alias("addr"), c("c_nationkey").alias("block"), F.when(k % 3 == 0, F.concat(F.lit("m"), k, F.lit("@x.org"))).otherwise("none").alias("email"), (k % 50).cast("int").alias("day"))
+    street = F.floor(k / 40).cast("int")
+    block = F.concat_ws("|", "c_nationkey", street)
+    canon = cust.select(k.alias("id"), name.alias("name"), F.concat(street, F.lit(" main street "), c("c_nationkey")).alias("addr"), block.alias("block"), F.concat(F.lit("m"), k, F.lit("@x.org")).alias("email"), (k % 60).cast("int").alias("day"))
+    source = cust.select(k.alias("id"), F.when(k % 8 == 0, F.translate(name, "n", "m")).otherwise(name).alias("name"), F.concat(street, F.lit(" maim street "), c("c_nationkey")).alias("addr"), block.alias("block"), F.when(k % 3 == 0, F.concat(F.lit("m"), k, F.lit("@x.org"))).otherwise("none").alias("email"), (k % 50).cast("int").alias("day"))
     return source, canon
 
 
 def pairs(spark, d):
     source, canon = sides(spark, d)
-    block = F.concat_ws("|", "block", F.substring("name", 1, 1))
-    return op.fuzzy_candidates(source, canon, block, block)
+    return op.fuzzy_candidates(source, canon, c("block"), c("block"))
 
 
 LEV = "CASE WHEN greatest(length(addr), length(c_addr)) = 0 THEN 1.0 ELSE 1 - levenshtein(addr, c_addr) / greatest(length(addr), length(c_addr)) END"
@@ -289,8 +293,7 @@ def resolve_entities(spark, d):
     source, canon = sides(spark, d)
     exact = source.select("id", F.md5("name").alias("k")).join(canon.select(F.md5("name").alias("k")), "k").select("id", F.lit("natural_key").alias("exact")).distinct()
     left = source.join(exact, "id", "left_anti")
-    block = F.concat_ws("|", "block", F.substring("name", 1, 1))
-    scored = op.fuzzy_candidates(left, canon, block, block)
+    scored = op.fuzzy_candidates(left, canon, c("block"), c("block"))
     scored = scored.select("id", F.round(0.7 * op.jaro_winkler("name", "c_name") + 0.3 * op.levenshtein_ratio(c("addr"), c("c_addr")), 6).alias("score"))
     decided = stored(op.decide(scored, "id", "score", "company").select("id", "decision"), "decided")
     return source.select("id").join(exact, "id", "left").join(decided, "id", "left").select("id", F.coalesce("exact", "decision", F.lit("create")).alias("method"))

@@ -86,27 +86,34 @@ TYPED = "WITH o AS (SELECT CAST(o_orderkey AS VARCHAR) AS a, o_orderstatus AS b,
 def infer_type_full(spark, d):
     k = c("o_orderkey")
     o = table(spark, d, "orders").select(k.cast("string").alias("a"), c("o_orderstatus").alias("b"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("c"), F.when(k % 2 == 0, "Y").otherwise("no").alias("d"), F.concat(k.cast("string"), F.lit(".5")).alias("e"), F.lit(None).cast("string").alias("f"))
-    return op.aggregate(o, list("abcdef"), {"type": op.inferred_type})
+    return op.inferred_types(o, list("abcdef"))
 
 
 def _p(k: str) -> str:
     return f"round(count(*) FILTER (WHERE regexp_matches({{c}}, '{op.PATTERNS[k]}')) / count({{c}}), 6)"
 
 
-PROFILE = each("count(*) AS n, count(*) FILTER (WHERE {c} IS NULL) AS n_null, count(DISTINCT {c}) AS n_distinct, round(count(DISTINCT {c}) / count({c}), 6) AS uniqueness, " + TYPES + ", min(length({c})) AS min_length, max(length({c})) AS max_length, " + ", ".join(f"CASE WHEN {_p(k)} >= 0.2 THEN {_p(k)} END AS p_{k}" for k in ("email", "phone", "url", "currency")) + f", CASE WHEN greatest({_p('date_iso')}, {_p('date_us')}, {_p('date_eu')}) >= 0.2 THEN greatest({_p('date_iso')}, {_p('date_us')}, {_p('date_eu')}) END AS p_date")
+PROFILED = "count(*) AS n, count(*) FILTER (WHERE {c} IS NULL) AS n_null, count(DISTINCT {c}) AS n_distinct, round(count(DISTINCT {c}) / count({c}), 6) AS uniqueness, " + TYPES + ", min(length({c})) AS min_length, max(length({c})) AS max_length, {num}, " + ", ".join(f"CASE WHEN {_p(k)} >= 0.2 THEN {_p(k)} END AS p_{k}" for k in ("email", "phone", "url", "currency")) + f", CASE WHEN greatest({_p('date_iso')}, {_p('date_us')}, {_p('date_eu')}) >= 0.2 THEN greatest({_p('date_iso')}, {_p('date_us')}, {_p('date_eu')}) END AS p_date"
+NO_STATS = "CAST(NULL AS DOUBLE) AS min, CAST(NULL AS DOUBLE) AS max, CAST(NULL AS DOUBLE) AS mean"
+STATS = "min(CAST({c} AS DOUBLE)) AS min, max(CAST({c} AS DOUBLE)) AS max, CAST(round(avg(CAST({c} AS DECIMAL(18,4))), 4) AS DOUBLE) AS mean"
+PROFILE = each(PROFILED.replace("{num}", NO_STATS))
+TOP = "(SELECT string_agg(v || '=' || k, ';' ORDER BY k DESC, v) FROM (SELECT {c} AS v, count(*) AS k FROM partners WHERE {c} IS NOT NULL GROUP BY 1 ORDER BY k DESC, v LIMIT 5)) AS top, (SELECT string_agg(v, ';' ORDER BY v) FROM (SELECT DISTINCT {c} AS v FROM partners WHERE {c} IS NOT NULL ORDER BY v LIMIT 10)) AS sample"
 
 
-@query("D11_profile_table", PROFILE)
+@query("D11_profile_table", each(PROFILED.replace("{num}", NO_STATS) + ", " + TOP))
 def profile_table(spark, d):
-    return op.profile(partners(spark, d), COLUMNS)
+    top = F.array_join(F.transform("top", lambda t: F.concat(t["value"], F.lit("="), t["n"])), ";")
+    return op.profile(partners(spark, d), COLUMNS, top=5).withColumns({"top": F.when(F.size("top") > 0, top), "sample": F.when(F.size("sample") > 0, F.array_join("sample", ";"))})
 
 
-LINEITEM = ["l_orderkey", "l_partkey", "l_linenumber", "l_returnflag", "l_linestatus"]
+NUMBERS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+TEXTS = ["l_returnflag", "l_linestatus", "l_shipdate"]
+LINES = "WITH l AS (SELECT " + ", ".join(f"CAST({x} AS VARCHAR) AS {x}" for x in NUMBERS + TEXTS) + " FROM lineitem)"
 
 
-@query("D11_profile_lineitem", each("count(*) AS n, count(*) FILTER (WHERE {c} IS NULL) AS n_null, count(DISTINCT {c}) AS n_distinct, min(length(CAST({c} AS VARCHAR))) AS min_length", LINEITEM, "lineitem", ""))
+@query("D11_profile_lineitem", each(PROFILED.replace("{num}", STATS), NUMBERS, "l", LINES) + " UNION ALL " + each(PROFILED.replace("{num}", NO_STATS), TEXTS, "l", ""))
 def profile_lineitem(spark, d):
-    return op.profile(table(spark, d, "lineitem"), LINEITEM).select("column", "n", "n_null", "n_distinct", "min_length")
+    return op.profile(table(spark, d, "lineitem"), NUMBERS + TEXTS)
 
 
 @query("D12_profile_lengths", each("min(length({c})) AS min_length, max(length({c})) AS max_length, round(avg(length({c})), 6) AS mean_length", ["p_name", "p_brand", "p_type"], "part", ""))
@@ -118,7 +125,7 @@ def profile_lengths(spark, d):
 FROM (SELECT *, CASE WHEN coalesce(p_email, 0) > 0.8 THEN 'Char' WHEN coalesce(p_phone, 0) > 0.8 THEN 'Char' WHEN coalesce(p_currency, 0) > 0.8 THEN 'Monetary' WHEN type = 'boolean' THEN 'Boolean' WHEN type = 'date' THEN 'Date'
 WHEN n_distinct / n < 0.05 AND n_distinct <= 10 THEN 'Selection' WHEN type = 'integer' THEN 'Integer' WHEN type = 'float' THEN 'Float' WHEN max_length > 255 THEN 'Text' ELSE 'Char' END AS kind FROM prof)""")
 def suggest_field_type(spark, d):
-    return op.suggest_field(profile_table(spark, d))
+    return op.suggest_field(op.profile(partners(spark, d), COLUMNS))
 
 
 @query("D14_duplicates", "SELECT user_id, count(*) AS n FROM events GROUP BY user_id HAVING count(*) > 1")

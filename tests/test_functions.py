@@ -68,3 +68,8 @@ def test_names_are_cleaned_and_made_unique():
 def test_unknown_transform_is_an_error(spark):
     with pytest.raises(KeyError):
         reshape.transform_chain(F.lit("a"), ["no_such_transform"])
+
+
+def test_trim_takes_white_space_of_any_kind(spark):
+    row = spark.createDataFrame([("\u00a0\u2003 a\u2003\u00a0 b\u00a0",)], "t string").select(text.trim(F.col("t")).alias("x"), text.collapse_spaces(F.col("t")).alias("y")).first()
+    assert (row.x, row.y) == ("a\u2003\u00a0 b", "a b")
