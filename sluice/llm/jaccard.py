@@ -262,6 +262,7 @@ def possible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
             ok = [most_similar(x, y) >= THRESHOLD - 1e-9 for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
+    pairs = saved(pairs, "jaccard-pairs")
     of = few_of(classes.select("class", "sketch"), pairs)
     both = pairs.join(of.toDF("a", "x"), "a").join(of.toDF("b", "y"), "b")
     return saved(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "jaccard-possible")
@@ -281,6 +282,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             ok = [linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64))[0] for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
+    pairs = saved(pairs, "jaccard-asked")
     of = few_of(sets, pairs)
     both = pairs.join(of.toDF("a", "x"), "a").join(of.toDF("b", "y"), "b")
     return saved(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "jaccard-links")
