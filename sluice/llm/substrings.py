@@ -7,7 +7,7 @@ The reference is cut down before it is sharded. Each window has a minimizer, the
 with the least hash; equal windows have equal minimizers, so a window can only recur where its
 minimizer does. Consecutive windows with one minimizer form a segment. Segments whose minimizer is
 in two documents or more are the reference: equal ones are one, with the smallest doc_id, and
-segments with equal minimizers fall into one shard. A shard's segments make one suffix automaton, and
+segments with equal minimizers fall into one shard, unless they are too many for one. A shard's segments make one suffix automaton, and
 the distinct segments are streamed through it: the matching statistics at each word give the state
 of the window that ends there, and the state holds the smallest doc_id of all places it occurs at.
 """
@@ -24,11 +24,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Filter, WordHash, discard, gram_hashes, release, saved, table, tune
+from .common import Filter, WordHash, checked_broadcast, discard, gram_hashes, release, saved, table, tune
 
 WINDOW, GRAM = 13, 5
 #: Distinct segments per shard aimed at; bounds the automaton of a task.
 SHARD = 4000
+MATCHES = "gram long, key long, least array<long>"
 
 
 class SuffixAutomaton:
@@ -168,8 +169,12 @@ def _segments(docs: DataFrame) -> DataFrame:
                 kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[i : i + 50_000], strict=True), kinds, strict=True)], ["doc_id", "row", "at", "gram", "key", "words"])
 
-    found = _documents(docs).join(_recurring(docs), "doc_id").select("doc_id", "text", _row_key(F.col("text")).alias("row"), "grams")
-    return saved(found.mapInArrow(run, "doc_id long, row long, at int, gram long, key long, words binary"), "segments")
+    recurring = saved(_recurring(docs), "recurring")
+    release(docs.sparkSession)
+    found = _documents(docs).join(recurring, "doc_id").select("doc_id", "text", _row_key(F.col("text")).alias("row"), "grams")
+    segments = saved(found.mapInArrow(run, "doc_id long, row long, at int, gram long, key long, words binary"), "segments")
+    discard(recurring)
+    return segments
 
 
 def _matched(segments: DataFrame) -> DataFrame:
@@ -192,16 +197,46 @@ def _matched(segments: DataFrame) -> DataFrame:
         for i in shared:
             least[i] = automaton.matches(words[i], WINDOW)
         keep = [i for i, (x, hi) in enumerate(zip(least, group.column("hi").to_pylist(), strict=True)) if any(y < hi for y in x)]
-        return pa.table({"gram": group.column("gram").take(keep), "key": group.column("key").take(keep), "least": pa.array([least[i] for i in keep], pa.list_(pa.int64()))})
-
-    cut = distinct.withColumn("shard", F.pmod(F.xxhash64("gram"), F.lit(shards))).groupBy("shard")
+        at = pa.array(keep, pa.int64())
+        return pa.table({"gram": group.column("gram").take(at), "key": group.column("key").take(at), "least": pa.array([least[i] for i in keep], pa.list_(pa.int64()))})
+
+    # A minimizer with more distinct segments than a shard should hold isn't one shard: its windows
+    # meet one by one, pre-aggregated.
+    hot = saved(distinct.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") > SHARD).select("gram"), "hot-minimizers")
+    some = not hot.isEmpty()
+    rest = distinct.join(checked_broadcast(hot), "gram", "left_anti") if some else distinct
+    cut = rest.withColumn("shard", F.pmod(F.xxhash64("gram"), F.lit(shards))).groupBy("shard")
     release(segments.sparkSession)
-    found = saved(cut.applyInArrow(shard, "gram long, key long, least array<long>"), "matches")
+    found = cut.applyInArrow(shard, MATCHES)
+    if some:
+        found = found.union(_window_by_window(distinct.join(checked_broadcast(hot), "gram", "left_semi")))
+    found = saved(found, "matches")
     discard(distinct)
     release(segments.sparkSession)
     return found
 
 
+def _window_by_window(distinct: DataFrame) -> DataFrame:
+    """(gram, key, least) as from a shard, for minimizers with too many segments for one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for gram, key, lo, segment in zip(*(batch.column(c).to_pylist() for c in ("gram", "key", "lo", "words")), strict=True):
+                words = segment.split(b" ")
+                for i in range(len(words) - WINDOW + 1):
+                    both = xxhash.xxh3_128_intdigest(b" ".join(words[i : i + WINDOW]))
+                    rows.append((gram, key, i, (both >> 64) - (1 << 63), (both & ((1 << 64) - 1)) - (1 << 63), lo))
+            for i in range(0, len(rows), 50_000):
+                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[i : i + 50_000], strict=True), kinds, strict=True)], ["gram", "key", "i", "x", "y", "lo"])
+
+    windows = saved(distinct.select("gram", "key", "lo", "words").mapInArrow(run, "gram long, key long, i int, x long, y long, lo long"), "hot-windows")
+    least = windows.groupBy("x", "y").agg(F.min("lo").alias("least"))
+    of = windows.join(least, ["x", "y"]).groupBy("gram", "key").agg(F.array_sort(F.collect_list(F.struct("i", "least"))).alias("w"))
+    return of.select("gram", "key", F.col("w.least").alias("least"))
+
+
 def repeated_windows(docs: DataFrame) -> DataFrame:
     """(doc_id, row, places): first words of the windows that start in a smaller document too."""
     segments = _segments(docs)

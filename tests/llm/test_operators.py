@@ -176,6 +176,31 @@ def test_substrings_are_cut(spark, seed):
     assert collections.Counter(map(tuple, got)) == cut_by_force(texts)
 
 
+def test_substrings_of_a_hot_minimizer(spark, monkeypatch):
+    """A passage in thousands of documents, each with words of its own around it: one minimizer has
+    thousands of distinct segments, and no group gets them all; a very long text besides."""
+    monkeypatch.setattr(substrings, "SHARD", 50)
+    rng = random.Random(12)
+    passage = [f"p{i}" for i in range(14)]
+    texts = []
+    for i in range(2000):
+        around = [f"o{rng.randint(0, 30)}" for _ in range(16)]
+        texts.append((i, " ".join(around[:8] + passage[i % 2 :] + around[8:])))
+    texts.append((5000, " ".join([f"long{i}" for i in range(60_000)] + passage * 2)))
+    docs = docs_of(spark, texts)
+    sizes, group = [], type(spark.range(0).groupBy("id"))
+    real = group.applyInArrow
+
+    def counted(self, fn, schema):
+        sizes.extend(r[0] for r in self.count().select("count").collect())
+        return real(self, fn, schema)
+
+    monkeypatch.setattr(group, "applyInArrow", counted)
+    got = substrings.without_repeats(docs).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
+    assert collections.Counter(map(tuple, got)) == cut_by_force(texts)
+    assert max(sizes) <= 500
+
+
 def test_substrings_of_nothing(spark):
     assert substrings.without_repeats(docs_of(spark, [])).count() == 0
 
@@ -514,6 +539,35 @@ def test_vectors(spark):
     assert vectors.link_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_vectors_of_all_lengths_in_double_precision(spark):
+    """A minority of another length links; a cosine that floats would round over the threshold doesn't;
+    large components don't overflow; a clashing column is left alone."""
+    at = lambda c: [c, (1 - c * c) ** 0.5, 0.0]
+    rows = [(1, [1.0, 0.0, 0.0]), (2, at(0.95 - 2e-9)), (3, at(0.95 + 2e-9)), (4, [1e200, 0.0, 0.0]), (5, [0.0, 0.0, 1e-300]), (6, [0.0, 0.0, 3.0]), (7, [1.0, 2.0]), (8, [2.0, 4.0]), (9, [2.0, -1.0])]
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "vec_id long, embedding array<double>, node string, home int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vectors.link_vectors(df).collect()}
+    assert got == {1: (2, 1), 2: (1, 1), 3: (3, 1), 4: (2, 1), 5: (1, 5), 6: (1, 5), 7: (1, 7), 8: (1, 7), 9: (0, 9)}
+
+
+def test_vector_links_count_for_both_sides(spark, monkeypatch):
+    """Few cells are visited, so many links are found from one side only; n_links is that of the links found."""
+    monkeypatch.setattr(vectors, "LEAST_CELLS", 1)
+    monkeypatch.setattr(vectors.Index, "__init__", _index_of_few_cells(vectors.Index.__init__))
+    rng = np.random.default_rng(11)
+    base = rng.normal(size=(150, 8))
+    x = np.concatenate([base, base + 0.12 * rng.normal(size=base.shape)])
+    monkeypatch.setattr(vectors, "RECALL", 0.05)
+    got = {r.vec_id: r.n_links for r in vectors.link_vectors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()}
+    assert sum(got.values()) % 2 == 0 and sum(got.values()) > 0
+    true = (vectors.unit(x) @ vectors.unit(x).T >= 0.95).sum(1) - 1
+    assert all(n <= true[i] for i, n in got.items())
+    assert all(got[i] == got[i + 150] for i in range(150) if true[i] == true[i + 150] == 1)
+
+
+def _index_of_few_cells(init):
+    return lambda self, sample, k: init(self, sample, 12)
+
+
 def test_vectors_deal_out_visits(spark, monkeypatch):
     monkeypatch.setattr(vectors, "VISITS", 40, raising=False)
     rng = np.random.default_rng(9)
