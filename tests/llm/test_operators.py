@@ -722,7 +722,32 @@ def test_extraction_of_odd_pages(spark):
     assert wrappers.extract_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
-def test_documents_have_the_pipelines_columns(spark):
+def test_pipeline_on_odd_documents(spark, tmp_path):
+    """Every stage's decision on nulls, copies, leaks and secrets, as plain Python would have it. With one
+    source, every document that stays is mixed in once or twice."""
     import corpus_pipeline
 
-    assert [name for name, _ in corpus_pipeline.STAGES] and F is not None
+    rng = random.Random(21)
+    vocab = {"en": [f"{a}ing{b}" for a in "bcdfgklm" for b in "abcdefghijklmnop"], "ru": [f"{a}\u043e\u0432{b}" for a in "\u0431\u0432\u0433\u0434\u0437\u043a\u043b\u043c" for b in "\u0430\u0435\u0438\u043e\u0443\u044b\u044d\u044e"]}
+    text = lambda lang, n: " ".join(rng.choice(vocab[lang]) for _ in range(n))
+    texts = [(i, text("en" if i % 2 else "ru", 60)) for i in range(40)]
+    langs = {i: "en" if i % 2 else "ru" for i in range(40)}
+    near = texts[1][1].split()
+    near[30] = "changed"
+    item = text("en", 20)
+    texts += [(100, texts[0][1]), (101, " ".join(near)), (102, None), (103, "123 !!"), (104, text("en", 30) + " " + item + " " + text("en", 9)), (105, text("en", 20) + " password: hunter22 " + text("en", 20)), (None, text("en", 30)), (106, ""), (107, text("en", 12) + " " + text("ru", 12)), (105, text("en", 25)), (108, "\u4e2d\u6587" * 20), (109, text("en", 30_000))]
+    docs = docs_of(spark, texts, langs).withColumn("source", F.lit("s"))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, item), (2, None), (None, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.columns == docs.columns
+    rows = out.collect()
+    group = components_by_force([(i, t) for i, t in texts if i not in (102, 103, 106, 108)])
+    stay = {i for i, c in group.items() if c == i} - {104}
+    assert {100, 101}.isdisjoint(stay) and {r.doc_id for r in rows} == {*stay, None}
+    times = collections.Counter((r.doc_id, r.text) for r in rows)
+    want = collections.Counter((i, t.replace("password: hunter22", "[ASSIGN]")) for i, t in texts if i in stay or i is None)
+    assert set(times) == set(want) and all(1 <= n <= 2 * want[k] for k, n in times.items())
+    spark.createDataFrame([], docs.schema).write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "none" / "benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
