@@ -62,10 +62,18 @@ def extract(c: Column, pattern: str, group: int = 0) -> Column:
 
 
 def html_unescape(c: Column) -> Column:
-    """Decodes decimal references and the names in ENTITIES (`&amp;` last, so nothing is decoded twice)."""
-    pieces = F.regexp_extract_all(c, F.lit(r"(&#[0-9]{1,6};|[^&]+|&)"), 1)
-    number = lambda p: F.regexp_extract(p, r"^&#([0-9]{1,6});$", 1)
-    decoded = F.array_join(F.transform(pieces, lambda p: F.when(number(p) != "", F.char(number(p).cast("long"))).otherwise(p)), "")
+    """Decodes decimal and hexadecimal references and the names in ENTITIES (`&amp;` last, so nothing is
+    decoded twice). A reference to no character (0, a surrogate, beyond 10FFFF) stays as it is."""
+    pieces = F.regexp_extract_all(c, F.lit(r"(&#[0-9]{1,7};|&#[xX][0-9a-fA-F]{1,6};|[^&]+|&)"), 1)
+
+    def character(p: Column) -> Column:
+        decimal, hexadecimal = F.regexp_extract(p, r"^&#([0-9]{1,7});$", 1), F.regexp_extract(p, r"^&#[xX]([0-9a-fA-F]{1,6});$", 1)
+        code = F.when(decimal != "", decimal.cast("long")).when(hexadecimal != "", F.conv(hexadecimal, 16, 10).cast("long"))
+        valid = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+        # char() takes its argument modulo 256, so the code point is decoded from its four bytes.
+        return F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise(p)
+
+    decoded = F.array_join(F.transform(pieces, character), "")
     return reduce(lambda x, e: F.replace(x, F.lit(f"&{e[0]};"), F.lit(e[1])), ENTITIES.items(), decoded)
 
 

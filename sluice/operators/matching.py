@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from difflib import SequenceMatcher
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -133,3 +134,41 @@ def evaluate(predicted: DataFrame, truth: DataFrame, by: str) -> DataFrame:
     hit = F.count_if((F.col("pm") == F.col("model")) & (F.col("pf") == F.col("field")))
     made, n = F.count("pf"), F.count(F.lit(1))
     return both.groupBy(by).agg(n.alias("n"), F.round(hit / n, 6).alias("accuracy"), F.round(F.coalesce(F.try_divide(hit, made), F.lit(0.0)), 6).alias("precision"), F.round(hit / n, 6).alias("recall"))
+
+
+def _padded(c: str) -> Column:
+    return F.concat(F.lit(" "), F.col(c), F.lit(" "))
+
+
+def runs(c: Column) -> Column:
+    """Every run of consecutive words of a normalized text."""
+    words, size = F.split(c, " "), F.size(F.split(c, " "))
+    return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), size), lambda i: F.transform(F.sequence(i, size), lambda j: F.array_join(F.slice(words, i, j - i + 1), " ")))))
+
+
+def best_match(cols: DataFrame, kb: DataFrame) -> DataFrame:
+    """The best field of each header: 1.0 for its name, 0.8 where one holds the other's words in a row,
+    else the share of the header's words that the field has; ties go to the first model and field.
+    Headers that share no word with any field give no row."""
+    c = cols.select("col_id", text.normalize_header(F.col("header")).alias("h"), tokens(F.col("header")).alias("ct"))
+    k = kb.select("model", "field", text.normalize_header(F.col("field")).alias("f"), tokens(F.col("field")).alias("kt"))
+    met = c.withColumn("t", F.explode("ct")).join(k.withColumn("t", F.explode("kt")), "t")
+    share = met.groupBy("col_id", "h", "model", "field", "f").agg((F.count("*") / F.first(F.size("ct"))).alias("s"))
+    within = F.contains(_padded("h"), _padded("f")) | F.contains(_padded("f"), _padded("h"))
+    scored = share.withColumn("confidence", F.when(F.col("h") == F.col("f"), 1.0).when(within, 0.8).otherwise(F.round("s", 6)))
+    best = scored.groupBy("col_id").agg(F.min(F.struct((-F.col("confidence")).alias("neg"), "model", "field")).alias("b"))
+    return best.select("col_id", "b.model", "b.field", (-F.col("b.neg")).alias("confidence"))
+
+
+def hybrid(cols: DataFrame, kb: DataFrame, patterns: DataFrame) -> DataFrame:
+    """The first of five tiers that hits, then the first model and field: the field's name (1.0), a known
+    header of patterns (pattern, model, field) as it is (1.0) or as words in a row of the header (0.90),
+    the label (0.95), model and name together (0.90). Headers without a hit give no row."""
+    known = patterns.select(text.normalize_header(F.col("pattern")).alias("p"), "model", "field").where("p <> ''").distinct()
+    h = cols.select("col_id", text.normalize_header(F.col("header")).alias("h"))
+    exact, part = h.join(known, F.col("h") == F.col("p")), h.withColumn("p", F.explode(runs(F.col("h")))).join(known, "p")
+    name = exact_name(cols, kb)
+    tiers = [("field_name", 1.0, name.where("confidence = 1.0")), ("pattern", 1.0, exact), ("substring", 0.9, part), ("label", 0.95, label(cols, kb)), ("compound", 0.9, name.where("confidence < 1.0"))]
+    hits = [t.select("col_id", F.lit(i).alias("tier"), "model", "field", F.lit(conf).alias("confidence"), F.lit(method).alias("method")) for i, (method, conf, t) in enumerate(tiers)]
+    best = reduce(DataFrame.union, hits).groupBy("col_id").agg(F.min(F.struct("tier", "model", "field", "confidence", "method")).alias("b"))
+    return best.select("col_id", "b.model", "b.field", "b.confidence", "b.method")

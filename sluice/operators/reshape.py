@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -167,3 +169,19 @@ def clean_by_profile(df: DataFrame, kinds: dict[str, str]) -> DataFrame:
     """One select with a cleaner per column, by the kind its profile gave; text is trimmed, '' is NULL."""
     cleaners = {"email": lambda c: F.lower(text.trim(c)), "phone": contact.phone_e164, "currency": numbers.clean_currency, "date": dates.clean, "boolean": numbers.normalize_bool, "numeric": numbers.clean_numeric, "text": text.trim}
     return df.select([text.empty_to_null(cleaners[kinds[c]](F.col(c))).alias(c) if c in kinds else F.col(c) for c in df.columns])
+
+
+def remap_function(c: Column, fn: Callable[[str], str | None]) -> Column:
+    """fn of every text, in Arrow batches; a NULL, and a value for which fn fails or gives None, stays as it is."""
+
+    def kept(x: str | None) -> str | None:
+        try:
+            return None if x is None else fn(x)
+        except Exception:  # a user's function may fail in any way
+            return None
+
+    @F.pandas_udf("string")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(kept).astype(object)
+
+    return F.coalesce(run(c), c)

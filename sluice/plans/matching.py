@@ -108,30 +108,31 @@ def sequence_ratio(spark, d):
     return pairs.select("p_name", "other", F.round(op.sequence_ratio("p_name", "other"), 6).alias("ratio"))
 
 
-HYBRID = f"SELECT col_id, model, field, confidence, method FROM (SELECT *, row_number() OVER (PARTITION BY col_id ORDER BY tier, model, field) AS n FROM (SELECT col_id, model, field, 1.0 AS confidence, 'field_name' AS method, 1 AS tier FROM cols JOIN kb ON {slug('header')} = field UNION ALL SELECT col_id, model, field, 0.95, 'label', 2 FROM cols JOIN kb ON {_header('header')} = {_header('label')} UNION ALL SELECT col_id, model, field, 0.9, 'compound', 3 FROM cols JOIN kb ON {slug('header')} = concat_ws('_', {slug('model')}, field))) WHERE n = 1"
+#: Headers known for a field: the name, for parts of even size with an x after it.
+KNOWN = {"pattern": "CASE WHEN p_size % 2 = 0 THEN concat(p_name, ' (x)') ELSE p_name END", "model": "p_type", "field": "replace(p_name, ' ', '_')"}
+TIERS = (
+    f"SELECT col_id, model, field, 1.0 AS confidence, 'field_name' AS method, 1 AS tier FROM cols JOIN kb ON {slug('header')} = field"
+    " UNION ALL SELECT col_id, model, field, 1.0, 'pattern', 2 FROM h JOIN known ON h = p"
+    " UNION ALL SELECT col_id, model, field, 0.9, 'substring', 3 FROM h JOIN known ON contains(' ' || h || ' ', ' ' || p || ' ')"
+    f" UNION ALL SELECT col_id, model, field, 0.95, 'label', 4 FROM cols JOIN kb ON {_header('header')} = {_header('label')}"
+    f" UNION ALL SELECT col_id, model, field, 0.9, 'compound', 5 FROM cols JOIN kb ON {slug('header')} = concat_ws('_', {slug('model')}, field)"
+)
+HYBRID = f", h AS (SELECT col_id, {_header('header')} AS h FROM cols), known AS (SELECT DISTINCT {_header('pattern')} AS p, model, field FROM (SELECT {', '.join(f'{e} AS {k}' for k, e in KNOWN.items())} FROM part)) SELECT col_id, model, field, CAST(confidence AS DOUBLE) AS confidence, method FROM (SELECT *, row_number() OVER (PARTITION BY col_id ORDER BY tier, model, field) AS n FROM ({TIERS})) WHERE n = 1"
 
 
 @query("C33_match_hybrid", f"{BASE} {HYBRID}")
 def match_hybrid(spark, d):
-    """The first tier that hits: field name, label, model and name together."""
-    x, k = cols(spark, d), kb(spark, d)
-    exact = op.exact_name(x, k)
-    tier = lambda t, n, name, conf: t.select("col_id", "model", "field", F.lit(conf).alias("confidence"), F.lit(name).alias("method"), F.lit(n).alias("tier"))
-    all_ = tier(exact.where("confidence = 1.0"), 1, "field_name", 1.0).union(tier(op.label(x, k), 2, "label", 0.95)).union(tier(exact.where("confidence < 1.0"), 3, "compound", 0.9))
-    best = all_.groupBy("col_id").agg(F.min(F.struct("tier", "model", "field", "confidence", "method")).alias("b"))
-    return best.select("col_id", "b.model", "b.field", "b.confidence", "b.method")
+    known = table(spark, d, "part").selectExpr(*[f"{e} AS {k}" for k, e in KNOWN.items()])
+    return op.hybrid(cols(spark, d), kb(spark, d), known)
 
 
-BEST = f"SELECT col_id, model, field, confidence FROM (SELECT col_id, model, field, round(n / nc, 6) AS confidence, row_number() OVER (PARTITION BY col_id ORDER BY n / nc DESC, model, field) AS r FROM ({SHARED})) WHERE r = 1"
+SCORED = f"SELECT col_id, model, field, CASE WHEN h = f THEN 1.0 WHEN contains(' ' || h || ' ', ' ' || f || ' ') OR contains(' ' || f || ' ', ' ' || h || ' ') THEN 0.8 ELSE round(len(list_intersect(ct, kt)) / len(ct), 6) END AS confidence FROM (SELECT col_id, {_header('header')} AS h, {TOK.format(_header('header'))} AS ct FROM cols) JOIN (SELECT model, field, {_header('field')} AS f, {TOK.format(_header('field'))} AS kt FROM kb) ON len(list_intersect(ct, kt)) > 0"
+BEST = f"SELECT col_id, model, field, confidence FROM (SELECT *, row_number() OVER (PARTITION BY col_id ORDER BY confidence DESC, model, field) AS r FROM ({SCORED})) WHERE r = 1"
 
 
 @query("C34_best_match", f"{BASE} {BEST}")
 def best_match(spark, d):
-    x = cols(spark, d).select("col_id", op.tokens(c("header")).alias("ct"))
-    k = kb(spark, d).select("model", "field", op.tokens(c("field")).alias("kt"))
-    n = x.withColumn("t", F.explode("ct")).join(k.withColumn("t", F.explode("kt")), "t").groupBy("col_id", "model", "field").agg((F.count("*") / F.first(F.size("ct"))).alias("s"))
-    b = n.groupBy("col_id").agg(F.min(F.struct((-c("s")).alias("neg"), "model", "field")).alias("b"))
-    return b.select("col_id", "b.model", "b.field", F.round(-c("b.neg"), 6).alias("confidence"))
+    return op.best_match(cols(spark, d), kb(spark, d))
 
 
 @query("C38_kb_load", "WITH f AS (SELECT p_name AS label, p_type AS description, p_partkey AS k FROM part), m AS (SELECT DISTINCT p_type AS description FROM part WHERE p_size < 3) SELECT f.description IS NOT NULL AND m.description IS NOT NULL AS loaded, count(*) AS n FROM f LEFT JOIN m ON f.description = m.description AND f.k % 7 <> 0 GROUP BY 1")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -308,13 +307,15 @@ def apply_field_mappings(spark, d):
     return partners(spark, d).select("id", *[F.expr(e).alias(k) for k, e in specs])
 
 
-@query("J2_remap_function", f"SELECT p_partkey, upper(p_brand[1:1]) || reverse(p_brand[2:]) AS out FROM part")
+@query("J2_remap_function", "SELECT p_partkey, CASE WHEN p_size > 5 THEN 'size ' || CAST(100 // (p_size - 5) AS VARCHAR) WHEN p_size < 5 THEN 'below' ELSE '5' END AS out FROM part")
 def remap_function(spark, d):
-    @F.pandas_udf("string")
-    def user(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: x[:1].upper() + x[:0:-1] if x else None)
+    """A user function that fails on one of the sizes, which stays as it was."""
 
-    return table(spark, d, "part").select("p_partkey", F.coalesce(user("p_brand"), "p_brand").alias("out"))
+    def user(x: str) -> str:
+        share = 100 // (int(x) - 5)
+        return f"size {share}" if share >= 0 else "below"
+
+    return table(spark, d, "part").select("p_partkey", op.remap_function(c("p_size").cast("string"), user).alias("out"))
 
 
 @query("D36_filter_group_mean", "SELECT l_returnflag, CAST(round(avg(CAST(l_quantity AS DECIMAL(15,2))), 4) AS DOUBLE) AS mean FROM lineitem WHERE l_quantity > 10 GROUP BY l_returnflag")

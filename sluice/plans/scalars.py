@@ -149,7 +149,9 @@ add("S12_collapse_spaces", {"out": (lambda: F.md5(text.collapse_spaces(c("text")
 
 
 def _unescape_sql(x: str) -> str:
-    out = rf"array_to_string([CASE WHEN regexp_full_match(p, '&#[0-9]{{1,6}};') THEN chr(CAST(regexp_extract(p, '[0-9]+') AS INTEGER)) ELSE p END FOR p IN regexp_extract_all({x}, '(&#[0-9]{{1,6}};|[^&]+|&)')], '')"
+    code = "CASE WHEN regexp_full_match(p, '&#[0-9]{1,7};') THEN CAST(regexp_extract(p, '[0-9]+') AS INTEGER) WHEN regexp_full_match(p, '&#[xX][0-9a-fA-F]{1,6};') THEN CAST('0x' || regexp_extract(p, '[xX]([0-9a-fA-F]+)', 1) AS INTEGER) END"
+    valid = f"({code}) BETWEEN 1 AND 55295 OR ({code}) BETWEEN 57344 AND 1114111"
+    out = f"array_to_string([CASE WHEN {valid} THEN chr({code}) ELSE p END FOR p IN regexp_extract_all({x}, '(&#[0-9]{{1,7}};|&#[xX][0-9a-fA-F]{{1,6}};|[^&]+|&)')], '')"
     for name, value in text.ENTITIES.items():
         out = f"replace({out}, '&{name};', {q(value)})"
     return out

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sluice.functions import contact, dates, keys, numbers, text
-from sluice.operators import reshape
+from sluice.operators import matching, reshape
 
 
 def values(spark, fn, items):
@@ -73,3 +73,22 @@ def test_unknown_transform_is_an_error(spark):
 def test_trim_takes_white_space_of_any_kind(spark):
     row = spark.createDataFrame([("\u00a0\u2003 a\u2003\u00a0 b\u00a0",)], "t string").select(text.trim(F.col("t")).alias("x"), text.collapse_spaces(F.col("t")).alias("y")).first()
     assert (row.x, row.y) == ("a\u2003\u00a0 b", "a b")
+
+
+def test_html_references(spark):
+    cases = {"&#8364;5": "€5", "&#x20AC;&#X41;": "€A", "&#128512;": "😀", "&#0;&#xD800;&#1114112;": "&#0;&#xD800;&#1114112;", "&amp;#65; &amp;lt;": "&#65; &lt;", "a & b &#; &x;": "a & b &#; &x;", "": "", None: None}
+    assert values(spark, text.html_unescape, list(cases)) == list(cases.values())
+
+
+def test_a_failing_user_function_changes_nothing(spark):
+    assert values(spark, lambda c: reshape.remap_function(c, lambda x: str(10 // int(x)) if x != "9" else None), ["5", "0", "x", "9", None]) == ["2", "0", "x", "9", None]
+
+
+def test_best_match_and_tiers(spark):
+    kb = spark.createDataFrame([("sale", "order_date", "Date of order"), ("sale", "amount", "Total"), ("base", "zip", "Post code")], "model string, field string, label string")
+    cols = spark.createDataFrame(list(enumerate(["Order Date", "the order date", "date sent", "Post Code", "sale amount", "my mail x", "mail", "none", "", None])), "col_id int, header string")
+    known = spark.createDataFrame([("Mail", "base", "email"), ("", "base", "nothing")], "pattern string, model string, field string")
+    best = {r.col_id: (r.field, r.confidence) for r in matching.best_match(cols, kb).collect()}
+    assert best == {0: ("order_date", 1.0), 1: ("order_date", 0.8), 2: ("order_date", 0.5), 4: ("amount", 0.8)}
+    tiers = {r.col_id: (r.field, r.confidence, r.method) for r in matching.hybrid(cols, kb, known).collect()}
+    assert tiers == {0: ("order_date", 1.0, "field_name"), 3: ("zip", 0.95, "label"), 4: ("amount", 0.9, "compound"), 5: ("email", 0.9, "substring"), 6: ("email", 1.0, "pattern")}
