@@ -19,7 +19,8 @@ SIMILARITY = 0.75
 #: bits on average with a deviation of 3.
 RADIUS = 20
 LANES = 0x0000000100000001
-#: Distinct shingles of items that are broadcast at most; more meet the documents' in a shuffled join.
+#: Distinct shingles of items, and ids of documents, that are broadcast at most; more are met in a
+#: shuffled join.
 KNOWN = 1_000_000
 
 
@@ -92,8 +93,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILA
     met = hits.join(item_shingles.select("shingle", "q", *of).distinct(), "shingle").where(~short | (F.col("m") / of_item >= similarity))
     starts = met.select(*at, *of, F.when(short, F.lit(0)).otherwise(slack).alias("slack"), F.when(short, F.lit(0)).otherwise(F.col("p") - F.col("q")).alias("at")).distinct()
     starts = saved(starts.select(*at, *of, F.explode(F.sequence(F.greatest(F.col("at") - F.col("slack"), F.lit(0)), F.greatest(F.col("at") + F.col("slack"), F.lit(0)))).alias("start")).distinct(), "leak-starts")
-    wanted = starts.select(*at, "start", "n").distinct().groupBy("doc_id", "row").agg(F.collect_set(F.struct("start", "n")).alias("windows"))
-    found = d.withColumn("row", F.xxhash64("text")).distinct().join(wanted, ["doc_id", "row"]).select("doc_id", "row", shingles_of(words_of(F.col("text"))).alias("shingles"), "windows")
+    wanted = saved(starts.groupBy("doc_id", "row").agg(F.collect_set(F.struct("start", "n")).alias("windows")), "leak-wanted")
+    # Texts without a window are left behind before texts are shuffled.
+    texts = d.withColumn("row", F.xxhash64("text")).join(checked_broadcast(wanted.select(*at), KNOWN), at, "left_semi").dropDuplicates(at)
+    found = texts.join(wanted, at).select(*at, shingles_of(words_of(F.col("text"))).alias("shingles"), "windows")
     fits = F.filter("windows", lambda w: (w["start"] == 0) | (w["start"] + w["n"] <= F.size("shingles") + (SHINGLE - 1)))
     cut = F.transform(fits, lambda w: F.struct(w["start"].alias("start"), w["n"].alias("n"), F.slice("shingles", w["start"] + 1, w["n"] - (SHINGLE - 1)).alias("shingles")))
     windows = saved(found.select("doc_id", "row", F.explode(cut).alias("w")).select("doc_id", "row", "w.start", "w.n", "w.shingles"), "leak-windows")
