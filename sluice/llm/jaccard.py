@@ -364,7 +364,6 @@ def links(docs: DataFrame, surveyed: DataFrame, classes: DataFrame) -> DataFrame
     found = verified(first, sets)
     at = long.select("key", "class", "n", *TAILS, F.col("class").alias("component"))
     for k in range(ROUNDS):
-        at = saved(at, "jaccard-mixed")
         if k and at.isEmpty():
             break
         hub, step = F.struct("class", "n", "component"), F.floor(F.log("n") / float(np.log(1 / THRESHOLD)) * STEPS).cast("int")
@@ -376,11 +375,13 @@ def links(docs: DataFrame, surveyed: DataFrame, classes: DataFrame) -> DataFrame
             met = at.withColumn("at", F.explode(F.array(*[step - i for i in range(STEPS + 1)]))).join(drawn, ["key", "at"])
         pairs = met.where((F.col("component") != F.col("d.component")) & fits("n", "d.n"))
         pairs = pairs.select(F.least("class", "d.class").alias("a"), F.greatest("class", "d.class").alias("b")).distinct()
-        found = found.union(verified(possible(pairs, classes), sets))
+        new = verified(possible(pairs, classes), sets)
+        if k and new.isEmpty():
+            continue
+        found = found.union(new)
         joined = components(found)
-        at = still_mixed(at, joined)
+        at = saved(still_mixed(at, joined), "jaccard-mixed")
         release(spark)
-    joined = components(found)
     rest = apart(near, joined)
     x, y = (at.select("key", F.col("class").alias(c), F.col("n").alias(f"n{c}"), F.col("component").alias(f"c{c}"), *[F.col(t).alias(t + c) for t in TAILS]) for c in "ab")
     # If this key is the first common one, no more are common than either has from here on.
