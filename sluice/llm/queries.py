@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard, langid, mixing, oracle, repair, secrets, substrings, suffixes, urls, vectors, warc, wrappers
+from . import alignment, decontaminate, jaccard, langid, mixing, oracle, repair, secrets, substrings, suffixes, urls, vectors, warc, wrappers
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_secrets": secrets.op8_secrets,
     "op9_substrings": substrings.op9_substrings,
     "op10_decontaminate": decontaminate.op10_decontaminate,
+    "op11_alignment": alignment.op11_alignment,
     "op12_suffixes": suffixes.op12_suffixes,
     "op13_conversations": repair.op13_conversations,
 }
