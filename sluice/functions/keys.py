@@ -60,7 +60,7 @@ def key_lead(external: Column, partner: Column, name: Column, email: Column, cre
     has = _set(name) & created.isNotNull()
     return F.md5(
         F.when(_set(external), F.concat(F.lit("ext_id:"), external))
-        .when(partner.isNotNull() & (partner != 0) & has, F.concat(F.lit("partner_name_date:"), partner.cast("string"), F.lit("|"), normalize_string(name), F.lit("|"), week))
+        .when(partner.isNotNull() & (partner.cast("string") != "0") & has, F.concat(F.lit("partner_name_date:"), partner.cast("string"), F.lit("|"), normalize_string(name), F.lit("|"), week))
         .when(_set(email) & has, F.concat(F.lit("email_name_date:"), F.lower(trim(email)), F.lit("|"), normalize_string(name), F.lit("|"), week))
         .otherwise(F.concat_ws("|", _named(partner), _named(name), _named(email), _named(F.date_format(created, "yyyy-MM-dd"))))
     )

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,57 +63,11 @@ def vocab_alias(df: DataFrame, column: str, company: str, aliases: DataFrame) ->
     return out.withColumn("canonical", F.coalesce("_v", "_gv")).drop("_a", "_co", "_v", "_ga", "_gv")
 
 
-def jaro_winkler(a: str | Column, b: str | Column) -> Column:
-    """Jaro–Winkler similarity, prefix scale 0.1 over at most four characters from a Jaro of 0.7; an
-    Arrow function, as Spark has none. It runs after blocking, once per distinct pair of a batch."""
-    return F.pandas_udf(_similarities, "double")(a, b)
-
-
-def _similarities(a: pd.Series, b: pd.Series) -> pd.Series:
-    known: dict[tuple, float | None] = {}
-    out = []
-    for pair in zip(a, b, strict=True):
-        if pair not in known:
-            known[pair] = None if pair[0] is None or pair[1] is None else _jaro_winkler(*pair)
-        out.append(known[pair])
-    return pd.Series(out, dtype="float64")
-
-
-def _jaro_winkler(a: str, b: str) -> float:
-    if a == b:
-        return 1.0
-    if not a or not b:
-        return 0.0
-    reach = max(len(a), len(b)) // 2 - 1
-    used, left = [False] * len(b), []
-    for i, x in enumerate(a):
-        for j in range(max(0, i - reach), min(len(b), i + reach + 1)):
-            if not used[j] and b[j] == x:
-                used[j] = True
-                left.append(x)
-                break
-    m = len(left)
-    if not m:
-        return 0.0
-    right = [x for x, u in zip(b, used, strict=True) if u]
-    swaps = sum(x != y for x, y in zip(left, right, strict=True)) // 2
-    jaro = (m / len(a) + m / len(b) + (m - swaps) / m) / 3
-    prefix = next((i for i, (x, y) in enumerate(zip(a[:4], b[:4], strict=False)) if x != y), min(4, len(a), len(b)))
-    return jaro + prefix * 0.1 * (1 - jaro) if jaro > 0.7 else jaro
-
-
 def levenshtein_ratio(a: Column, b: Column) -> Column:
     longest = F.greatest(F.length(a), F.length(b))
     return F.when(longest == 0, 1.0).otherwise(1 - F.levenshtein(a, b) / longest)
 
 
-def fuzzy_candidates(source: DataFrame, canon: DataFrame, block: Column, canon_block: Column) -> DataFrame:
-    """Pairs of one block: source columns as they are, those of canon with the prefix c_. Blocks are an
-    equi join, which adaptive execution splits where one is large."""
-    right = canon.withColumn("_block", canon_block).select("_block", *[F.col(x).alias(f"c_{x}") for x in canon.columns])
-    return source.withColumn("_block", block).join(right, "_block").drop("_block")
-
-
 def decide(candidates: DataFrame, source: str, score: str, entity: str) -> DataFrame:
     """(source, n_auto, n_review, decision): one automatic match decides, several or only reviewable
     ones don't, none creates."""

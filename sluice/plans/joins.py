@@ -6,8 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import keys, text
 from ..operators import resolve as op
-from ..sources.shared import stored
-from .registry import PARTNERS, partners, query, table
+from .registry import query, table
 from .scalars import normal, trim
 
 c = F.col
@@ -161,64 +160,6 @@ def natural_key_lookup(spark, d):
     return cust.join(cust.where("c_custkey % 2 = 0").select(c("c_custkey").alias("match_id"), "k"), "k", "left").select("c_custkey", "match_id")
 
 
-# Companies: names of a stem and a number, some with a typo. A block is the nation and the street number
-# of the address, so blocks stay small as the table grows.
-STEM = "CASE c_nationkey % 5 WHEN 0 THEN 'north wind' WHEN 1 THEN 'global parts' WHEN 2 THEN 'blue ocean' WHEN 3 THEN 'iron gate' ELSE 'silver line' END"
-ADDRESS = "concat(CAST(floor(c_custkey / 40) AS INT), ' {} street ', c_nationkey)"
-CANON = f"SELECT c_custkey AS id, concat({STEM}, ' ', c_custkey) AS name, {ADDRESS.format('main')} AS addr, concat(c_nationkey, '|', CAST(floor(c_custkey / 40) AS INT)) AS block, concat('m', c_custkey, '@x.org') AS email, CAST(c_custkey % 60 AS INT) AS day FROM customer"
-SOURCE = f"SELECT c_custkey AS id, CASE WHEN c_custkey % 8 = 0 THEN replace(concat({STEM}, ' ', c_custkey), 'n', 'm') ELSE concat({STEM}, ' ', c_custkey) END AS name, {ADDRESS.format('maim')} AS addr, concat(c_nationkey, '|', CAST(floor(c_custkey / 40) AS INT)) AS block, CASE WHEN c_custkey % 3 = 0 THEN concat('m', c_custkey, '@x.org') ELSE 'none' END AS email, CAST(c_custkey % 50 AS INT) AS day FROM customer"
-PAIRS = f"WITH s AS ({SOURCE}), t AS ({CANON}), pairs AS (SELECT s.id, t.id AS c_id, s.name, t.name AS c_name, s.addr, t.addr AS c_addr, s.email, t.email AS c_email, s.day, t.day AS c_day FROM s JOIN t ON s.block = t.block)"
-
-
-def sides(spark, d):
-    """Every customer, and every customer once more as an altered copy."""
-    cust = table(spark, d, "customer")
-    k = c("c_custkey")
-    name = F.concat(F.expr(STEM), F.lit(" "), k)
-    street = F.floor(k / 40).cast("int")
-    block = F.concat_ws("|", "c_nationkey", street)
-    canon = cust.select(k.alias("id"), name.alias("name"), F.concat(street, F.lit(" main street "), c("c_nationkey")).alias("addr"), block.alias("block"), F.concat(F.lit("m"), k, F.lit("@x.org")).alias("email"), (k % 60).cast("int").alias("day"))
-    source = cust.select(k.alias("id"), F.when(k % 8 == 0, F.translate(name, "n", "m")).otherwise(name).alias("name"), F.concat(street, F.lit(" maim street "), c("c_nationkey")).alias("addr"), block.alias("block"), F.when(k % 3 == 0, F.concat(F.lit("m"), k, F.lit("@x.org"))).otherwise("none").alias("email"), (k % 50).cast("int").alias("day"))
-    return source, canon
-
-
-def pairs(spark, d):
-    source, canon = sides(spark, d)
-    return op.fuzzy_candidates(source, canon, c("block"), c("block"))
-
-
-LEV = "CASE WHEN greatest(length(addr), length(c_addr)) = 0 THEN 1.0 ELSE 1 - levenshtein(addr, c_addr) / greatest(length(addr), length(c_addr)) END"
-COMPANY = f"round(0.7 * jaro_winkler_similarity(name, c_name) + 0.3 * ({LEV}), 6)"
-
-
-def company_scores(spark, d):
-    score = F.round(0.7 * op.jaro_winkler("name", "c_name") + 0.3 * op.levenshtein_ratio(c("addr"), c("c_addr")), 6)
-    return pairs(spark, d).select("id", "c_id", score.alias("score"))
-
-
-@query("J3_jaro_winkler", f"{PAIRS} SELECT id, c_id, round(jaro_winkler_similarity(name, c_name), 6) AS similarity FROM pairs")
-def jaro_winkler(spark, d):
-    return pairs(spark, d).select("id", "c_id", F.round(op.jaro_winkler("name", "c_name"), 6).alias("similarity"))
-
-
-@query("C17_fuzzy_match_company", f"{PAIRS} SELECT id, c_id, {COMPANY} AS score FROM pairs WHERE {COMPANY} >= 0.70")
-def fuzzy_match_company(spark, d):
-    return company_scores(spark, d).where("score >= 0.70")
-
-
-@query("C18_fuzzy_match_contact", f"{PAIRS} SELECT id, c_id, round(0.5 * jaro_winkler_similarity(name, c_name) + CASE WHEN email = c_email THEN 0.5 ELSE 0.0 END, 6) AS score FROM pairs")
-def fuzzy_match_contact(spark, d):
-    score = 0.5 * op.jaro_winkler("name", "c_name") + F.when(c("email") == c("c_email"), 0.5).otherwise(0.0)
-    return pairs(spark, d).select("id", "c_id", F.round(score, 6).alias("score"))
-
-
-@query("C19_fuzzy_match_lead", f"{PAIRS} SELECT id, c_id, round(0.4 * jaro_winkler_similarity(name, c_name) + CASE WHEN email = c_email THEN 0.4 ELSE 0.0 END + 0.2 * greatest(0, 1 - abs(day - c_day) / 30), 6) AS score FROM pairs")
-def fuzzy_match_lead(spark, d):
-    near = F.greatest(F.lit(0.0), 1 - F.abs(c("day") - c("c_day")) / 30)
-    score = 0.4 * op.jaro_winkler("name", "c_name") + F.when(c("email") == c("c_email"), 0.4).otherwise(0.0) + 0.2 * near
-    return pairs(spark, d).select("id", "c_id", F.round(score, 6).alias("score"))
-
-
 @query("C20_fuzzy_match_vocab", f"SELECT DISTINCT p_type, v.name AS vocab FROM part, (VALUES ('STANDRD'), ('PROMOS'), ('Economiy!')) v(name) WHERE 1 - levenshtein({normal('p_type')}, {normal('v.name')}) / greatest(length({normal('p_type')}), length({normal('v.name')})) >= 0.85".replace("levenshtein(", "levenshtein("))
 def fuzzy_match_vocab(spark, d):
     vocab = spark.createDataFrame([("STANDRD",), ("PROMOS",), ("Economiy!",)], "vocab string").withColumn("v", text.normalize_string(c("vocab")))
@@ -227,14 +168,6 @@ def fuzzy_match_vocab(spark, d):
     return values.join(F.broadcast(vocab), op.levenshtein_ratio(c("n"), c("v")) >= 0.85).select("p_type", "vocab")
 
 
-DECIDE = f"SELECT id, count(*) FILTER (WHERE score >= 0.85) AS n_auto, count(*) FILTER (WHERE score >= 0.70 AND score < 0.85) AS n_review FROM (SELECT id, {COMPANY} AS score FROM pairs) GROUP BY id"
-
-
-@query("C21_decide_match", f"{PAIRS} SELECT *, CASE WHEN n_auto = 1 THEN 'fuzzy_match' WHEN n_auto > 1 OR n_review > 0 THEN 'multi_match' ELSE 'create' END AS decision FROM ({DECIDE})")
-def decide_match(spark, d):
-    return op.decide(company_scores(spark, d), "id", "score", "company")
-
-
 CHANGED = "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN upper(c_name) || '!' ELSE c_name END AS c_name, c_nationkey FROM customer WHERE c_custkey % 2 = 0"
 
 
@@ -285,15 +218,3 @@ def resolve_relations(spark, d):
     known = o.where("o_orderkey % 2 = 0").select("o_orderkey", F.lit(True).alias("known"))
     r = op.resolve_fk(o, keymap(spark, d), "partner", "res.partner").join(known, "o_orderkey", "left")
     return r.select("o_orderkey", "partner", F.when(~c("partner").startswith("partner_"), "quarantined").when(c("known"), "update").otherwise("create").alias("action"))
-
-
-@query("P5_resolve_entities", f"{PAIRS}, keyed AS (SELECT id, md5(name) AS k FROM s), canon AS (SELECT id AS c_id, md5(name) AS k FROM t), exact AS (SELECT id, c_id FROM keyed JOIN canon USING (k)), rest AS (SELECT id, CASE WHEN n_auto = 1 THEN 'fuzzy_match' WHEN n_auto > 1 OR n_review > 0 THEN 'multi_match' ELSE 'create' END AS decision FROM ({DECIDE})) SELECT s.id, CASE WHEN s.id IN (SELECT id FROM exact) THEN 'natural_key' ELSE coalesce((SELECT decision FROM rest WHERE rest.id = s.id), 'create') END AS method FROM s")
-def resolve_entities(spark, d):
-    """Equal natural keys first, then blocked fuzzy scores for the rest, then a decision."""
-    source, canon = sides(spark, d)
-    exact = source.select("id", F.md5("name").alias("k")).join(canon.select(F.md5("name").alias("k")), "k").select("id", F.lit("natural_key").alias("exact")).distinct()
-    left = source.join(exact, "id", "left_anti")
-    scored = op.fuzzy_candidates(left, canon, c("block"), c("block"))
-    scored = scored.select("id", F.round(0.7 * op.jaro_winkler("name", "c_name") + 0.3 * op.levenshtein_ratio(c("addr"), c("c_addr")), 6).alias("score"))
-    decided = stored(op.decide(scored, "id", "score", "company").select("id", "decision"), "decided")
-    return source.select("id").join(exact, "id", "left").join(decided, "id", "left").select("id", F.coalesce("exact", "decision", F.lit("create")).alias("method"))

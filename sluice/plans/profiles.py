@@ -94,6 +94,7 @@ def _p(k: str) -> str:
 
 
 PROFILED = "count(*) AS n, count(*) FILTER (WHERE {c} IS NULL) AS n_null, count(DISTINCT {c}) AS n_distinct, round(count(DISTINCT {c}) / count({c}), 6) AS uniqueness, " + TYPES + ", min(length({c})) AS min_length, max(length({c})) AS max_length, {num}, " + ", ".join(f"CASE WHEN {_p(k)} >= 0.2 THEN {_p(k)} END AS p_{k}" for k in ("email", "phone", "url", "currency")) + f", CASE WHEN greatest({_p('date_iso')}, {_p('date_us')}, {_p('date_eu')}) >= 0.2 THEN greatest({_p('date_iso')}, {_p('date_us')}, {_p('date_eu')}) END AS p_date"
+MEDIAN = "median(CAST({c} AS DOUBLE)) AS median"
 NO_STATS = "CAST(NULL AS DOUBLE) AS min, CAST(NULL AS DOUBLE) AS max, CAST(NULL AS DOUBLE) AS mean"
 STATS = "min(CAST({c} AS DOUBLE)) AS min, max(CAST({c} AS DOUBLE)) AS max, CAST(round(avg(CAST({c} AS DECIMAL(18,4))), 4) AS DOUBLE) AS mean"
 PROFILE = each(PROFILED.replace("{num}", NO_STATS))
@@ -111,9 +112,9 @@ TEXTS = ["l_returnflag", "l_linestatus", "l_shipdate"]
 LINES = "WITH l AS (SELECT " + ", ".join(f"CAST({x} AS VARCHAR) AS {x}" for x in NUMBERS + TEXTS) + " FROM lineitem)"
 
 
-@query("D11_profile_lineitem", each(PROFILED.replace("{num}", STATS), NUMBERS, "l", LINES) + " UNION ALL " + each(PROFILED.replace("{num}", NO_STATS), TEXTS, "l", ""))
+@query("D11_profile_lineitem", each(PROFILED.replace("{num}", f"{STATS}, {MEDIAN}"), NUMBERS, "l", LINES) + " UNION ALL " + each(PROFILED.replace("{num}", f"{NO_STATS}, CAST(NULL AS DOUBLE) AS median"), TEXTS, "l", ""))
 def profile_lineitem(spark, d):
-    return op.profile(table(spark, d, "lineitem"), NUMBERS + TEXTS)
+    return op.profile(table(spark, d, "lineitem"), NUMBERS + TEXTS, median=True)
 
 
 @query("D12_profile_lengths", each("min(length({c})) AS min_length, max(length({c})) AS max_length, round(avg(length({c})), 6) AS mean_length", ["p_name", "p_brand", "p_type"], "part", ""))
