@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import html
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,8 +14,6 @@ LEGAL_SUFFIXES = ("llc", "inc", "corp", "ltd", "limited", "corporation", "compan
 TITLES = ("Dr", "Mr", "Ms", "Mrs", "Prof", "Rev", "Sr", "Jr")
 #: Abbreviations in headers.
 ABBREVIATIONS = {"amt": "amount", "qty": "quantity", "desc": "description", "addr": "address", "tel": "telephone", "num": "number", "ref": "reference", "cust": "customer", "prod": "product"}
-#: Named character references that Column expressions decode; others need the Arrow function.
-ENTITIES = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "copy": "©", "reg": "®", "euro": "€", "pound": "£", "middot": "·", "ndash": "–", "mdash": "—", "hellip": "…", "eacute": "é", "amp": "&"}
 ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ"
 PLAIN = "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY"
 
@@ -61,20 +61,16 @@ def extract(c: Column, pattern: str, group: int = 0) -> Column:
     return F.coalesce(F.regexp_extract(c, pattern, group), F.lit(""))
 
 
+def _references(c: pd.Series) -> pd.Series:
+    return c.map(html.unescape, na_action="ignore")
+
+
 def html_unescape(c: Column) -> Column:
-    """Decodes decimal and hexadecimal references and the names in ENTITIES (`&amp;` last, so nothing is
-    decoded twice). A reference to no character (0, a surrogate, beyond 10FFFF) stays as it is."""
-    pieces = F.regexp_extract_all(c, F.lit(r"(&#[0-9]{1,7};|&#[xX][0-9a-fA-F]{1,6};|[^&]+|&)"), 1)
-
-    def character(p: Column) -> Column:
-        decimal, hexadecimal = F.regexp_extract(p, r"^&#([0-9]{1,7});$", 1), F.regexp_extract(p, r"^&#[xX]([0-9a-fA-F]{1,6});$", 1)
-        code = F.when(decimal != "", decimal.cast("long")).when(hexadecimal != "", F.conv(hexadecimal, 16, 10).cast("long"))
-        valid = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
-        # char() takes its argument modulo 256, so the code point is decoded from its four bytes.
-        return F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise(p)
-
-    decoded = F.array_join(F.transform(pieces, character), "")
-    return reduce(lambda x, e: F.replace(x, F.lit(f"&{e[0]};"), F.lit(e[1])), ENTITIES.items(), decoded)
+    """Decodes character references of HTML 5 once: decimal, hexadecimal, and all names, the longest that
+    fits, with or without semicolon where HTML lets it be left out. Text without an ampersand isn't sent
+    to the Arrow function."""
+    asked = F.contains(c, F.lit("&"))
+    return F.when(asked, F.pandas_udf(_references, "string")(F.when(asked, c))).otherwise(c)
 
 
 def normalize_string(c: Column) -> Column:

@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,8 +17,6 @@ COMPATIBLE = {
     "date": ("date", "datetime", "char", "text"),
     "string": ("char", "text", "selection", "many2one", "one2many", "many2many", "html", "binary", "reference"),
 }
-#: Fields that a pattern is known for.
-PATTERN_FIELDS = {"email": ("email", "email_from"), "phone": ("phone", "mobile"), "url": ("website",), "currency": ("amount_total", "list_price"), "date": ("date_order", "create_date")}
 #: Words of headers, counted as metadata where they stand in a first line.
 METADATA = r"exported|generated|report date|created on|©|copyright"
 
@@ -54,29 +50,6 @@ def context(cols: DataFrame, kb: DataFrame, least: float = 0.3) -> DataFrame:
     return shared.withColumn("s", score).where(F.col("s") >= least).select("col_id", "model", "field", F.round(F.col("s") * 0.85, 6).alias("confidence"), F.lit("context").alias("strategy"))
 
 
-def _ratios(a: pd.Series, b: pd.Series) -> pd.Series:
-    known: dict[tuple, float | None] = {}
-    for pair in set(zip(a, b, strict=True)):
-        known[pair] = None if None in pair else SequenceMatcher(None, *pair).ratio()
-    return pd.Series([known[p] for p in zip(a, b, strict=True)], dtype="float64")
-
-
-def sequence_ratio(a: str | Column, b: str | Column) -> Column:
-    """Matching blocks of two texts, as an Arrow function over distinct pairs."""
-    return F.pandas_udf(_ratios, "double")(a, b)
-
-
-def fuzzy(cols: DataFrame, kb: DataFrame, least: float = 0.6) -> DataFrame:
-    """0.5 sequence ratio + 0.3 token Jaccard + 0.2 containment, for pairs that share a token."""
-    c = cols.select("col_id", text.normalize_header(F.col("header")).alias("h"), tokens(F.col("header")).alias("ct"))
-    k = kb.select("model", "field", text.normalize_header(F.col("field")).alias("f"), tokens(F.col("field")).alias("kt"))
-    pairs = c.withColumn("t", F.explode("ct")).join(k.withColumn("t", F.explode("kt")), "t").groupBy("col_id", "model", "field", "h", "f").agg(F.count("*").alias("n"), F.first(F.size("ct")).alias("nc"), F.first(F.size("kt")).alias("nk"))
-    jaccard = F.col("n") / (F.col("nc") + F.col("nk") - F.col("n"))
-    inside = (F.contains("h", F.col("f")) | F.contains("f", F.col("h"))).cast("double")
-    score = 0.5 * sequence_ratio("h", "f") + 0.3 * jaccard + 0.2 * inside
-    return pairs.withColumn("s", score).where(F.col("s") >= least).select("col_id", "model", "field", F.round(F.col("s") * 0.85, 6).alias("confidence"), F.lit("fuzzy").alias("strategy"))
-
-
 def merge_candidates(found: DataFrame) -> DataFrame:
     """The best confidence of a field, and up to 0.1 more for further strategies."""
     g = found.groupBy("col_id", "model", "field").agg(F.max("confidence").alias("best"), F.countDistinct("strategy").alias("n"), F.array_join(F.array_sort(F.collect_set("strategy")), ",").alias("strategies"))
@@ -118,16 +91,6 @@ def promote_header(lines: DataFrame, first: int = 10, accept: int = 50) -> DataF
     return best.select("file", F.when(ok, -F.col("b.l")).otherwise(0).cast("int").alias("header_line"), F.array_join(header, ",").alias("header"))
 
 
-def pivot_groups(headers: DataFrame) -> DataFrame:
-    """Numbered headers of a table by prefix: their indices, if those run from 0 or 1 without large gaps."""
-    h = F.lower(text.trim(F.col("header")))
-    parts = headers.select("table", F.regexp_extract(h, r"^([a-z_]+?)_(\d+)(?:_([a-z_]+))?$", 1).alias("prefix"), F.expr(r"try_cast(regexp_extract(lower(header), '_(\\d+)(?:_|$)', 1) AS int)").alias("i"), F.regexp_extract(h, r"_\d+_([a-z_]+)$", 1).alias("child")).where("prefix <> ''")
-    g = parts.groupBy("table", "prefix").agg(F.count("*").alias("n"), F.array_sort(F.collect_set("i")).alias("ix"), F.countDistinct("child").alias("fields"))
-    steps = F.transform(F.sequence(F.lit(1), F.size("ix") - 1), lambda k: F.get("ix", k) - F.get("ix", k - 1))
-    ok = (F.col("n") >= 2) & (F.size("ix") >= 2) & (F.get("ix", F.lit(0)) <= 1)
-    return g.where(ok).where(F.forall(steps, lambda s: s <= 2)).select("table", "prefix", "n", F.array_join(F.transform("ix", lambda x: x.cast("string")), ",").alias("indices"), "fields")
-
-
 def evaluate(predicted: DataFrame, truth: DataFrame, by: str) -> DataFrame:
     """accuracy, precision and recall of predictions per case."""
     both = truth.join(predicted.select("col_id", F.col("model").alias("pm"), F.col("field").alias("pf")), "col_id", "left")

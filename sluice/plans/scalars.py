@@ -148,11 +148,15 @@ add("S11_empty_to_null", {"out": (lambda: text.empty_to_null(c("name")), "nullif
 add("S12_collapse_spaces", {"out": (lambda: F.md5(text.collapse_spaces(c("text"))), f"md5({trim(gsub('text', r'\s+', ' '))})")}, **over("documents", "doc_id"))
 
 
+#: Names of character references that the given pages hold, and more.
+ENTITIES = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "copy": "©", "reg": "®", "euro": "€", "pound": "£", "middot": "·", "ndash": "–", "mdash": "—", "hellip": "…", "eacute": "é", "amp": "&"}
+
+
 def _unescape_sql(x: str) -> str:
     code = "CASE WHEN regexp_full_match(p, '&#[0-9]{1,7};') THEN CAST(regexp_extract(p, '[0-9]+') AS INTEGER) WHEN regexp_full_match(p, '&#[xX][0-9a-fA-F]{1,6};') THEN CAST('0x' || regexp_extract(p, '[xX]([0-9a-fA-F]+)', 1) AS INTEGER) END"
     valid = f"({code}) BETWEEN 1 AND 55295 OR ({code}) BETWEEN 57344 AND 1114111"
     out = f"array_to_string([CASE WHEN {valid} THEN chr({code}) ELSE p END FOR p IN regexp_extract_all({x}, '(&#[0-9]{{1,7}};|&#[xX][0-9a-fA-F]{{1,6}};|[^&]+|&)')], '')"
-    for name, value in text.ENTITIES.items():
+    for name, value in ENTITIES.items():
         out = f"replace({out}, '&{name};', {q(value)})"
     return out
 
