@@ -6,13 +6,15 @@ start somewhere else, in the same document or another.
 What a suffix array must order is found first. Each window has a minimizer, the 16-byte gram in it with
 the least hash (the leftmost of equal ones). Equal windows have equal minimizers at equal places, so all
 copies of a window meet under its gram. Consecutive windows with one gram are a segment; equal segments
-are one, with a count. Segments that are not alone under their gram are dealt into shards by gram, and a
-shard's suffix array, by linear grouping, brings equal windows together: a window recurs if its
-neighbour in the array has the same first WINDOW bytes, or if its segment does.
-
-A gram with more segments than a shard holds is split by what equal windows must share: windows whose gram
-lies about equally deep (to STEPS bytes) hold the same bytes around it, so pieces of segments are dealt
-anew by a hash of those bytes, in ever finer steps, down to single windows.
+are one, with a count. Segments that are not alone under their gram are dealt into shards by gram; the
+suffix array of a gram's segments, by linear grouping, brings equal windows together: a window recurs if
+its neighbour in the array has the same first WINDOW bytes, or if its segment does. The arrays of a
+shard are built side by side.
+
+A gram with more than a few segments, be it a hot one, is split by what equal windows must share: windows
+whose gram lies about equally deep (to STEPS bytes) hold the same bytes around it, so pieces of segments
+are dealt anew by a hash of those bytes, in ever finer steps, down to single windows. Pieces that are all
+equal recur as they are, if there are two.
 """
 
 from __future__ import annotations
@@ -27,21 +29,22 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Filter, discard, mixed, saved, table, tune
+from .common import Filter, discard, mixed, release, saved, table, tune
 
 WINDOW, GRAM = 400, 16
 #: Grams of a window.
 SPAN = WINDOW - GRAM + 1
 #: Windows of a segment at most; bytes that are looked at in one go.
 LONGEST, CHUNK = WINDOW, 1 << 22
-#: Pieces that one shard may take of one group, and bytes of a shard aimed at.
-PIECES, SHARD = 400, 400_000
-#: Depths of a gram that count as one when a hot gram is split, step by step.
-STEPS = (49, 7, 1)
+#: Bytes of a shard aimed at.
+SHARD = 2_000_000
+#: Pieces that a part may have before it is split, and depths of a gram that count as one when it is; after
+#: the last split a part is a single window.
+STEPS = ((8, 49), (64, 7), (256, 1))
 
 
-def suffix_array(text: list[int]) -> list[int]:
-    """The suffix array of text and a least end symbol, by linear grouping construction.
+def suffix_arrays(texts: list[np.ndarray]) -> list[np.ndarray]:
+    """The suffix array of each text, a least end symbol after it, by linear grouping construction.
 
     First phase: suffixes are grouped by first symbol, and groups are taken from the highest to the
     lowest. Each member's previous smaller suffix, the nearest one to its left that is still in a lower
@@ -49,98 +52,147 @@ def suffix_array(text: list[int]) -> list[int]:
     for new ones right above it, one per number of pointers. In the end each group holds the suffixes
     of one Lyndon prefix. Second phase: taken in order, each suffix puts its left neighbour, and along
     the pointers those that it precedes, at the front of what is left of their groups.
+
+    The texts advance side by side: a round takes one group of each.
     """
-    n = len(text)
-    first = defaultdict(list)
-    for i, c in enumerate(text):
-        first[c].append(i)
-    groups = [[n], *(first[c] for c in sorted(first))]
-    group = [0] * (n + 1)
-    for g, members in enumerate(groups):
-        for i in members:
-            group[i] = g
-    below = list(range(-1, len(groups) - 1))  # the next lower group
-    above = [*range(1, len(groups)), -1]
-    previous, jump, high = [-1] * (n + 1), list(range(-1, n)), bytearray(n + 1)
-    g = len(groups) - 1
-    while g >= 0:
-        members = groups[g] = [i for i in groups[g] if group[i] == g]
-        for i in members:
-            high[i] = 1
-        pointed: dict[int, int] = {}
-        for i in members:
-            p = i - 1
-            if p >= 0 and high[p]:
-                p = jump[p]
-                while p >= 0 and high[p]:
-                    p = jump[p]
-                k = i - 1  # what was jumped over is jumped over at once from now on
-                while k > p:
-                    jump[k], k = p, jump[k]
-            previous[i] = jump[i] = p
-            if p >= 0:
-                pointed[p] = pointed.get(p, 0) + 1
-        if pointed:
-            new: dict[tuple[int, int], list[int]] = {}
-            for p, times in pointed.items():
-                key = (-times, group[p])
-                if key in new:
-                    new[key].append(p)
-                else:
-                    new[key] = [p]
-            for key in sorted(new) if len(new) > 1 else new:
-                old, number = key[1], len(groups)
-                up = above[old]
-                groups.append(new[key])
-                below.append(old)
-                above.append(up)
-                above[old] = number
-                if up >= 0:
-                    below[up] = number
-                for p in new[key]:
-                    group[p] = number
-        g = below[g]
-    free, at, g = [0] * len(groups), 0, 0
-    while g >= 0:
-        free[g] = at
-        at += len(groups[g])
-        g = above[g]
-    order, placed = [n] * (n + 1), bytearray(n + 1)
-    placed[n] = 1
-    for i in range(n + 1):
-        j = order[i] - 1
-        while j >= 0 and not placed[j]:
-            g = group[j]
-            order[free[g]] = j
-            free[g] += 1
-            placed[j] = 1
-            j = previous[j]
-    return order
-
-
-def recurring(pieces: list[bytes], times: list[int]) -> list[np.ndarray]:
-    """For each piece the places whose windows recur in it, in another, or with the piece itself."""
-    text = np.zeros(sum(map(len, pieces)) + len(pieces), np.int64)
-    owner = np.zeros(len(text), np.int64)
-    starts, at = [], 0
-    for k, piece in enumerate(pieces):
-        starts.append(at)
-        text[at : at + len(piece)] = np.frombuffer(piece, np.uint8)
-        text[at : at + len(piece)] += 1  # 0 ends a piece
-        owner[at : at + len(piece) + 1] = k
-        at += len(piece) + 1
-    order = np.array(suffix_array(text.tolist())[1:], np.int64)
-    whole = np.zeros(len(text), bool)
-    for start, piece in zip(starts, pieces, strict=True):
-        whole[start : start + len(piece) - WINDOW + 1] = True
-    data = b"\0".join(pieces)
-    pair = np.flatnonzero(whole[order[:-1]] & whole[order[1:]])
-    same = [data[a : a + WINDOW] == data[b : b + WINDOW] for a, b in zip(order[pair].tolist(), order[pair + 1].tolist(), strict=True)]
-    met = pair[np.array(same, bool)]
-    again = np.zeros(len(text), bool)
-    again[order[met]] = again[order[met + 1]] = True
-    again |= whole & (np.array(times)[owner] > 1)
-    return [np.flatnonzero(again[start : start + len(piece)]) for start, piece in zip(starts, pieces, strict=True)]
+    lengths = np.array([len(t) for t in texts], np.int64)
+    base = np.cumsum(lengths + 1) - lengths  # position 0 and the one after each text are ends
+    n = int((lengths + 1).sum()) + 1
+    symbol = np.zeros(n, np.int16)
+    for at, t in zip(base, texts, strict=True):
+        symbol[at : at + len(t)] = t
+    inner = symbol != 0
+    of = np.repeat(np.arange(len(texts)), lengths + 1)
+    key = of * 1000 + symbol[1:]
+    members = np.argsort(key, kind="stable")
+    key = key[members]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    lane = of[members[first]]
+    del of, key, symbol
+    count = len(first)
+    pool = np.empty(2 * n, np.int64)
+    pool[: n - 1] = members + 1
+    del members
+    start, size, above, below, free = (np.full(count + n, -1, np.int64) for _ in range(5))
+    start[:count], size[:count] = first, np.diff(np.append(first, n - 1))
+    group = np.zeros(n, np.int64)
+    group[pool[: n - 1]] = np.repeat(np.arange(count), size[:count])
+    above[:count] = np.arange(1, count + 1)
+    above[:count][np.append(lane[1:] != lane[:-1], True)] = -1
+    below[:count] = np.arange(-1, count - 1)
+    below[:count][np.append(True, lane[1:] != lane[:-1])] = -1
+    jump = np.arange(-1, n - 1)
+    previous = np.zeros(n, np.int64)
+    high = np.zeros(n, bool)
+    current = np.flatnonzero(above[:count] < 0)
+    room = base + lengths + 1  # where what isn't placed yet ends
+    lanes = np.arange(len(texts))
+    top = n - 1
+    while True:
+        going = below[current] >= 0
+        if not going.all():
+            current, lanes = current[going], lanes[going]
+        if not len(current):
+            break
+        k = size[current]
+        ends = np.cumsum(k)
+        m = pool[np.arange(ends[-1]) - np.repeat(ends - k - start[current], k)]
+        owner = np.repeat(np.arange(len(current)), k)
+        still = group[m] == current[owner]
+        m, owner = m[still], owner[still]
+        room[lanes] -= np.bincount(owner, minlength=len(current))
+        free[current] = room[lanes]
+        high[m] = True
+        p = m - 1
+        on = np.flatnonzero(high[p])
+        while len(on):
+            q = jump[p[on]]
+            p[on] = q
+            jump[m[on]] = q
+            on = on[high[q]]
+        previous[m] = jump[m] = p
+        p = p[inner[p]]
+        if len(p):
+            at = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]]))
+            times, p = np.diff(np.append(at, len(p))), p[at]
+            old = group[p]
+            key = old * (times.max() + 1) + times
+            order = np.argsort(key, kind="stable")
+            p, old, key = p[order], old[order], key[order]
+            at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            many = np.diff(np.append(at, len(p)))
+            new = np.arange(count, count + len(at))
+            start[new], size[new] = top + at, many
+            pool[top : top + len(p)] = p
+            group[p] = np.repeat(new, many)
+            old = old[at]
+            begins = np.concatenate([[True], old[1:] != old[:-1]])
+            under = np.where(begins, old, new - 1)
+            over = above[old]
+            last = np.append(begins[1:], True)
+            above[under[begins]] = new[begins]
+            above[new] = np.where(last, over, new + 1)
+            below[new] = under
+            capped = last & (over >= 0)
+            below[over[capped]] = new[capped]
+            count, top = count + len(at), top + len(p)
+        current = below[current]
+    del pool, start, size, above, below, jump, high
+    order = np.zeros(n, np.int64)
+    placed = ~inner
+    order[base] = base + lengths
+    i, end = base.copy(), base + lengths
+    j = order[i] - 1
+    while True:
+        stuck = np.flatnonzero(placed[j])
+        i[stuck] += 1
+        gone = i > end
+        if gone.any():
+            going = ~gone
+            i, j, end = i[going], j[going], end[going]
+            if not len(i):
+                break
+            stuck = np.flatnonzero(placed[j])
+        j[stuck] = order[i[stuck]] - 1
+        put = np.flatnonzero(~placed[j])
+        what = j[put]
+        g = group[what]
+        f = free[g]
+        order[f] = what
+        free[g] = f + 1
+        placed[what] = True
+        j[put] = previous[what]
+    return [order[a : a + k + 1] - a for a, k in zip(base, lengths, strict=True)]
+
+
+def recurring(pieces: list[bytes], times: list[int], lanes: list[int]) -> list[np.ndarray]:
+    """For each piece the places whose windows recur in it, in another of its lane, or with the piece
+    itself. The pieces of a lane are one text, with an end symbol after each."""
+    of = defaultdict(list)
+    for k, lane in enumerate(lanes):
+        of[lane].append(k)
+    out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(pieces)
+    texts, all_ = [], sorted(of.values(), key=lambda ks: -sum(len(pieces[k]) for k in ks))
+    for ks in all_:
+        text = np.frombuffer(b"".join(pieces[k] + b"\0" for k in ks), np.uint8).astype(np.int16) + 2
+        text[np.cumsum([len(pieces[k]) + 1 for k in ks]) - 1] = 1  # less than any byte
+        texts.append(text)
+    for ks, order in zip(all_, suffix_arrays(texts) if texts else [], strict=True):
+        data = b"\0".join(pieces[k] for k in ks)
+        ends = np.cumsum([len(pieces[k]) + 1 for k in ks])
+        starts = ends - [len(pieces[k]) + 1 for k in ks]
+        whole = np.zeros(len(data) + 2, bool)
+        again = np.zeros(len(data) + 2, bool)
+        for k, a, b in zip(ks, starts, ends, strict=True):
+            whole[a : b - WINDOW] = True
+            again[a : b - WINDOW] = times[k] > 1
+        pair = np.flatnonzero(whole[order[:-1]] & whole[order[1:]] & ~(again[order[:-1]] & again[order[1:]]))
+        same = [data[a : a + WINDOW] == data[b : b + WINDOW] for a, b in zip(order[pair].tolist(), order[pair + 1].tolist(), strict=True)]
+        met = pair[np.array(same, bool)]
+        again[order[met]] = again[order[met + 1]] = True
+        for k, a, b in zip(ks, starts, ends, strict=True):
+            out[k] = np.flatnonzero(again[a:b])
+    return out
 
 
 def minimizers(data: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -158,8 +210,8 @@ def minimizers(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return place, hashes[place]
 
 
-def segments(data: bytes) -> Iterator[tuple[int, int, int, int]]:
-    """(first window, windows, gram, places of the gram) of the segments of data."""
+def segments(data: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """First windows, numbers of windows, grams and numbers of places of the gram of the segments of data."""
     for base in range(0, len(data) - WINDOW + 1, CHUNK):
         place, gram = minimizers(data[base : base + CHUNK + WINDOW - 1])
         start = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
@@ -168,7 +220,7 @@ def segments(data: bytes) -> Iterator[tuple[int, int, int, int]]:
         if (end - start).max() > LONGEST:
             start = np.concatenate([np.arange(a, b, LONGEST) for a, b in zip(start, end, strict=True)])
             end = np.append(start[1:], len(gram))
-        yield from zip((start + base).tolist(), (end - start).tolist(), gram[start].view(np.int64).tolist(), (moved[end - 1] - moved[start] + 1).tolist(), strict=True)
+        yield start + base, end - start, gram[start].view(np.int64), moved[end - 1] - moved[start] + 1
 
 
 def parts(data: bytes, step: int) -> Iterator[tuple[int, int, int]]:
@@ -183,7 +235,7 @@ def parts(data: bytes, step: int) -> Iterator[tuple[int, int, int]]:
 
 
 def _signed(x: int) -> int:
-    return x - (1 << 63)
+    return x - (1 << 64) if x >> 63 else x
 
 
 def _hash(data: bytes) -> int:
@@ -212,11 +264,15 @@ def _segments(texts: DataFrame) -> DataFrame:
     """Segments of every text, equal texts counted in n."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [c.split()[0] for c in SEGMENT.split(", ")]
         for batch in batches:
-            rows = []
+            held: list[tuple] = []
             for x, y, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                rows += [(x, y, at, w, gram, _hash(text[at : at + w + WINDOW - 1]), places) for at, w, gram, places in segments(text)]
-            yield from _batches(rows, SEGMENT)
+                for at, w, gram, places in segments(text):
+                    keys = [xxhash.xxh3_64_intdigest(text[a:b]) for a, b in zip(at.tolist(), (at + w + WINDOW - 1).tolist(), strict=True)]
+                    held.append((np.full(len(at), x), np.full(len(at), y), at.astype(np.int32), w.astype(np.int32), gram, np.array(keys, np.uint64).view(np.int64), places.astype(np.int32)))
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], names)
 
     found = texts.where(F.octet_length("text") >= WINDOW).mapInArrow(run, SEGMENT)
     return saved(found.groupBy("x", "y", "at", "windows", "gram", "key", "places").agg(F.count("*").alias("n")), "segments")
@@ -234,7 +290,10 @@ def _with_bytes(pieces: DataFrame, texts: DataFrame) -> DataFrame:
 
     of = saved(pieces.groupBy("x", "y").agg(F.collect_list(F.struct("at", "windows", "gram", "key", "n")).alias("wanted")), "wanted")
     one = texts.where(_among(texts, of)).dropDuplicates(["x", "y"])
-    return saved(one.join(of, ["x", "y"]).select("text", "wanted").mapInArrow(run, PIECE), "pieces")
+    out = saved(one.join(of, ["x", "y"]).select("text", "wanted").mapInArrow(run, PIECE), "pieces")
+    discard(of)
+    release(texts.sparkSession)
+    return out
 
 
 def _among(texts: DataFrame, keys: DataFrame) -> Column:
@@ -283,17 +342,17 @@ def _by_suffixes(pieces: DataFrame) -> DataFrame:
     shards = max(1, total // SHARD)
 
     def shard(group: pa.Table) -> pa.Table:
-        rows = group.select(["gram", "key", "offset", "n", "bytes"]).to_pylist()
-        index: dict[bytes, int] = {}
+        rows = group.select(["part", "gram", "key", "offset", "n", "bytes"]).to_pylist()
+        index: dict[tuple[int, bytes], int] = {}
         times: list[int] = []
         of = []
-        for r in rows:  # equal pieces are one
-            k = index.setdefault(r["bytes"], len(times))
+        for r in rows:  # equal pieces of a part are one
+            k = index.setdefault((r["part"], r["bytes"]), len(times))
             if k == len(times):
                 times.append(0)
             times[k] += r["n"]
             of.append(k)
-        found = recurring(list(index), times) if rows else []
+        found = recurring([b for _, b in index], times, [part for part, _ in index])
         out = [(r["gram"], r["key"], *_runs(found[k], r["offset"])) for r, k in zip(rows, of, strict=True) if len(found[k])]
         kinds = [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32())]
         columns = zip(*out, strict=True) if out else [[]] * 4
@@ -302,27 +361,48 @@ def _by_suffixes(pieces: DataFrame) -> DataFrame:
     return pieces.withColumn("shard", F.pmod(F.xxhash64("part"), F.lit(shards))).groupBy("shard").applyInArrow(shard, MATCH)
 
 
+def _classed(pieces: DataFrame, most: int | None) -> DataFrame:
+    """pieces with `class`: of a part whose pieces are all equal, of a small part, or of a large one."""
+    of = pieces.groupBy("part").agg(F.count("*").alias("k"), F.min("kind").alias("one"), F.max("kind").alias("other"), F.sum("n").alias("times"))
+    kind = F.when(F.col("one") == F.col("other"), F.when(F.col("times") > 1, "equal").otherwise("alone")).when(F.lit(most is None) | (F.col("k") <= (most or 0)), "small").otherwise("large")
+    out = saved(pieces.join(of.select("part", kind.alias("class")), "part"), "classed")
+    discard(pieces)
+    release(pieces.sparkSession)
+    return out
+
+
 def _matches(pieces: DataFrame) -> DataFrame:
-    """MATCH rows of distinct segments: byte ranges, from the segment's start, of windows that recur."""
+    """MATCH rows of distinct segments: byte ranges, from the segment's start, of windows that recur.
+
+    A segment that is alone under its gram is here because its gram is in it twice, so it goes into a
+    suffix array, too; pieces that come from splits hold their gram once."""
     found = []
-    for step in (*STEPS, None):
-        parts_of = pieces.groupBy("part").agg(F.count("*").alias("pieces"), F.min("kind").alias("one"), F.max("kind").alias("other"), F.sum("n").alias("times"))
-        dealt = pieces.join(parts_of, "part")
-        if step != STEPS[0]:  # parts that are all equal: they recur if there are two
-            alike = dealt.where("one = other AND times > 1")
-            found.append(alike.select("gram", "key", F.array("offset").alias("starts"), F.array(F.col("offset") + F.octet_length("bytes")).alias("ends")))
-            dealt = dealt.where("one <> other")
-        if step is None:  # single windows of a part are all equal
-            break
-        found.append(_by_suffixes(dealt.where(f"pieces <= {PIECES}").select(pieces.columns)))
-        hot = dealt.where(f"pieces > {PIECES}").select(pieces.columns)
-        if hot.isEmpty():
+    for level, (most, step) in enumerate(STEPS):
+        classed = _classed(pieces, most)
+        if level:
+            found.append(_whole(classed.where("class = 'equal'")))
+        few = classed.where("class = 'small'" if level else "class <> 'large'")
+        found.append(saved(_by_suffixes(few.select(pieces.columns)), "suffix-matches"))
+        hot = classed.where("class = 'large'")
+        done = hot.isEmpty()
+        if not done:
+            pieces = _split(hot, step)
+        discard(classed)
+        release(pieces.sparkSession)
+        if done:
             break
-        pieces = _split(hot, step)
+    else:
+        classed = _classed(pieces, None)
+        found.append(_whole(classed.where("class = 'equal'")))
+        discard(classed)
     out = found[0]
     for f in found[1:]:
         out = out.union(f)
-    return saved(out, "suffix-matches")
+    return out
+
+
+def _whole(pieces: DataFrame) -> DataFrame:
+    return saved(pieces.select("gram", "key", F.array("offset").alias("starts"), F.array(F.col("offset") + F.octet_length("bytes")).alias("ends")), "suffix-matches")
 
 
 def repeated_bytes(docs: DataFrame) -> DataFrame:
@@ -332,6 +412,7 @@ def repeated_bytes(docs: DataFrame) -> DataFrame:
     grams = each.groupBy("gram").agg(F.sum(F.col("n") * F.col("places")).alias("times"), F.min("key").alias("one"), F.max("key").alias("other")).where("times > 1")
     again = saved(each.join(grams, "gram").withColumn("alone", F.expr("one = other AND places = 1")).drop("one", "other", "times"), "recurring")
     discard(each)
+    release(docs.sparkSession)
     # A segment that is alone under its gram has copies of its own, all of it.
     alone = again.where("alone").select("x", "y", F.array("at").alias("starts"), F.array(F.col("at") + F.col("windows") + WINDOW - 1).alias("ends"))
     rest = again.where("NOT alone")
@@ -343,8 +424,6 @@ def repeated_bytes(docs: DataFrame) -> DataFrame:
     ranges = alone.union(met.select("x", "y", shift("starts"), shift("ends")))
     found = saved(ranges.groupBy("x", "y").agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends")), "repeated")
     discard(again)
-    discard(held)
-    discard(matches)
     return found
 
 

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
 from sluice.llm import suffixes
@@ -15,8 +16,10 @@ def test_suffix_array_is_the_sorted_order():
     rng = random.Random(4)
     texts = [[], [1], [2, 1], [1] * 50, [1, 2] * 40, list(b"mississippi"), [3, 2, 1] * 9 + [3, 2]]
     texts += [[rng.randint(1, rng.choice((1, 2, 4, 90))) for _ in range(rng.randint(0, 300))] for _ in range(300)]
-    for t in texts:
-        assert suffixes.suffix_array(t) == sorted(range(len(t) + 1), key=lambda i: t[i:])
+    got = suffixes.suffix_arrays([np.array(t, np.int16) for t in texts])
+    for t, order in zip(texts, got, strict=True):
+        assert order.tolist() == sorted(range(len(t) + 1), key=lambda i: t[i:])
+    assert suffixes.suffix_arrays([np.array(texts[4], np.int16)])[0].tolist() == got[4].tolist()
 
 
 def by_force(texts):
@@ -71,7 +74,7 @@ def test_repeats_go_as_by_force(spark, seed):
 @pytest.mark.parametrize("pieces", [1, 4, 20])
 def test_hot_grams_are_split(spark, monkeypatch, pieces):
     """A passage in most documents, with contexts of their own; few pieces per part."""
-    monkeypatch.setattr(suffixes, "PIECES", pieces)
+    monkeypatch.setattr(suffixes, "STEPS", tuple((pieces, step) for _, step in suffixes.STEPS))
     monkeypatch.setattr(suffixes, "SHARD", 5000)
     check(spark, corpus(pieces, 40))
 
