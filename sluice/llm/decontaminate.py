@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import checked_broadcast, saved, table
@@ -62,10 +62,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILA
     fingerprint is within `radius` of the item's are found. start is the window's first word, from 0,
     and n_words the words it has.
 
-    Only windows around a shingle that some item has are fingerprinted: a window without one has
-    similarity 0, and one of similarity 0.75 starts within a quarter of the item's length of where
-    the shared shingle puts it, as every word inserted or left out costs a shingle at least. A window's
-    blocks are compared with those of the items whose shingle it was, not with all items'.
+    A window of that similarity lacks fewer than a seventh of the item's shingles (a document shorter
+    than the item fewer than a quarter), so it holds one of any larger choice of them. The choice is of
+    those that are in few places of documents and in few items: sentences that many items or documents
+    share put no window anywhere. All windows that hold a chosen shingle are fingerprinted, and their
+    blocks are compared with those of the items that chose it, not with all items'.
 
     Null and empty texts, items and texts of fewer than five words match nothing. Rows that repeat a
     doc_id or item_id give one row, the best of their texts; ties go to the earliest start. Rows
@@ -83,16 +84,25 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILA
     known = saved(item_shingles.select("shingle").distinct(), "leak-known")
     hits = saved(each.join(checked_broadcast(known, KNOWN), "shingle").distinct(), "leak-hits")
 
-    # Windows: where a hit puts an item, and up to a quarter of its length to either side; each meets
-    # the items that put it there. A shorter document starts at 0; it has similarity m over the item's
-    # shingles at most.
+    # The rarest shingles of each item, as many as a leak can't lack all of: places in documents times
+    # items tell what a shingle costs.
     of, at = ["item_id", "version", "n"], ["doc_id", "row"]
-    slack = F.floor(F.col("n") / 4).cast("int")
     of_item = F.col("n") - (SHINGLE - 1)
+    cost = hits.groupBy("shingle").agg(F.count("*").alias("places"))
+    cost = item_shingles.groupBy("shingle").agg(F.countDistinct("item_id", "version").alias("items")).join(cost, "shingle", "left").select("shingle", (F.coalesce("places", F.lit(0)) * F.col("items")).alias("cost"))
+    ranked = item_shingles.join(cost, "shingle").withColumn("rank", F.row_number().over(Window.partitionBy(*of).orderBy("cost", "shingle", "q")))
+    lacking = lambda least: of_item - F.ceil(F.round(of_item * least, 9)) + 1
+    whole, part = 2 * similarity / (1 + similarity), similarity
+    chosen = ranked.where(F.col("rank") <= lacking(part)).groupBy("shingle", *of).agg(F.min("rank").alias("rank"))
+    chosen = saved(chosen.withColumn("for_whole", F.col("rank") <= lacking(whole)).drop("rank"), "leak-chosen")
+
+    # Windows: all that hold a chosen shingle. A shorter document is one window; it has similarity m over
+    # the item's shingles at most.
     short = F.col("m") < of_item
-    met = hits.join(item_shingles.select("shingle", "q", *of).distinct(), "shingle").where(~short | (F.col("m") / of_item >= similarity))
-    starts = met.select(*at, *of, F.when(short, F.lit(0)).otherwise(slack).alias("slack"), F.when(short, F.lit(0)).otherwise(F.col("p") - F.col("q")).alias("at")).distinct()
-    starts = saved(starts.select(*at, *of, F.explode(F.sequence(F.greatest(F.col("at") - F.col("slack"), F.lit(0)), F.greatest(F.col("at") + F.col("slack"), F.lit(0)))).alias("start")).distinct(), "leak-starts")
+    met = hits.join(chosen, "shingle").where(F.when(short, F.col("m") / of_item >= similarity).otherwise(F.col("for_whole")))
+    first = F.when(short, F.lit(0)).otherwise(F.greatest(F.col("p") - (F.col("n") - SHINGLE), F.lit(0)))
+    starts = met.select(*at, *of, F.explode(F.sequence(first, F.when(short, F.lit(0)).otherwise(F.col("p")))).alias("start"))
+    starts = saved(starts.distinct(), "leak-starts")
     wanted = saved(starts.groupBy("doc_id", "row").agg(F.collect_set(F.struct("start", "n")).alias("windows")), "leak-wanted")
     # Texts without a window are left behind before texts are shuffled.
     texts = d.withColumn("row", F.xxhash64("text")).join(checked_broadcast(wanted.select(*at), KNOWN), at, "left_semi").dropDuplicates(at)

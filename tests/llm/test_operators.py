@@ -292,6 +292,36 @@ def test_leaks_meet_few_items(spark):
     assert got == {(0, 7, 60_000, 1.0), (1, 9, 0, 1.0)}
 
 
+@pytest.mark.parametrize("n", [50, 400])
+def test_a_sentence_of_all_items_puts_no_window(spark, monkeypatch, n):
+    """Documents that hold a sentence which all items share, and two leaks: windows don't grow with items."""
+    rng, counts = random.Random(n), {}
+    inner = decontaminate.saved
+
+    def counted(df, name):
+        out = inner(df, name)
+        counts[name] = out.count()
+        return out
+
+    monkeypatch.setattr(decontaminate, "saved", counted)
+    text = lambda k: " ".join(f"v{rng.randint(0, 10 ** 6)}" for _ in range(k))
+    shared = "answer the following question in one sentence please"
+    items = [(i, f"{shared} {text(20)}") for i in range(n)]
+    texts = [(i, f"{text(30)} {shared} {text(30)}") for i in range(60)]
+    texts += [(60, text(40) + " " + items[3][1]), (61, " ".join(items[4][1].split()[2:] + ["x"]) + " " + text(9))]
+    found = decontaminate.find_leaks(docs_of(spark, texts), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in found.collect()} == {(60, 3), (61, 4)}
+    assert counts["leak-starts"] < 200
+
+
+def test_leaks_of_moved_halves(spark):
+    """A leak whose halves changed places starts far from where a shingle's own place puts it."""
+    words = [f"q{i}" for i in range(80)]
+    moved = words[40:] + words[:40]
+    found = decontaminate.find_leaks(docs_of(spark, [(1, " ".join(["a"] * 50 + moved + ["b"] * 50))]), spark.createDataFrame([(5, " ".join(words))], "item_id long, text string")).collect()
+    assert [(r.doc_id, r.item_id, r.start) for r in found] == [(1, 5, 50)]
+
+
 def test_leaks_of_nothing(spark):
     bench = spark.createDataFrame([(1, "a b c d e f g")], "item_id long, text string")
     assert decontaminate.find_leaks(docs_of(spark, []), bench).count() == 0
