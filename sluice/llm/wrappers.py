@@ -11,6 +11,7 @@ from __future__ import annotations
 import html as entities
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -44,17 +45,22 @@ ROLES = frozenset("navigation banner contentinfo complementary search dialog ale
 KEPT = frozenset("html body main article".split())
 PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 li pre blockquote td th dd dt figcaption".split())
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(?:!|\?)[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|[^<]+|<""", re.S)
+OPEN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+SPECIAL = re.compile("[>\"']")
+#: Words of readers' remarks: what is named so is noise however much text it holds.
+REMARKS = frozenset("comment comments commentlist disqus reply replies respond discussion".split())
+#: Share of a page's running text that makes an element more than noise, whatever its class.
+MOST = 0.5
 ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 
 
 class Node:
     """An element: its tag, its class and id words, and its texts and elements in order."""
 
-    __slots__ = ("tag", "words", "hidden", "inside")
+    __slots__ = ("tag", "words", "hidden", "inside", "most")
 
     def __init__(self, tag: str, attributes: str = ""):
-        self.tag, self.words, self.hidden, self.inside = tag, (), False, []
+        self.tag, self.words, self.hidden, self.inside, self.most = tag, (), False, [], False
         if attributes.strip():
             found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)}
             names = f"{found.get('class', '')} {found.get('id', '')}"
@@ -72,46 +78,124 @@ class Node:
 
     @property
     def noise(self) -> bool:
-        return self.tag in NOISE or self.hidden or (self.tag not in KEPT and not NOISE_WORDS.isdisjoint(self.words))
+        named = self.tag not in KEPT and not NOISE_WORDS.isdisjoint(self.words)
+        return self.tag in NOISE or self.hidden or (named and (not self.most or not REMARKS.isdisjoint(self.words)))
+
+
+class Tags:
+    """Where the tags of a text end: at the first `>` outside quotes. Every quote and bracket is looked at a
+    bounded number of times, whatever is left open."""
+
+    def __init__(self, text: str):
+        self.text, self.dead, self.known = text, set(), (0, -1)
+        self.last = text.rfind(">")
+
+    def _special(self, at: int) -> int:
+        """The next quote or closing bracket, or -1."""
+        begin, end = self.known
+        if not begin <= at <= end:
+            m = SPECIAL.search(self.text, at)
+            self.known = (at, m.start() if m else len(self.text))
+        end = self.known[1]
+        return end if end < len(self.text) else -1
+
+    def end(self, at: int) -> int:
+        """The place of the bracket that closes a tag whose attributes begin at `at`, or -1."""
+        if at > self.last:
+            return -1
+        passed = []
+        i = self._special(at)
+        while i >= 0 and i not in self.dead:
+            if self.text[i] == ">":
+                return i
+            passed.append(i)
+            closing = self.text.find(self.text[i], i + 1)
+            if closing < 0:
+                break
+            m = SPECIAL.search(self.text, closing + 1)
+            i = m.start() if m else -1
+        self.dead.update(passed)
+        return -1
 
 
 def parse(text: str) -> Node:
-    """A tree of any text; elements that aren't closed end with what holds them."""
+    """A tree of any text; elements that aren't closed end with what holds them. The time is in proportion
+    to the text's length, also for tags, quotes and comments that are never closed."""
     root = Node("#")
     stack, at, n = [root], 0, len(text)
+    tags, open_ = Tags(text), Counter()
     while at < n:
-        m = TOKEN.match(text, at)
-        at = m.end()
-        tag = m[2]
-        if tag is None:
-            if (piece := m[0])[0] != "<" or piece == "<":
-                stack[-1].inside.append(entities.unescape(piece))
+        begin = text.find("<", at)
+        if begin < 0:
+            begin = n
+        if begin > at:
+            stack[-1].inside.append(entities.unescape(text[at:begin]))
+            at = begin
             continue
-        tag = tag.lower()
+        if text.startswith("<!--", at):
+            end = text.find("-->", at + 4)
+            at = end + 3 if end >= 0 else n
+            continue
+        if text[at + 1 : at + 2] in ("!", "?") and at < tags.last:
+            at = text.find(">", at) + 1
+            continue
+        m = OPEN.match(text, at)
+        end = tags.end(m.end()) if m else -1
+        if end < 0:
+            stack[-1].inside.append("<")
+            at += 1
+            continue
+        tag, attributes, at = m[2].lower(), text[m.end() : end], end + 1
         if m[1]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
+            if open_[tag]:
+                i = len(stack) - 1
+                while stack[i].tag != tag:
+                    i -= 1
+                _cut(stack, open_, i)
             continue
         if tag in P_ENDS:
-            _close(stack, ("p",), ("div", "article", "section", "td", "th", "li", "body", "main", "blockquote"))
+            _close(stack, open_, ("p",), ("div", "article", "section", "td", "th", "li", "body", "main", "blockquote"))
         if tag in CLOSES:
-            _close(stack, CLOSES[tag], FENCE[tag])
-        node = Node(tag, m[3])
+            _close(stack, open_, CLOSES[tag], FENCE[tag])
+        node = Node(tag, attributes)
         stack[-1].inside.append(node)
         if tag in RAW:
             end = re.compile(rf"</{tag}\s*>", re.I).search(text, at)
             at = end.end() if end else n
-        elif tag not in VOID and not m[3].rstrip().endswith("/"):
+        elif tag not in VOID and not attributes.rstrip().endswith("/"):
             stack.append(node)
+            open_[tag] += 1
+    _weigh(root)
     return root
 
 
-def _close(stack: list[Node], kinds: tuple[str, ...], fence: tuple[str, ...]) -> None:
+def _cut(stack: list[Node], open_: Counter, i: int) -> None:
+    for x in stack[i:]:
+        open_[x.tag] -= 1
+    del stack[i:]
+
+
+def _weigh(root: Node) -> None:
+    """Marks the elements that hold most of the page's running text."""
+    order, todo = [], [root]
+    while todo:
+        x = todo.pop()
+        if x.tag not in NOISE and not x.hidden:
+            order.append(x)
+            todo += x.elements
+    held: dict[int, int] = {}
+    for x in reversed(order):
+        held[id(x)] = sum(len(y.strip()) if isinstance(y, str) else held.get(id(y), 0) for y in x.inside)
+    for x in order:
+        x.most = held[id(x)] > MOST * held[id(root)]
+
+
+def _close(stack: list[Node], open_: Counter, kinds: tuple[str, ...], fence: tuple[str, ...]) -> None:
+    if not any(open_[k] for k in kinds):
+        return
     for i in range(len(stack) - 1, 0, -1):
         if stack[i].tag in kinds:
-            del stack[i:]
+            _cut(stack, open_, i)
             return
         if stack[i].tag in fence:
             return
