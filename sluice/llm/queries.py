@@ -24,4 +24,6 @@ SQL = {
     "op5_vectors": oracle.VECTORS,
     "op7_mixing": mixing.SQL,
     "op9_substrings": oracle.SUBSTRINGS,
+    "op12_suffixes": oracle.SUFFIXES,
+    "op13_conversations": oracle.REPAIR,
 }
