@@ -86,11 +86,13 @@ class Side:
         return pc.binary_join(pa.ListArray.from_arrays(ids.offsets, self.tokenizer.tokens.take(ids.values)), b"")
 
     def ends(self, ids: pa.ListArray) -> pa.Table:
-        """`doc, end, at, id` of all tokens: list, byte offset of the end in it, place, id."""
+        """`end, at` of all tokens: their list and the byte offset of their end in it as one key, and place."""
         flat, doc = pc.list_flatten(ids), pc.list_parent_indices(ids)
-        total = pc.cumulative_sum(self.lengths.take(flat))
-        before = pc.subtract(total, self.lengths.take(flat)).take(ids.offsets[:-1].take(doc)) if len(flat) else total
-        return pa.table({"doc": doc, "end": pc.subtract(total, before), "at": pa.array(np.arange(len(flat))), "id": flat})
+        length = self.lengths.take(flat)
+        total = pc.cumulative_sum(length)
+        before = pc.subtract(total, length).take(ids.offsets[:-1].take(doc)) if len(flat) else total
+        key = pc.add(pc.shift_left(doc.cast(pa.int64()), pa.scalar(40, pa.int64())), pc.subtract(total, before))
+        return pa.table({"end": key, "at": pa.array(np.arange(len(flat)))})
 
 
 @cache
@@ -98,15 +100,14 @@ def sides(folder: str) -> tuple[Side, Side]:
     return Side(ByteLevel(folder)), Side(Pieces(folder))
 
 
-def _join(left: pa.Table, right: pa.Table, keys: list[str], kind: str = "inner") -> pa.Table:
-    return left.join(right, keys, join_type=kind, use_threads=False, coalesce_keys=True)
+def _join(left: pa.Table, right: pa.Table, key: str) -> pa.Table:
+    return left.join(right, key, join_type="inner", use_threads=False)
 
 
-def _grouped(tokens: pa.Table, cuts: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Whether a token ends a group, by place, and each token's group."""
-    last = np.zeros(tokens.num_rows, bool)
-    last[_join(tokens, cuts, ["doc", "end"], "left semi")["at"].to_numpy()] = True
-    return last, np.cumsum(last) - last
+def _flags(n: int, places: pa.ChunkedArray) -> np.ndarray:
+    out = np.zeros(n, bool)
+    out[places.to_numpy()] = True
+    return out
 
 
 def _named(side: Side, ids: pa.Array, last: np.ndarray) -> pa.Array:
@@ -129,30 +130,41 @@ def aligned(folder: str, texts: list[str]) -> pa.Table:
         keep = pa.array(np.flatnonzero(right))
         a, b = a.take(keep), b.take(keep)
     doc = np.flatnonzero(right)
-    x, y = one.ends(a), two.ends(b)
-    cuts = _join(x.select(["doc", "end"]), y.select(["doc", "end"]), ["doc", "end"])
-    x_last, x_group = _grouped(x, cuts)
-    y_last, y_group = _grouped(y, cuts)
-    x_doc, y_doc = x["doc"].to_numpy(), y["doc"].to_numpy()
-    groups = np.bincount(x_doc[x_last], minlength=len(doc))
-    name = pc.binary_join_element_wise(_named(one, a.flatten(), x_last), _named(two, b.flatten(), y_last), "|")
+    # Ends of both sides: the last tokens of groups, which are numbered alike on both sides.
+    cuts = _join(one.ends(a), two.ends(b).rename_columns(["end", "at_b"]), "end")
+    x, y = a.flatten(), b.flatten()
+    x_last, y_last = _flags(len(x), cuts["at"]), _flags(len(y), cuts["at_b"])
+    x_group, y_group = np.cumsum(x_last) - x_last, np.cumsum(y_last) - y_last
+    x_doc = pc.list_parent_indices(a).to_numpy().astype(np.int64)
+    group_doc = x_doc[x_last]
+    groups = np.bincount(group_doc, minlength=len(doc))
+    name = pc.binary_join_element_wise(_named(one, x, x_last), _named(two, y, y_last), "|")
     offsets = np.concatenate([[0], np.cumsum(groups)]).astype(np.int32)
     lines = pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets), name), ";")
-    # Links: equal ids of a group are one row with their number, so a long group of few ids stays small.
-    left = pa.table({"group": x_group, "doc": x_doc.astype(np.int64), "a": pc.cast(a.flatten(), pa.int64())}).group_by(["group", "doc", "a"], use_threads=False).aggregate([([], "count_all")])
-    other = pa.table({"group": y_group, "b": pc.cast(b.flatten(), pa.int64())}).group_by(["group", "b"], use_threads=False).aggregate([([], "count_all")]).rename_columns(["group", "b", "times"])
-    links = _join(left, other, ["group"])
-    pair = pc.add(pc.multiply(links["a"], WIDE), links["b"])
-    pairs = pa.table({"doc": links["doc"], "pair": pair, "n": pc.multiply(links["count_all"], links["times"])}).group_by(["doc", "pair"], use_threads=False).aggregate([("n", "sum")])
-    order = np.argsort(pairs["doc"].to_numpy(), kind="stable")
-    held = np.bincount(pairs["doc"].to_numpy(), minlength=len(doc))
+    # Links: of groups of two tokens at once, of others by a join on the group; equal ids of a group are one
+    # row there with their number, so a long group of few ids stays small.
+    x, y = x.to_numpy().astype(np.int64), y.to_numpy().astype(np.int64)
+    two_only = (np.bincount(x_group, minlength=len(group_doc)) == 1) & (np.bincount(y_group, minlength=len(group_doc)) == 1)
+    more_x, more_y = ~two_only[x_group], ~two_only[y_group]
+    pair = [group_doc[two_only] << 31 | x[~more_x] * WIDE + y[~more_y]]
+    times = [np.ones(len(pair[0]), np.int64)]
+    counted = lambda t: t.group_by(t.column_names, use_threads=False).aggregate([([], "count_all")])
+    left = counted(pa.table({"group": x_group[more_x], "a": x[more_x]}))
+    right = counted(pa.table({"group": y_group[more_y], "b": y[more_y]})).rename_columns(["group", "b", "times"])
+    links = _join(left, right, "group")
+    pair.append(group_doc[links["group"].to_numpy()] << 31 | links["a"].to_numpy() * WIDE + links["b"].to_numpy())
+    times.append(pc.multiply(links["count_all"], links["times"]).to_numpy())
+    pairs = pa.table({"pair": np.concatenate(pair), "n": np.concatenate(times)}).group_by("pair", use_threads=False).aggregate([("n", "sum")])
+    keys = pairs["pair"].to_numpy()
+    order = np.argsort(keys)
+    of = keys >> 31
     n = np.zeros((len(texts), 4), np.int64)
-    n[doc] = np.stack([np.bincount(x_doc, minlength=len(doc)), np.bincount(y_doc, minlength=len(doc)), groups, held], axis=1)
+    n[doc] = np.stack([np.bincount(x_doc, minlength=len(doc)), np.diff(b.offsets.to_numpy()), groups, np.bincount(of, minlength=len(doc))], axis=1)
     digests = [""] * len(texts)
     for d, line in zip(doc.tolist(), lines.to_pylist(), strict=True):
         digests[d] = hashlib.sha256(line.encode()).hexdigest()
     offsets = pa.array(np.concatenate([[0], np.cumsum(n[:, 3])]).astype(np.int32))
-    values = [pa.array(pairs["pair"].to_numpy()[order].astype(np.int32)), pa.array(pairs["n_sum"].to_numpy()[order])]
+    values = [pa.array((keys[order] & ((1 << 31) - 1)).astype(np.int32)), pa.array(pairs["n_sum"].to_numpy()[order])]
     columns = [*(pa.array(n[:, i]) for i in range(3)), pa.array(digests, pa.string()), *(pa.ListArray.from_arrays(offsets, v) for v in values)]
     return pa.table(columns, names=["n_a", "n_b", "n_groups", "groups_sha256", "pairs", "weights"])
 
