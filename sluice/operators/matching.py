@@ -103,10 +103,10 @@ def _padded(c: str) -> Column:
     return F.concat(F.lit(" "), F.col(c), F.lit(" "))
 
 
-def runs(c: Column) -> Column:
-    """Every run of consecutive words of a normalized text."""
+def runs(c: Column, most: int) -> Column:
+    """Every run of at most `most` consecutive words of a normalized text."""
     words, size = F.split(c, " "), F.size(F.split(c, " "))
-    return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), size), lambda i: F.transform(F.sequence(i, size), lambda j: F.array_join(F.slice(words, i, j - i + 1), " ")))))
+    return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), size), lambda i: F.transform(F.sequence(i, F.least(size, i + most - 1)), lambda j: F.array_join(F.slice(words, i, j - i + 1), " ")))))
 
 
 def best_match(cols: DataFrame, kb: DataFrame) -> DataFrame:
@@ -129,7 +129,8 @@ def hybrid(cols: DataFrame, kb: DataFrame, patterns: DataFrame) -> DataFrame:
     the label (0.95), model and name together (0.90). Headers without a hit give no row."""
     known = patterns.select(text.normalize_header(F.col("pattern")).alias("p"), "model", "field").where("p <> ''").distinct()
     h = cols.select("col_id", text.normalize_header(F.col("header")).alias("h"))
-    exact, part = h.join(known, F.col("h") == F.col("p")), h.withColumn("p", F.explode(runs(F.col("h")))).join(known, "p")
+    longest = known.agg(F.max(F.size(F.split("p", " ")))).first()[0] or 1
+    exact, part = h.join(known, F.col("h") == F.col("p")), h.withColumn("p", F.explode(runs(F.col("h"), longest))).join(known, "p")
     name = exact_name(cols, kb)
     tiers = [("field_name", 1.0, name.where("confidence = 1.0")), ("pattern", 1.0, exact), ("substring", 0.9, part), ("label", 0.95, label(cols, kb)), ("compound", 0.9, name.where("confidence < 1.0"))]
     hits = [t.select("col_id", F.lit(i).alias("tier"), "model", "field", F.lit(conf).alias("confidence"), F.lit(method).alias("method")) for i, (method, conf, t) in enumerate(tiers)]

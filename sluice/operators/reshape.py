@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import contact, dates, numbers, text
+from ..sources.shared import stored
 
 #: Named transforms of a mapping; an unknown name is an error.
 TRANSFORMS = {
@@ -58,8 +59,8 @@ def apply_mapping(df: DataFrame, mapping: list[dict], defaults: dict[str, object
 
 def attach_pointer(df: DataFrame, key: str, name: str = "source_ptr", n: int = 256) -> DataFrame:
     """row_<i> in order of a key, from 0, without sorting all rows in one task: ranges of the key are
-    counted, and each adds what lies before it."""
-    ranged = df.repartitionByRange(n, key).withColumn("_part", F.spark_partition_id())
+    counted, and each adds what lies before it. The ranges are stored, as they are read twice."""
+    ranged = stored(df.repartitionByRange(n, key).withColumn("_part", F.spark_partition_id()), "ranges")
     within = ranged.withColumn("_i", F.row_number().over(Window.partitionBy("_part").orderBy(key)))
     counts = within.groupBy("_part").count()
     before = counts.withColumn("_before", F.sum("count").over(Window.orderBy("_part")) - F.col("count")).select("_part", "_before")

@@ -29,16 +29,21 @@ def unresolved(df: DataFrame, column: str, parents: DataFrame, key: str) -> Data
     return df.where(F.col(column).isNotNull()).join(parents.select(F.col(key).alias("_k")), F.col(column) == F.col("_k"), "left_anti")
 
 
-def cycles(edges: DataFrame, depth: int = 32) -> DataFrame:
-    """Nodes of (node, parent) that reach themselves within `depth` steps, by pointer doubling: round r
-    joins paths of up to 2**r steps, so few rounds are needed; results are stored between rounds."""
+def cycles(edges: DataFrame) -> DataFrame:
+    """Nodes of (node, parent) that reach themselves, over cycles of any length; a node has one parent.
+
+    Steps are doubled: each round holds one row per node, where it gets in 1, 2, 4 … steps; paths that
+    end drop out. Once the places reached are as many as the round before, a step permutes them, so
+    they are the cycles' nodes."""
     reach = stored(edges.where("parent IS NOT NULL").select("node", F.col("parent").alias("at")), "reach")
-    steps = 1
-    while steps < depth:
+    places = None
+    while True:
+        count = reach.select("at").distinct().count()
+        if count == places:
+            return reach.select(F.col("at").alias("node")).distinct()
+        places = count
         onward = reach.select(F.col("node").alias("at"), F.col("at").alias("next"))
-        longer = reach.join(onward, "at").select("node", F.col("next").alias("at"))
-        reach, steps = stored(reach.union(longer).distinct(), "reach"), steps * 2
-    return reach.where("node = at").select("node").distinct()
+        reach = stored(reach.join(onward, "at").select("node", F.col("next").alias("at")), "reach")
 
 
 def resolve_enum(df: DataFrame, column: str, seeds: DataFrame, inline: dict[str, str] | None = None) -> DataFrame:

@@ -30,10 +30,10 @@ def read_csv_raw(spark: SparkSession, path: str, width: int) -> DataFrame:
     return spark.read.schema(schema).csv(path, header=False, escape='"').withColumn("file", F.col("_metadata.file_path"))
 
 
-def emit(df: DataFrame, headers: list[str], path: str, single: bool = True) -> None:
+def emit(df: DataFrame, headers: list[str], path: str, single: bool = False) -> None:
     """The deterministic CSV: text only, NULL as nothing, exactly these headers, ordered by id.
 
-    single gives one file; else ordered part files of id ranges, for tables beyond one task.
+    Ordered part files of id ranges; `single` gives one file, for tables that one task can sort.
     """
     t = df.select([F.coalesce(F.col(f"`{h}`").cast("string"), F.lit("")).alias(h) for h in headers])
     ordered = t.orderBy("id").coalesce(1) if single else t.repartitionByRange("id").sortWithinPartitions("id")

@@ -22,7 +22,7 @@ def test_emit_is_byte_identical(spark):
     paths = []
     for n in (1, 3):
         paths.append(fresh_path(spark, "twice"))
-        csvio.emit(rows.repartition(n), ["id", "name", "email"], paths[-1])
+        csvio.emit(rows.repartition(n), ["id", "name", "email"], paths[-1], single=True)
     assert _bytes(paths[0]) == _bytes(paths[1])
     text = next(Path(paths[0].removeprefix("file:").replace("//", "/")).glob("part-*")).read_text()
     assert text == 'id,name,email\na,"q""z",\nb,"x,y",\nc, lead ,é\n'
@@ -50,6 +50,15 @@ def test_cycles(spark):
     assert {r.node for r in resolve.cycles(edges).collect()} == {1, 2, 3, 6}
 
 
+def test_cycles_of_any_length(spark):
+    ring = [(i, (i + 1) % 150) for i in range(150)]
+    tail = [(200 + i, 199 + i if i else 7) for i in range(90)]
+    chain = [(400 + i, 401 + i) for i in range(100)]
+    edges = spark.createDataFrame(ring + tail + chain, "node long, parent long")
+    assert {r.node for r in resolve.cycles(edges).collect()} == set(range(150))
+    assert resolve.cycles(edges.where("node >= 400")).collect() == [] and resolve.cycles(edges.limit(0)).collect() == []
+
+
 def test_profile_of_an_empty_table(spark):
     out = profile.profile(spark.createDataFrame([], "a string, b int")).collect()
     assert {(r.column, r.n, r.type) for r in out} == {("a", 0, "null"), ("b", 0, "null")}
