@@ -14,8 +14,9 @@ from .resolve import THRESHOLDS, levenshtein_ratio, small
 
 #: Rows of one side of a block beyond which it is cut into cells.
 HOT = 500
-#: Characters of a name that a prefix key holds.
-PREFIX = 8
+#: Characters of a name that a prefix key holds: of a company's, without blanks, and of a lead's. Common
+#: first words are longer than few characters, and blocks should not grow with the table.
+LONG_PREFIX, PREFIX = 12, 8
 #: Candidates that a quarantined row names.
 SHOWN = 10
 
@@ -28,7 +29,7 @@ def name_keys(name: Column, scope: Column) -> Column:
     squeezed = F.replace(name, F.lit(" "), F.lit(""))
     sound = F.array_join(F.transform(F.split(name, " "), F.soundex), "")
     less = F.transform(F.sequence(F.lit(0), F.length(squeezed)), lambda i: F.concat(F.substring(squeezed, F.lit(1), i - 1), F.substr(squeezed, i + 1)))
-    keys = F.concat(F.array(F.concat(F.lit("s|"), sound, F.lit("|"), scope), F.concat(F.lit("p|"), F.substring(squeezed, 1, PREFIX), F.lit("|"), scope)), less)
+    keys = F.concat(F.array(F.concat(F.lit("s|"), sound, F.lit("|"), scope), F.concat(F.lit("p|"), F.substring(squeezed, 1, LONG_PREFIX), F.lit("|"), scope)), less)
     keys = F.filter(keys, lambda k: k.isNotNull() & (k != ""))
     return F.when(squeezed != "", F.array_sort(F.array_distinct(F.transform(keys, lambda k: F.xxhash64(k))))).otherwise(F.array().cast("array<long>"))
 

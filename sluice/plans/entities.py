@@ -90,7 +90,7 @@ def _keyed(columns: str) -> str:
     named_ = f"SELECT *, {COMPANY_SQL} AS natural_key, {company('name')} AS norm FROM ({canon_sql(select('customer', COMPANIES, columns))})"
     less = "[concat(substr(sq, 1, i - 1), substr(sq, i + 1)) FOR i IN range(1, length(sq) + 1)]"
     sound = f"array_to_string([{soundex('t')} FOR t IN string_split(norm, ' ')], '')"
-    return f"SELECT id, norm AS name, street, city, natural_key, CASE WHEN sq = '' THEN [] ELSE [k FOR k IN list_distinct(list_concat([concat('s|', {sound}, '|', nation), concat('p|', substr(sq, 1, {op.PREFIX}), '|', nation), sq], {less})) IF k <> ''] END AS keys FROM (SELECT *, replace(norm, ' ', '') AS sq FROM ({named_}))"
+    return f"SELECT id, norm AS name, street, city, natural_key, CASE WHEN sq = '' THEN [] ELSE [k FOR k IN list_distinct(list_concat([concat('s|', {sound}, '|', nation), concat('p|', substr(sq, 1, {op.LONG_PREFIX}), '|', nation), sq], {less})) IF k <> ''] END AS keys FROM (SELECT *, replace(norm, ' ', '') AS sq FROM ({named_}))"
 
 
 LEV = "CASE WHEN s.street IS NULL OR s.city IS NULL OR t.street IS NULL OR t.city IS NULL THEN 0.0 ELSE 1 - levenshtein(lower(concat(s.street, ' ', s.city)), lower(concat(t.street, ' ', t.city))) / greatest(length(concat(s.street, ' ', s.city)), length(concat(t.street, ' ', t.city))) END"
