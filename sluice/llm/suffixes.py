@@ -40,7 +40,7 @@ LONGEST, CHUNK = WINDOW, 1 << 22
 SHARD = 2_000_000
 #: Pieces that a part may have before it is split, and depths of a gram that count as one when it is; after
 #: the last split a part is a single window.
-STEPS = ((8, 49), (64, 7), (256, 1))
+STEPS = ((3, 49), (8, 7), (8, 1))
 
 
 def suffix_arrays(texts: list[np.ndarray]) -> list[np.ndarray]:
@@ -256,8 +256,8 @@ def _batches(rows: list[tuple], schema: str) -> Iterator[pa.RecordBatch]:
 
 
 SEGMENT = "x long, y long, at int, windows int, gram long, key long, places int"
-PIECE = "part long, kind long, gram long, key long, offset int, n long, bytes binary"
-MATCH = "gram long, key long, starts array<int>, ends array<int>"
+PIECE = "part long, kind long, n long, bytes binary"
+MATCH = "part long, kind long, starts array<int>, ends array<int>"
 
 
 def _segments(texts: DataFrame) -> DataFrame:
@@ -278,17 +278,17 @@ def _segments(texts: DataFrame) -> DataFrame:
     return saved(found.groupBy("x", "y", "at", "windows", "gram", "key", "places").agg(F.count("*").alias("n")), "segments")
 
 
-def _with_bytes(pieces: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pieces `x, y, at, windows, gram, key, n` with their bytes: those of one text travel to it."""
+def _with_bytes(segments: DataFrame, texts: DataFrame) -> DataFrame:
+    """PIECE rows of distinct segments `gram, key, n, x, y, at, windows`: those of one text travel to it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows += [(p["gram"], p["key"], p["gram"], p["key"], 0, p["n"], text[p["at"] : p["at"] + p["windows"] + WINDOW - 1]) for p in wanted]
+                rows += [(p["gram"], p["key"], p["n"], text[p["at"] : p["at"] + p["windows"] + WINDOW - 1]) for p in wanted]
             yield from _batches(rows, PIECE)
 
-    of = saved(pieces.groupBy("x", "y").agg(F.collect_list(F.struct("at", "windows", "gram", "key", "n")).alias("wanted")), "wanted")
+    of = saved(segments.groupBy("x", "y").agg(F.collect_list(F.struct("at", "windows", "gram", "key", "n")).alias("wanted")), "wanted")
     one = texts.where(_among(texts, of)).dropDuplicates(["x", "y"])
     out = saved(one.join(of, ["x", "y"]).select("text", "wanted").mapInArrow(run, PIECE), "pieces")
     discard(of)
@@ -314,26 +314,32 @@ def _among(texts: DataFrame, keys: DataFrame) -> Column:
     return has(*Filter.places(F.col("x"), width))
 
 
-def _split(pieces: DataFrame, step: int) -> DataFrame:
-    """The parts of each piece, dealt by the bytes that their windows share."""
+def _split(pieces: DataFrame, step: int) -> tuple[DataFrame, DataFrame]:
+    """The distinct parts of pieces, dealt by the bytes that their windows share, and where they come from:
+    `part, kind, of_part, of_kind, at`. Parts that are single windows need no bytes."""
+    schema = f"{PIECE}, of_part long, of_kind long, at int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for gram, key, offset, n, data in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            for of_part, of_kind, n, data in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 for at, w, shared in parts(data, step):
                     part = data[at : at + w + WINDOW - 1]
-                    rows.append((shared, _hash(part), gram, key, offset + at, n, part))
-            yield from _batches(rows, PIECE)
+                    rows.append((shared, _hash(part), n, part if step > 1 else None, of_part, of_kind, at))
+            yield from _batches(rows, schema)
 
-    return saved(pieces.select("gram", "key", "offset", "n", "bytes").mapInArrow(run, PIECE), "parts")
+    each = saved(pieces.mapInArrow(run, schema), "parts")
+    origin = saved(each.select("part", "kind", "of_part", "of_kind", "at"), "part-origins")
+    distinct = saved(each.groupBy("part", "kind").agg(F.sum("n").alias("n"), F.first("bytes").alias("bytes")), "pieces")
+    discard(each)
+    return distinct, origin
 
 
-def _runs(places: np.ndarray, offset: int = 0) -> tuple[list[int], list[int]]:
+def _runs(places: np.ndarray) -> tuple[list[int], list[int]]:
     """Byte ranges that windows at these places cover, runs of places as one."""
     cut = np.flatnonzero(np.diff(places) > 1)
     first, last = places[np.append(0, cut + 1)], places[np.append(cut, len(places) - 1)]
-    return (first + offset).tolist(), (last + offset + WINDOW).tolist()
+    return first.tolist(), (last + WINDOW).tolist()
 
 
 def _by_suffixes(pieces: DataFrame) -> DataFrame:
@@ -342,67 +348,64 @@ def _by_suffixes(pieces: DataFrame) -> DataFrame:
     shards = max(1, total // SHARD)
 
     def shard(group: pa.Table) -> pa.Table:
-        rows = group.select(["part", "gram", "key", "offset", "n", "bytes"]).to_pylist()
-        index: dict[tuple[int, bytes], int] = {}
-        times: list[int] = []
-        of = []
-        for r in rows:  # equal pieces of a part are one
-            k = index.setdefault((r["part"], r["bytes"]), len(times))
-            if k == len(times):
-                times.append(0)
-            times[k] += r["n"]
-            of.append(k)
-        found = recurring([b for _, b in index], times, [part for part, _ in index])
-        out = [(r["gram"], r["key"], *_runs(found[k], r["offset"])) for r, k in zip(rows, of, strict=True) if len(found[k])]
+        part, kind, n, data = (group.column(c).to_pylist() for c in ("part", "kind", "n", "bytes"))
+        found = recurring(data, n, part)
+        out = [(p, k, *_runs(f)) for p, k, f in zip(part, kind, found, strict=True) if len(f)]
         kinds = [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32())]
         columns = zip(*out, strict=True) if out else [[]] * 4
-        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["gram", "key", "starts", "ends"])
+        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["part", "kind", "starts", "ends"])
 
     return pieces.withColumn("shard", F.pmod(F.xxhash64("part"), F.lit(shards))).groupBy("shard").applyInArrow(shard, MATCH)
 
 
-def _classed(pieces: DataFrame, most: int | None) -> DataFrame:
-    """pieces with `class`: of a part whose pieces are all equal, of a small part, or of a large one."""
-    of = pieces.groupBy("part").agg(F.count("*").alias("k"), F.min("kind").alias("one"), F.max("kind").alias("other"), F.sum("n").alias("times"))
-    kind = F.when(F.col("one") == F.col("other"), F.when(F.col("times") > 1, "equal").otherwise("alone")).when(F.lit(most is None) | (F.col("k") <= (most or 0)), "small").otherwise("large")
-    out = saved(pieces.join(of.select("part", kind.alias("class")), "part"), "classed")
+def _classed(pieces: DataFrame, most: int) -> DataFrame:
+    """pieces with `class`: only one of its part, with or without copies, of a small part, or a large one."""
+    of = pieces.groupBy("part").agg(F.count("*").alias("k"))
+    kind = F.when(F.col("k") > most, "large").when(F.col("k") > 1, "small").when(F.col("n") > 1, "equal").otherwise("alone")
+    out = saved(pieces.join(of, "part").withColumn("class", kind).drop("k"), "classed")
     discard(pieces)
     release(pieces.sparkSession)
     return out
 
 
+def _lifted(matches: DataFrame, origin: DataFrame) -> DataFrame:
+    """Matches of parts as those of the pieces that they come from."""
+    shift = lambda c: F.transform(c, lambda v: v + F.col("at")).alias(c)
+    return origin.join(matches, ["part", "kind"]).select(F.col("of_part").alias("part"), F.col("of_kind").alias("kind"), shift("starts"), shift("ends"))
+
+
 def _matches(pieces: DataFrame) -> DataFrame:
-    """MATCH rows of distinct segments: byte ranges, from the segment's start, of windows that recur.
+    """MATCH rows of distinct segments (their gram is the part, their key the kind): byte ranges, from the
+    segment's start, of windows that recur.
 
     A segment that is alone under its gram is here because its gram is in it twice, so it goes into a
-    suffix array, too; pieces that come from splits hold their gram once."""
-    found = []
+    suffix array, too; pieces that come from splits hold their gram once, so a piece that is alone in its
+    part recurs as it is, if it has copies."""
+    found, origins = [], []
     for level, (most, step) in enumerate(STEPS):
         classed = _classed(pieces, most)
-        if level:
-            found.append(_whole(classed.where("class = 'equal'")))
-        few = classed.where("class = 'small'" if level else "class <> 'large'")
-        found.append(saved(_by_suffixes(few.select(pieces.columns)), "suffix-matches"))
-        hot = classed.where("class = 'large'")
+        few = classed.where("class = 'small'" if level else "class <> 'large'").drop("class")
+        out = _by_suffixes(few)
+        found.append(saved(out.union(_whole(classed)) if level else out, "suffix-matches"))
+        hot = classed.where("class = 'large'").drop("class")
         done = hot.isEmpty()
         if not done:
-            pieces = _split(hot, step)
+            pieces, origin = _split(hot, step)
+            origins.append(origin)
         discard(classed)
         release(pieces.sparkSession)
         if done:
             break
-    else:
-        classed = _classed(pieces, None)
-        found.append(_whole(classed.where("class = 'equal'")))
-        discard(classed)
-    out = found[0]
-    for f in found[1:]:
-        out = out.union(f)
+    else:  # single windows
+        found.append(_whole(pieces.withColumn("class", F.when(F.col("n") > 1, "equal"))))
+    out = found.pop()
+    while origins:
+        out = found.pop().union(_lifted(out, origins.pop()))
     return out
 
 
 def _whole(pieces: DataFrame) -> DataFrame:
-    return saved(pieces.select("gram", "key", F.array("offset").alias("starts"), F.array(F.col("offset") + F.octet_length("bytes")).alias("ends")), "suffix-matches")
+    return pieces.where("class = 'equal'").select("part", "kind", F.array(F.lit(0)).alias("starts"), F.array(F.coalesce(F.octet_length("bytes"), F.lit(WINDOW))).alias("ends"))
 
 
 def repeated_bytes(docs: DataFrame) -> DataFrame:
@@ -419,7 +422,7 @@ def repeated_bytes(docs: DataFrame) -> DataFrame:
     pieces = rest.groupBy("gram", "key").agg(F.sum("n").alias("n"), F.min(F.struct("x", "y", "at", "windows")).alias("p")).select("gram", "key", "n", "p.*")
     held = _with_bytes(pieces, texts)
     matches = _matches(held)
-    met = rest.join(matches, ["gram", "key"])
+    met = rest.join(matches.withColumnsRenamed({"part": "gram", "kind": "key"}), ["gram", "key"])
     shift = lambda c: F.transform(c, lambda v: v + F.col("at")).alias(c)
     ranges = alone.union(met.select("x", "y", shift("starts"), shift("ends")))
     found = saved(ranges.groupBy("x", "y").agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends")), "repeated")
