@@ -26,12 +26,17 @@ def name_keys(name: Column, scope: Column) -> Column:
     """Block keys of a normalized name: its sound and its prefix within a scope (a country, say), and the
     name without blanks, whole and with each character left out once. Names that are one edit apart, or
     one swap of neighbours, share one of the last; no key for an empty name."""
-    squeezed = F.replace(name, F.lit(" "), F.lit(""))
-    sound = F.array_join(F.transform(F.split(name, " "), F.soundex), "")
-    less = F.transform(F.sequence(F.lit(0), F.length(squeezed)), lambda i: F.concat(F.substring(squeezed, F.lit(1), i - 1), F.substr(squeezed, i + 1)))
-    keys = F.concat(F.array(F.concat(F.lit("s|"), sound, F.lit("|"), scope), F.concat(F.lit("p|"), F.substring(squeezed, 1, LONG_PREFIX), F.lit("|"), scope)), less)
-    keys = F.filter(keys, lambda k: k.isNotNull() & (k != ""))
-    return F.when(squeezed != "", F.array_sort(F.array_distinct(F.transform(keys, lambda k: F.xxhash64(k))))).otherwise(F.array().cast("array<long>"))
+    parts = F.struct(name.alias("name"), F.replace(name, F.lit(" "), F.lit("")).alias("squeezed"), scope.alias("scope"))
+
+    def keys(p: Column) -> Column:
+        squeezed = p["squeezed"]
+        sound = F.array_join(F.transform(F.split(p["name"], " "), F.soundex), "")
+        less = F.transform(F.sequence(F.lit(0), F.when(F.length(squeezed) > 1, F.length(squeezed)).otherwise(0)), lambda i: F.xxhash64(F.concat(F.substring(squeezed, F.lit(1), i - 1), F.substr(squeezed, i + 1))))
+        scoped = F.filter(F.array(F.concat(F.lit("s|"), sound, F.lit("|"), p["scope"]), F.concat(F.lit("p|"), F.substring(squeezed, 1, LONG_PREFIX), F.lit("|"), p["scope"])), lambda k: k.isNotNull())
+        return F.when(squeezed != "", F.array_sort(F.array_distinct(F.concat(F.transform(scoped, lambda k: F.xxhash64(k)), less)))).otherwise(F.array().cast("array<long>"))
+
+    # One level more, so that the name isn't made anew for every character.
+    return F.flatten(F.transform(F.array(parts), keys))
 
 
 def paired(source: DataFrame, canon: DataFrame, id: str, keys: str = "keys", hot: int = HOT) -> DataFrame:

@@ -51,25 +51,28 @@ def select(base: str, steps: tuple[str, str], columns: str) -> str:
     return f"SELECT {columns} FROM (SELECT {steps[1]} FROM (SELECT {steps[0]} FROM {base}))"
 
 
-def made(spark, d, base, steps, columns):
-    return spark.sql(select("{base}", steps, columns), base=table(spark, d, base))
+def made(spark, d, base, steps, *columns):
+    """A table per list of columns. The words are stored, so that they aren't made anew wherever a column
+    asks for them."""
+    words = stored(spark.sql(f"SELECT {steps[1]} FROM (SELECT {steps[0]} FROM {{base}})", base=table(spark, d, base)), "words")
+    return [spark.sql(f"SELECT {x} FROM {{words}}", words=words) for x in columns]
 
 
 def companies(spark, d):
     """Every customer as a company, and an altered copy of each: (source, canon)."""
     out = []
-    for columns in (COPY, SAME):
-        df = made(spark, d, "customer", COMPANIES, columns).withColumn("natural_key", company_key()).withColumn("name", text.normalize_company(c("name")))
+    for df in made(spark, d, "customer", COMPANIES, COPY, SAME):
+        df = df.withColumn("natural_key", company_key()).withColumn("name", text.normalize_company(c("name")))
         out.append(df.withColumn("keys", op.name_keys(c("name"), c("nation").cast("string"))).select("id", "name", "street", "city", "natural_key", "keys"))
     return out
 
 
 def contacts(spark, d):
-    return [made(spark, d, "orders", CONTACTS, columns).withColumn("name", text.normalize_string(c("name"))) for columns in (CONTACT_COPY, CONTACT_SAME)]
+    return [df.withColumn("name", text.normalize_string(c("name"))) for df in made(spark, d, "orders", CONTACTS, CONTACT_COPY, CONTACT_SAME)]
 
 
 def leads(spark, d):
-    return [made(spark, d, "events", LEADS, columns).withColumn("name", text.normalize_string(c("name"))) for columns in (LEAD_COPY, LEAD_SAME)]
+    return [df.withColumn("name", text.normalize_string(c("name"))) for df in made(spark, d, "events", LEADS, LEAD_COPY, LEAD_SAME)]
 
 
 # The same in SQL.
