@@ -31,7 +31,7 @@ LABELLED = {
 }
 TRUTH = [(i, *row) for i, row in enumerate((case, model, *entry.split(":")) for (case, model), entries in LABELLED.items() for entry in entries.split(","))]
 N = len(TRUTH)
-#: Headers that are known for a field, for the catalogue's labels: what stands before a bracket.
+#: Columns of the labelled set.
 SCHEMA = "n int, case string, model string, header string, field string, ttype string"
 
 # Expressions over (k, size, header, field, ttype) that mean the same in both dialects.
