@@ -11,9 +11,9 @@ steps, all on Spark:
    inverted lists of theirs. The boundary is the size with the least cost by the histogram of sizes and
    the measured length of the lists.
 4. Short lists are joined in full, and a pair must share as many keys as its sizes ask for. Long lists,
-   those of large groups of near copies, first link each member to one drawn member or to the smallest
-   ones of about its size, then the components that this has made meet again, in rounds; only lists that
-   stay mixed are joined in full, between components.
+   those of large groups of near copies, first link each member to the most central ones of about its
+   size, the smallest ones, or one drawn member, then the components that this has made meet again, in
+   rounds; only lists that stay mixed are joined in full, between components.
 5. Pairs whose sketches allow it are verified by the exact similarity of whole sets.
 
 The order of shingles, the draws and the boundary decide only how much work it takes, never what is
@@ -53,6 +53,8 @@ TAILS = ("t0", "t1", "t2", "t3")
 STEPS = 4
 #: Rounds in which the members of long lists meet one drawn member, before lists are joined in full.
 ROUNDS = 4
+#: Rounds end when not even one of so many pairs links: what is still apart then hardly has links.
+FRUITFUL = 10
 #: Ids of nodes (8 bytes each) that are broadcast at most.
 FEW = 200_000
 
@@ -180,8 +182,8 @@ def boundary(sizes: list[tuple[int, int]], listed: float) -> int:
     return min(BOUNDARIES, key=cost)
 
 
-def entries(docs: DataFrame, surveyed: DataFrame, classes: DataFrame) -> tuple[DataFrame, int]:
-    """Steps 2 and 3: (key, class), once each, and the boundary."""
+def entries(docs: DataFrame, surveyed: DataFrame, classes: DataFrame) -> tuple[DataFrame, int, Filter]:
+    """Steps 2 and 3: (key, class), once each, the boundary, and the shingles that go last."""
     most, spark = max(BOUNDARIES), docs.sparkSession
     each = surveyed.where("n > 0").select(F.explode("firsts").alias("key"), (F.col("n") <= most).cast("int").alias("small"))
     counts = saved(each.groupBy("key").agg(F.count("*").alias("m"), F.sum("small").alias("small")).where("m > 1"), "jaccard-counts")
@@ -228,7 +230,7 @@ def entries(docs: DataFrame, surveyed: DataFrame, classes: DataFrame) -> tuple[D
 
     keyed = "class long, keys array<long>"
     both = whole.mapInArrow(kept, keyed).union(sets.select("class", "items").mapInArrow(made, keyed))
-    return saved(both.select(F.explode("keys").alias("key"), "class").distinct(), "jaccard-entries"), limit
+    return saved(both.select(F.explode("keys").alias("key"), "class").distinct(), "jaccard-entries"), limit, last
 
 
 def _shingles(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -339,10 +341,23 @@ def telling(lists: DataFrame, limit: int) -> DataFrame:
     return ranked.where((F.col("m") > LONG_LIST) & ((F.col("n") <= limit) | (F.col("r") <= F.col("l") - F.col("t") + 1))).select("key", "class", "n", *TAILS)
 
 
+def central(sets: DataFrame, last: Filter) -> DataFrame:
+    """(class, central): the share of a set's shingles that are in the filter of frequent ones. An unedited
+    copy has most of its group's."""
+    held = sets.sparkSession.sparkContext.broadcast(last)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            each = [np.frombuffer(x, np.uint64) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([1 - ordered(s, held.value)[1] / len(s) for s in each], pa.float64())], ["class", "central"])
+
+    return saved(sets.select("class", "items").mapInArrow(run, "class long, central double"), "jaccard-central")
+
+
 def links(docs: DataFrame, surveyed: DataFrame, classes: DataFrame) -> DataFrame:
     """Edges (a, b) between linked classes, enough of them to join what is linked."""
     spark = docs.sparkSession
-    made, limit = entries(docs, surveyed, classes)
+    made, limit, last = entries(docs, surveyed, classes)
     discard(surveyed)
     release(spark)
     # Lists of one set go; the others' lengths are counted before the join, so a hot list can be split.
@@ -362,7 +377,7 @@ def links(docs: DataFrame, surveyed: DataFrame, classes: DataFrame) -> DataFrame
     best = ways.groupBy("a").agg(F.min_by("b", F.xxhash64(F.least("a", "b"), F.greatest("a", "b"))).alias("b"))
     first = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     found = verified(first, sets)
-    at = long.select("key", "class", "n", *TAILS, F.col("class").alias("component"))
+    at = long.join(central(sets, last), "class").select("key", "class", "n", "central", *TAILS, F.col("class").alias("component"))
     for k in range(ROUNDS):
         if k and at.isEmpty():
             break
@@ -370,18 +385,22 @@ def links(docs: DataFrame, surveyed: DataFrame, classes: DataFrame) -> DataFrame
         if k % 2:  # any member: right for copies with edits, which are about equally near
             drawn = at.groupBy("key").agg(F.min_by(hub, F.xxhash64("class", "key", F.lit(k))).alias("d"))
             met = at.join(drawn, "key")
-        else:  # the smallest of about its size: right for a common passage with more or less beside it
-            drawn = at.groupBy("key", step.alias("at")).agg(F.min_by(hub, F.struct("n", F.xxhash64("class", "key", F.lit(k)))).alias("d"))
+        else:  # the most central of about its size, what a group's edits are edits of; then the smallest: right for a common passage with more or less beside it
+            best = F.struct("n", F.xxhash64("class", "key", F.lit(k))) if k else F.struct(-F.col("central"), F.xxhash64("class"))
+            drawn = at.groupBy("key", step.alias("at")).agg(F.min_by(hub, best).alias("d"))
             met = at.withColumn("at", F.explode(F.array(*[step - i for i in range(STEPS + 1)]))).join(drawn, ["key", "at"])
         pairs = met.where((F.col("component") != F.col("d.component")) & fits("n", "d.n"))
         pairs = pairs.select(F.least("class", "d.class").alias("a"), F.greatest("class", "d.class").alias("b")).distinct()
-        new = verified(possible(pairs, classes), sets)
-        if k and new.isEmpty():
-            continue
-        found = found.union(new)
-        joined = components(found)
-        at = saved(still_mixed(at, joined), "jaccard-mixed")
-        release(spark)
+        pairs = possible(pairs, classes)
+        new = verified(pairs, sets)
+        linking = new.count()
+        if linking or not k:
+            found = found.union(new)
+            joined = components(found)
+            at = saved(still_mixed(at, joined), "jaccard-mixed")
+            release(spark)
+        if k and linking * FRUITFUL < pairs.count():
+            break
     rest = apart(near, joined)
     x, y = (at.select("key", F.col("class").alias(c), F.col("n").alias(f"n{c}"), F.col("component").alias(f"c{c}"), *[F.col(t).alias(t + c) for t in TAILS]) for c in "ab")
     # If this key is the first common one, no more are common than either has from here on.
@@ -404,9 +423,9 @@ def apart(pairs: DataFrame, joined: DataFrame) -> DataFrame:
 
 
 def still_mixed(lists: DataFrame, joined: DataFrame) -> DataFrame:
-    """The lists (key, class, n, *TAILS, component) that hold more than one component yet."""
-    of = lists.select("key", "class", "n", *TAILS).join(_labels(joined, "class"), "class", "left")
-    of = saved(of.select("key", "class", "n", *TAILS, F.coalesce("at_class", "class").alias("component")), "jaccard-at")
+    """The lists (key, class, n, central, *TAILS, component) that hold more than one component yet."""
+    of = lists.select("key", "class", "n", "central", *TAILS).join(_labels(joined, "class"), "class", "left")
+    of = saved(of.select("key", "class", "n", "central", *TAILS, F.coalesce("at_class", "class").alias("component")), "jaccard-at")
     mixed = of.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
     return of.join(mixed, "key")
 

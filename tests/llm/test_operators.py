@@ -111,6 +111,24 @@ def test_jaccard_groups_of_near_copies(spark, monkeypatch, copies):
     assert got == components_by_force(texts)
 
 
+def test_jaccard_pairs_of_a_group_follow_its_size(spark, monkeypatch):
+    """Edited copies, a third of them too far from all others: pairs that are verified don't square."""
+    rng, base, asked = random.Random(5), [f"w{i}" for i in range(150)], []
+    verified = jaccard.verified
+    monkeypatch.setattr(jaccard, "verified", lambda pairs, sets: asked.append(jaccard.saved(pairs, "asked")) or verified(asked[-1], sets))
+    texts = []
+    for i in range(1500):
+        words = list(base)
+        for _ in range(rng.randint(0, 6)):
+            words[rng.randrange(150)] = f"x{i}_{rng.randrange(10**9)}"
+        texts.append((i, " ".join(words)))
+    got = {r.doc_id: r.component_id for r in jaccard.near_duplicates(docs_of(spark, texts)).collect()}
+    whole = jaccard.shingle_set(" ".join(base).encode(), jaccard.WordHash())
+    near = {i for i, t in texts if jaccard.linked(whole, jaccard.shingle_set(t.encode(), jaccard.WordHash()))[0]}
+    assert {i for i in got if got[i] == min(near)} >= near and len(set(got.values())) > 200
+    assert sum(p.count() for p in asked) < 2 * len(texts)
+
+
 def test_jaccard_keys_of_small_sets():
     """Two sets that link share a key, whatever the boundary and the order."""
     rng = np.random.default_rng(3)
