@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import html
+import re
 from functools import reduce
+from html.entities import html5
 
 import pandas as pd
 from pyspark.sql import Column
@@ -61,16 +63,31 @@ def extract(c: Column, pattern: str, group: int = 0) -> Column:
     return F.coalesce(F.regexp_extract(c, pattern, group), F.lit(""))
 
 
+#: Fixed value: a name or a number with its semicolon; a number has as many digits as the last character's.
+CLOSED_REFERENCE = re.compile(r"&(?:[A-Za-z][A-Za-z0-9]*|#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6});")
+
+
 def _references(c: pd.Series) -> pd.Series:
     return c.map(html.unescape, na_action="ignore")
 
 
-def html_unescape(c: Column) -> Column:
+def _closed(found: re.Match) -> str:
+    r = found[0]
+    return html.unescape(r) if r[1] == "#" or r[1:] in html5 else r
+
+
+def _closed_references(c: pd.Series) -> pd.Series:
+    return c.map(lambda s: CLOSED_REFERENCE.sub(_closed, s), na_action="ignore")
+
+
+def html_unescape(c: Column, closed: bool = False) -> Column:
     """Decodes character references of HTML 5 once: decimal, hexadecimal, and all names, the longest that
-    fits, with or without semicolon where HTML lets it be left out. Text without an ampersand isn't sent
-    to the Arrow function."""
+    fits, with or without semicolon where HTML lets it be left out. If closed, only whole names and numbers
+    that end with a semicolon; what is cut short stays. Text without an ampersand isn't sent to the Arrow
+    function."""
     asked = F.contains(c, F.lit("&"))
-    return F.when(asked, F.pandas_udf(_references, "string")(F.when(asked, c))).otherwise(c)
+    decode = F.pandas_udf(_closed_references if closed else _references, "string")
+    return F.when(asked, decode(F.when(asked, c))).otherwise(c)
 
 
 def normalize_string(c: Column) -> Column:

@@ -80,6 +80,11 @@ def test_html_references(spark):
     assert values(spark, text.html_unescape, list(cases)) == list(cases.values())
 
 
+def test_closed_html_references(spark):
+    cases = {"and&amp</title>&am</p>&": "and&amp</title>&am</p>&", "&copy 5 &notit; &ampamp; &#65 &#x41 &;": "&copy 5 &notit; &ampamp; &#65 &#x41 &;", "&amp;amp;&amp&#38;lt;&lt": "&amp;&amp&lt;&lt", "&notin;&frac12;&#65;&#X20aC;&#0;": "∉½A€\ufffd", "&#" + "9" * 5000 + ";": "&#" + "9" * 5000 + ";", None: None}
+    assert values(spark, lambda x: text.html_unescape(x, closed=True), list(cases)) == list(cases.values())
+
+
 def test_a_failing_user_function_changes_nothing(spark):
     assert values(spark, lambda c: reshape.remap_function(c, lambda x: str(10 // int(x)) if x != "9" else None), ["5", "0", "x", "9", None]) == ["2", "0", "x", "9", None]
 
